@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .language_id import op7_language_id
+from .piece_tokens import op6_sentencepiece_round_trip
+from .simhash import op5_simhash_near_dedup
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op6_sentencepiece_round_trip, op7_language_id, op10_exact_dedup)}
 SQL = {"op10_exact_dedup": OP10_SQL}
