@@ -1,18 +1,48 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing, encoding; each stage written and read again."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing, encoding; each stage written and read again.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factorloom.llm.exact_dedup import keep_distinct
+from factorloom.llm import exact_dedup, language_id, mixing, piece_tokens, simhash
 from factorloom.llm.scratch import documents, written
 
+#: Shares of the tokens to read. The tokens of the good domain set the total, so that it is read whole.
+TARGETS = {"high": 0.95, "low": 0.05, "toxic": 0.0}
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go."""
+    return language_id.recognised(docs)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.keep_distinct(docs, keep="max")
+
+
+def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are read once or not at all: rates are at most 1, and what is left of a rate is drawn by a hash."""
+    good = lambda members: members.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("p_high")), F.lit(0.0))).first()[0] / TARGETS["high"]
+    return mixing.resampled(docs, mixing.table_labels(spark, sf_dir), TARGETS, total=good, max_rate=1.0)
+
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_distinct(docs, keep="max")
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of the tokens, as op6 gives them."""
+    return piece_tokens.round_trip(docs, piece_tokens.public_model())
 
 
-STAGES = [("exact dedup", exact_dedup)]
+STAGES = [("language id", known_language), ("exact dedup", distinct_texts), ("simhash near-dedup", distinct_fingerprints), ("mixing", mixed), ("sentencepiece", encoded)]
+#: The stages are no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

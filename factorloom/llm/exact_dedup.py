@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import documents, written
+from .scratch import documents, spare_name, written
 
 #: Bytes of text and rows that a task's trie holds before it spills.
 TRIE_BYTES = 96 << 20
@@ -246,6 +246,7 @@ class ExactDedup:
         ident, self.id_type = F.col(f"`{id_col}`"), docs.schema[id_col].dataType
         if keep not in ("max", "min"):
             raise ValueError("keep is max or min")
+        self.null_text = spare_name(docs, "no_text")
         others = [c for c in docs.columns if c != text_col] if rows else []
         self.order, self.text_col = docs.columns, text_col
         slim = docs.select(
@@ -254,7 +255,7 @@ class ExactDedup:
             F.coalesce(self.flip(ident.cast("long")), F.lit(0)).alias("rank"),
             F.lit(1).cast("long").alias("size"),
             F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("key"),
-            F.struct(F.col(f"`{text_col}`").isNull().alias("no_text"), *[F.col(f"`{c}`") for c in others]).alias("payload"),
+            F.struct(F.col(f"`{text_col}`").isNull().alias(self.null_text), *[F.col(f"`{c}`") for c in others]).alias("payload"),
         )
         payload = T.StructType([T.StructField(f.name, f.dataType) for f in slim.schema["payload"].dataType])  # copies have none
         self.first_schema = _schema(T.StructField("key", T.BinaryType()), T.StructField("payload", payload))
@@ -284,7 +285,7 @@ class ExactDedup:
     def kept(self) -> DataFrame:
         """The rows that stay, with the columns of docs."""
         second = self._second(True).where("rid = owner_rid")
-        text = F.when(~F.col("payload.no_text"), F.col("key").cast("string"))
+        text = F.when(~F.col(f"payload.`{self.null_text}`"), F.col("key").cast("string"))
         return second.select(*[text.alias(c) if c == self.text_col else F.col(f"payload.`{c}`") for c in self.order])
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import documents, written
+from .scratch import documents, spare_name, written
 
 DIMENSIONS = 512
 #: Languages that may be learned: what is sent to the tasks is at most so many prototypes of 4 * DIMENSIONS bytes.
@@ -150,7 +150,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     return {k: v / np.linalg.norm(v) for k, v in vectors.items() if v.any()}
 
 
-def _predict(prototypes: dict[str, np.ndarray], dimensions: int):
+def _predict(prototypes: dict[str, np.ndarray], dimensions: int, keep_text: bool):
+    """For mapInArrow: the text is the last column."""
     names = list(prototypes)
     matrix = np.array([prototypes[x] for x in names]).reshape(len(names), dimensions)
 
@@ -158,7 +159,7 @@ def _predict(prototypes: dict[str, np.ndarray], dimensions: int):
         vectors = _Vectors(dimensions)
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 codes, counts = trigrams(text)
                 if not len(codes) or not names:
                     langs.append(UNKNOWN)
@@ -169,17 +170,17 @@ def _predict(prototypes: dict[str, np.ndarray], dimensions: int):
                 best = int(cosine.argmax())
                 langs.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosine[best]))))
-            rest = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*[x for x in batch.schema.names if x != "text"], "lang_pred", "score"])
+            n = batch.num_columns - (not keep_text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
 
     return task
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """keep columns, lang_pred and score, the cosine (0 if negative). Texts that are null or have no letter are ``und`` with score 0; ties go to the first name."""
-    slim = docs.select(*keep, F.col(f"`{text_col}`").alias("text"))
+    slim = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = slim.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return slim.mapInArrow(_predict(prototypes, dimensions), schema)
+    return slim.mapInArrow(_predict(prototypes, dimensions, False), schema)
 
 
 def held_out(doc_id) -> F.Column:
@@ -193,11 +194,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The documents whose language is known: all but those predicted ``und``. All columns stay, lang as it is."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    slim = docs.select(F.struct(*columns).alias("row"), F.col("text"))
-    schema = slim.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    found = slim.mapInArrow(_predict(learn(training_rows(docs)), DIMENSIONS), schema)
-    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    slim = docs.select(F.struct(*rest, F.lit(True).alias(spare_name(docs, "row"))).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = slim.schema.add("lang_pred", "string").add("score", "double")
+    found = slim.mapInArrow(_predict(learn(training_rows(docs)), DIMENSIONS, True), schema).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
