@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import documents, written
+from .sums import summed_arrays
 
 #: Buckets of a view's features, rounds, and how sure a view must be to teach the other.
 BUCKETS, ROUNDS, SURE = 1 << 12, 3, 0.95
@@ -107,10 +108,9 @@ def _labels(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _totals(table: DataFrame, task, width: int) -> np.ndarray:
     """Sums over all tasks of the fixed-size counts that task yields, by view and class."""
     parts = table.mapInArrow(task, "view int, class int, counts array<double>")
-    each = parts.select("view", "class", F.posexplode("counts").alias("i", "n")).where("n <> 0").groupBy("view", "class", "i").agg(F.sum("n").alias("n"))
     out = np.zeros((2, 2, width))
-    for r in each.collect():
-        out[r["view"], r["class"], r["i"]] = r["n"]
+    for key, counts in summed_arrays(parts, ["view", "class"], "counts").items():
+        out[key] = counts
     return out
 
 

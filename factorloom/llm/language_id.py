@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import documents, spare_name, written
+from .sums import summed_arrays
 
 DIMENSIONS = 512
 #: Languages that may be learned: what is sent to the tasks is at most so many prototypes of 4 * DIMENSIONS bytes.
@@ -144,9 +145,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     n = parts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if n > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    each = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    rows = each.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
-    vectors = {r["lang"]: np.array([x["x"] for x in r["v"]]) for r in sorted(rows, key=lambda r: r["lang"])}
+    vectors = {lang: v for (lang,), v in sorted(summed_arrays(parts, ["lang"], "vector").items())}
     return {k: v / np.linalg.norm(v) for k, v in vectors.items() if v.any()}
 
 

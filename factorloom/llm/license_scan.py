@@ -118,7 +118,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int32())), *[pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.float64(), pa.int32(), pa.int32()))]], ["doc_id", "license_id", "dice", "start", "stop"])
 
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return slim.mapInArrow(task, slim.select("doc_id").schema.add("license_id", "string").add("dice", "double").add("start", "int").add("stop", "int"))
+    return slim.mapInArrow(task, slim.select("doc_id").schema.add("license_id", "string").add("dice", "double").add("start", "integer").add("stop", "integer"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
