@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import market, research
+
 FLAGSHIP = "rank_by_country"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict = {**market.QUERIES, **research.QUERIES}
+SQL: dict = {**market.SQL, **research.SQL}
