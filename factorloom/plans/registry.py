@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import market, research
+from . import feeds, market, reports, research
 
 FLAGSHIP = "rank_by_country"
-QUERIES: dict = {**market.QUERIES, **research.QUERIES}
-SQL: dict = {**market.SQL, **research.SQL}
+QUERIES: dict = {**market.QUERIES, **research.QUERIES, **reports.QUERIES, **feeds.QUERIES}
+SQL: dict = {**market.SQL, **research.SQL, **reports.SQL, **feeds.SQL}

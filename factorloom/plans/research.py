@@ -296,7 +296,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 SQL = {
     "p1_assemble_universe": oracle("SELECT as_of_date, universe, security_id, country, period_end, filing_date, rd_expense, sales_ttm, round(median_traded_value_krw, 2) AS median_krw, reasons FROM pit", PIT),
     "p3_pit_violations": oracle("SELECT as_of_date, count(*) AS n, min(filing_date) AS first_filed FROM fundamentals JOIN schedule ON filing_date > as_of_date GROUP BY ALL"),
-    "p6_rejection_counts": oracle("SELECT as_of_date, universe, unnest(string_split(reasons, '|')) AS reason, count(*) AS n FROM pit WHERE reasons <> '' GROUP BY ALL", {"schedule": MONTHS, **PIT}),
+    "p6_rejection_counts": oracle("SELECT as_of_date, universe, reason, count(*) AS n FROM (SELECT as_of_date, universe, unnest(string_split(reasons, '|')) AS reason FROM pit WHERE reasons <> '') GROUP BY ALL", {"schedule": MONTHS, **PIT}),
     "a1_median_traded_value": oracle("SELECT as_of_date, security_id, n_prices, n_valued, round(median_krw, 2) AS median_krw FROM traded", PIT),
     "w1_pit_select": oracle("SELECT as_of_date, security_id, n_filed, n_usable, f.period_end AS period_end, f.filing_date AS filing_date, f.rd AS rd_expense, f.sales AS sales_ttm FROM picked", PIT),
     "rank_by_country": oracle(RANKED, {**PIT, "factors": FACTOR}),
@@ -304,7 +304,7 @@ SQL = {
     "w3_winsorize": oracle(W3),
     "g2_raw_metrics": oracle("SELECT as_of_date, model, country, count(*) AS n, round(ln(sum(raw)), 6) AS log_sum FROM raws GROUP BY ALL", {**PIT, **SCORES}),
     "w4_w7_scores": oracle("SELECT as_of_date, model, security_id, size_bucket, round(sector_z, 5) AS sector_z, round(size_z, 5) AS size_z, round(score, 5) AS score FROM scores", {**PIT, **SCORES}),
-    "a5_sector_weights": oracle("SELECT as_of_date, country, sector, round(sum(liq) / sum(sum(liq)) OVER (PARTITION BY as_of_date, country), 6) AS weight FROM base GROUP BY ALL", {**PIT, **SCORES}),
+    "a5_sector_weights": oracle("SELECT as_of_date, country, sector, round(l / sum(l) OVER (PARTITION BY as_of_date, country), 6) AS weight FROM (SELECT as_of_date, country, sector, sum(liq) AS l FROM base GROUP BY ALL)", {**PIT, **SCORES}),
     "g6_quota_bounds": oracle(G6),
     "h10_turnover_step": oracle(H10, {"w": "SELECT country, period_end AS d, security_id, sales_ttm / sum(sales_ttm) OVER (PARTITION BY country, period_end) AS w FROM fundamentals"}),
     "w10_sleeve_blend": oracle(W10, L1_VIEWS),

@@ -36,10 +36,10 @@ def _cents() -> F.Column:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One for each security and day with shipments."""
     days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_shipdate").cast("date").alias("price_date"))
-    sums = days.agg(F.sum(_cents()).alias("cents"), F.sum("l_quantity").alias("quantity"))
+    sums = days.agg(F.sum(_cents()).alias("cents"), F.sum("l_quantity").cast("long").alias("quantity"))
     scale = F.when(F.col("currency") == "KRW", 8000).when(F.col("currency") == "USD", 8).otherwise(1000)
     return sums.join(securities(spark, sf_dir), "k").select(
-        "security_id", "country", "currency", "price_date", F.round(F.col("cents") / 100 / F.col("quantity"), 6).alias("close"), (F.col("cents") * scale / 100).alias("traded_value")
+        "security_id", "country", "currency", "price_date", (F.expr("(20000 * cents + quantity) div (2 * quantity)") / 1e6).alias("close"), (F.col("cents") * scale / 100).alias("traded_value")
     )
 
 
@@ -92,9 +92,9 @@ SQL = {
     "securities": """SELECT format('{}:{:05d}', country, k) AS security_id, k, country, CASE country WHEN 'US' THEN 'USD' WHEN 'KR' THEN 'KRW' ELSE 'JPY' END AS currency,
         'S' || (k % 4) AS sector, 'uni_' || lower(country) AS universe
         FROM (SELECT s_suppkey AS k, CASE n_regionkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'KR' ELSE 'JP' END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
-    "prices": """SELECT security_id, country, currency, price_date, round(cents::DOUBLE / 100 / quantity, 6) AS close,
+    "prices": """SELECT security_id, country, currency, price_date, ((20000 * cents::BIGINT + quantity) // (2 * quantity))::DOUBLE / 1e6 AS close,
         (cents * CASE currency WHEN 'KRW' THEN 8000 WHEN 'USD' THEN 8 ELSE 1000 END)::DOUBLE / 100 AS traded_value
-        FROM (SELECT l_suppkey AS k, l_shipdate::DATE AS price_date, sum(round(l_extendedprice * 100)::BIGINT) AS cents, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL) JOIN securities USING (k)""",
+        FROM (SELECT l_suppkey AS k, l_shipdate::DATE AS price_date, sum(round(l_extendedprice * 100)::BIGINT) AS cents, sum(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY ALL) JOIN securities USING (k)""",
     "days": "SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem",
     "fx": """SELECT pair, d AS fx_date, round(rate, 6) AS rate FROM (
         SELECT 'USD/KRW' AS pair, d, (1300 + (d - DATE '1995-01-01') % 120)::DOUBLE AS rate FROM days UNION ALL
