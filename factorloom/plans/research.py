@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import factor, ledger, money, pit, quota, weights
 from ..sources import tables as V
+from ..sources.store import saved
+from . import portfolio_sql as Q
 from .market import AMOUNTS, MEMBERS, _last_prices
 
 oracle = V.oracle
@@ -173,16 +175,16 @@ def ranked_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked rows of each portfolio: a model's rows for each plan that uses it."""
     plans = grid(spark).select("portfolio_id", "model").distinct()
     keep = ["as_of_date", "model", "country", "security_id", "factor_value", "rank_in_country", "is_eligible", "median_traded_value_krw"]
-    return _flagged(spark, sf).select(*keep).join(F.broadcast(plans), "model")
+    return saved(_flagged(spark, sf).select(*keep), "ranked").join(F.broadcast(plans), "model")
 
 
 def weighted_grid(spark: SparkSession, sf: str, te_cap: float = 0.05) -> tuple[DataFrame, DataFrame]:
     targets = grid(spark).drop("plan", "model")
     ranked = ranked_grid(spark, sf)
-    chosen = weights.select_names(ranked, targets, PF)
+    chosen = saved(weights.select_names(ranked, targets, PF), "chosen")
     dates = ranked.select(*PF).distinct()
     budgets = weights.country_budgets(chosen, targets, dates, PF)
-    return weights.allocate(chosen, budgets, PF, te_cap=te_cap), budgets
+    return saved(weights.allocate(chosen, budgets, PF, te_cap=te_cap), "weights"), budgets
 
 
 def h1_h2_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,7 +307,13 @@ SQL = {
     "g2_raw_metrics": oracle("SELECT as_of_date, model, country, count(*) AS n, round(ln(sum(raw)), 6) AS log_sum FROM raws GROUP BY ALL", {**PIT, **SCORES}),
     "w4_w7_scores": oracle("SELECT as_of_date, model, security_id, size_bucket, round(sector_z, 5) AS sector_z, round(size_z, 5) AS size_z, round(score, 5) AS score FROM scores", {**PIT, **SCORES}),
     "a5_sector_weights": oracle("SELECT as_of_date, country, sector, round(l / sum(l) OVER (PARTITION BY as_of_date, country), 6) AS weight FROM (SELECT as_of_date, country, sector, sum(liq) AS l FROM base GROUP BY ALL)", {**PIT, **SCORES}),
+    "g5_proportional_quotas": oracle(Q.G5, Q.G5_VIEWS),
     "g6_quota_bounds": oracle(G6),
+    "g9_qepm_rank": oracle(Q.G9, {**PIT, **SCORES, **Q.RANKING}),
+    "h1_h2_selection": oracle(Q.H1, {**PIT, **SCORES, **Q.RANKING, **Q.WEIGHTS}),
+    "h8_capped_allocation": oracle(Q.H8),
+    "h14_portfolios": oracle(Q.H14, {**PIT, **SCORES, **Q.RANKING, **Q.WEIGHTS}),
+    "h11_h12_diagnostics": oracle(Q.H11, {**PIT, **SCORES, **Q.RANKING, **Q.WEIGHTS}),
     "h10_turnover_step": oracle(H10, {"w": "SELECT country, period_end AS d, security_id, sales_ttm / sum(sales_ttm) OVER (PARTITION BY country, period_end) AS w FROM fundamentals"}),
     "w10_sleeve_blend": oracle(W10, L1_VIEWS),
     "l1_l6_ledger_step": oracle(L1, L1_VIEWS),

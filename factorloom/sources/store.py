@@ -25,6 +25,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/factorloom-{uuid.uuid4().hex}/{name}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what several branches of a plan read is computed once, and lost executors don't lose it."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ticker_norm(c: F.Column) -> F.Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}]", "_")
 
