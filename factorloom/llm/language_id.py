@@ -195,7 +195,7 @@ def recognised(docs: DataFrame) -> DataFrame:
     """The documents whose language is known: all but those predicted ``und``. All columns stay, lang as it is."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     slim = docs.select(F.struct(*rest, F.lit(True).alias(spare_name(docs, "row"))).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = slim.schema.add("lang_pred", "string").add("score", "double")
+    schema = slim.select("row", "text").schema.add("lang_pred", "string").add("score", "double")
     found = slim.mapInArrow(_predict(learn(training_rows(docs)), DIMENSIONS, True), schema).where(F.col("lang_pred") != UNKNOWN)
     return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
