@@ -1,6 +1,6 @@
 """Quality classifier by co-training two views of a document.
 
-One view sees the words of the text, the other what is known about the document: source, language and length. Each
+One view sees the text, the other what is known about the document: source, language and length. Each
 view is a naive Bayes model over hashed features. In every round a view learns from the labelled rows and from the
 unlabelled rows of which the other view is sure; all rows take part, and tasks send back counts of fixed size only.
 A fifth of the labelled rows is not learned from: on it each view's score is calibrated to a probability.
@@ -8,7 +8,9 @@ A fifth of the labelled rows is not learned from: on it each view's score is cal
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,35 @@ def _bucket(word: bytes) -> int:
     return zlib.crc32(word) % BUCKETS
 
 
+_SHAPES = bytes(97 if 97 <= i <= 122 or i >= 128 else 65 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else i for i in range(256))
+_RUNS = re.compile(rb"(.)\1+")
+
+
+def _tenths(part: int, whole: int) -> int:
+    return min(10, 10 * part // max(1, whole))
+
+
 def text_features(text: str | None) -> list[int]:
+    """The shapes of the words (letters, capitals, digits and signs, runs as one) and measures of the text in tenths. Words themselves would mostly be met once."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.split()
-    distinct = set(words)
-    marks = [b" fresh %d" % (10 * len(distinct) // max(1, len(words))), b" symbols %d" % min(10, 10 * sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))) // max(1, len(words))), b" capitals %d" % (10 * sum(w.isupper() for w in distinct) // max(1, len(distinct)))]
-    return sorted({_bucket(w) for w in distinct} | {_bucket(m) for m in marks})
+    n, times = len(words), Counter(words)
+    pairs = len(set(zip(words, words[1:])))
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    shapes = Counter()
+    for w, k in times.items():
+        shapes[_RUNS.sub(rb"\1", w.translate(_SHAPES))] += k
+    ends = sum(k for x, k in shapes.items() if x[-1:] in b".!?")
+    plain = sum(shapes[x] for x in (b"a", b"Aa", b"a,", b"a.", b"Aa.", b"Aa,"))
+    shouted = sum(k for x, k in shapes.items() if b"A" in x and b"a" not in x)
+    short = sum(k for w, k in times.items() if len(w) <= 3)
+    measures = {
+        "words": n.bit_length(), "distinct": _tenths(len(times), n), "pairs": _tenths(pairs, n), "most": _tenths(max(times.values(), default=0), n), "lines": _tenths(len(set(lines)), len(lines)),
+        "ends": _tenths(ends, n), "plain": _tenths(plain, n), "shouted": _tenths(shouted, n), "short": _tenths(short, n), "length": min(20, len(raw) // max(1, n)), "kinds": len(shapes).bit_length(),
+    }
+    size = "few " if n < 20 else ""  # tenths of a few words are a matter of their own
+    common = {b"shape " + x for x, _ in shapes.most_common(12)}
+    return sorted({_bucket(f"{size}{k} {v}".encode()) for k, v in measures.items()} | {_bucket(x) for x in common})
 
 
 def page_features(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
@@ -61,7 +86,7 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class View:
-    """Log-odds of the buckets, and the calibration that turns a mean of them into a probability."""
+    """Log-odds of the buckets, and the calibration that turns their sum into a probability."""
 
     def __init__(self, counts: np.ndarray):
         """counts: for either class the rows that have each bucket, and behind them the rows."""
@@ -73,7 +98,7 @@ class View:
         full = lengths > 0
         if len(flat):
             sums[full] = np.add.reduceat(self.odds[flat], np.r_[0, np.cumsum(lengths)[:-1]][full])
-        return sums / np.sqrt(np.maximum(1, lengths))
+        return sums
 
     def chance(self, score: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.offset, -30, 30)))
