@@ -64,8 +64,10 @@ def _spans(numbered: DataFrame, rid: str, id_col: str, text_col: str, span_words
     ident = F.col(f"`{id_col}`").cast("long")
     slim = numbered.select(F.col(rid).alias("rid"), ident.isNull().alias("no_id"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("rank"), F.col(f"`{text_col}`").cast("string").alias("text"))
     cut = written(slim.mapInArrow(_cut, _SCHEMA), "units")
-    # a digest that fills a third of all units is summed before it is dealt out, and the join may split its rows
+    # a digest that fills a third of all units is summed before it is dealt out; owners are a table, so that both sides
+    # of the join are dealt for it alone and adaptive execution may split such a digest's rows
     owners = cut.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("rank").alias("owner")).where("n_docs > 1")
+    owners = written(owners.select("h1", "h2", "owner"), "owners")
     gone = cut.join(owners, ["h1", "h2"], "left").where("again or rank > owner")
     w = Window.partitionBy("rid").orderBy("unit")
     runs = gone.withColumn("run", F.col("unit") - F.row_number().over(w))
