@@ -18,6 +18,8 @@ from .scratch import documents, scratch_dir, spare_name, written
 
 #: Labelled rows that the classifier learns from (the first by a hash of their ids), words that it knows and their length.
 MAX_LABELLED, VOCABULARY, WORD_LENGTH = 20_000, 4096, 48
+#: Labelled documents that a word must be in: rarer ones tell nothing, and are most.
+MIN_DOCUMENTS = 3
 #: Weight of the ridge, steps at most, and the change of a domain's share below which they end.
 RIDGE, STEPS, TOLERANCE = 1e-3, 60, 1e-5
 DOMAINS = ["high", "low", "toxic"]
@@ -57,7 +59,7 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str] = DOMAINS, max_
     seen = _with_features(taught, "text").groupBy("feature").agg(*[F.sum((F.col("domain") == k).cast("long")).alias(f"c{i}") for i, k in enumerate(domains)])
     total = sum((F.col(f"c{i}") for i in range(1, len(domains))), F.col("c0"))
     gain = sum((F.col(f"c{i}") * F.log((F.col(f"c{i}") + 0.5) / (total + 0.5 * len(domains)) / math.exp(prior[k])) for i, k in enumerate(domains)), F.lit(0.0))
-    told = written(seen.where("feature <> ' any'").orderBy(gain.desc(), "feature").limit(vocabulary), "vocabulary")
+    told = written(seen.where((F.col("feature") != " any") & (total >= MIN_DOCUMENTS)).orderBy(gain.desc(), "feature").limit(vocabulary), "vocabulary")
     sums = told.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(domains))], F.count("*").alias("v")).first()
     likely = [F.log((F.col(f"c{i}") + 1) / float(sums[f"c{i}"] + sums["v"])).alias(f"l{i}") for i in range(len(domains))]
     always = docs.sparkSession.range(1).select(F.lit(" any").alias("feature"), *[F.lit(0.0).alias(f"l{i}") for i in range(len(domains))])
