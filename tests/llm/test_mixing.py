@@ -10,13 +10,13 @@ from factorloom.llm import mixing as M
 def slow_rates(t, p, goal, ridge, top=None):
     """The same minimum by many plain projected steps."""
     t, p, w, total = np.array(t, float), np.array(p), np.ones(len(t)), sum(t)
-    for _ in range(40_000):
+    for _ in range(8_000):
         miss = (t * w) @ p / total - goal
         w = np.clip(w - (p @ miss + ridge * (w - 1)) / (1 + ridge), 0, top)
     return np.where(t > 0, w, 1.0)
 
 
-def members(spark, n=120, seed=1):
+def members(spark, n=60, seed=1):
     r = np.random.default_rng(seed)
     p, t = r.dirichlet([0.5, 0.3, 0.2], n), r.integers(0, 500, n)
     rows = [(i, i, int(t[i]), *map(float, p[i])) for i in range(n)]
@@ -27,8 +27,8 @@ def test_rates_minimise_and_meet_targets(spark):
     rows, t, p, df = members(spark)
     for top in (None, 1.0):
         goal = np.array([0.8, 0.15, 0.05])
-        got = {r["doc_id"]: r["rate"] for r in M.fit_rates(df, dict(zip(M.DOMAINS, goal)), max_rate=top, steps=400, tolerance=1e-9, ridge=0.05).collect()}
-        want = slow_rates(t, p, goal, 0.05, top)
+        got = {r["doc_id"]: r["rate"] for r in M.fit_rates(df, dict(zip(M.DOMAINS, goal)), max_rate=top, steps=60, tolerance=1e-7, ridge=0.2).collect()}
+        want = slow_rates(t, p, goal, 0.2, top)
         assert np.allclose([got[i] for i in range(len(rows))], want, atol=2e-3)
     got = {r["doc_id"]: r["rate"] for r in M.fit_rates(df, dict(zip(M.DOMAINS, goal))).collect()}
     shares = (t * [got[i] for i in range(len(rows))]) @ p / t.sum()
@@ -50,7 +50,7 @@ def corpus(n=400):
 def test_posteriors_follow_labels(spark):
     rows, labels = corpus()
     kinds = dict(labels)
-    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string"), steps=20).collect()
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string"), steps=6).collect()
     right = [max(M.DOMAINS, key=lambda k: r[f"p_{k}"]) == kinds[r["doc_id"]] for r in got if r["doc_id"] in kinds]
     assert len(got) == len(rows) and sum(right) > 0.95 * len(right)
     assert all(abs(sum(r[f"p_{k}"] for k in M.DOMAINS) - 1) < 1e-9 for r in got)
@@ -60,9 +60,9 @@ def test_posteriors_follow_labels(spark):
 def test_resampled_rows(spark, odd, none):
     rows, labels = corpus(200)
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string")
-    kept = M.resampled(docs, known, {"high": 1.0, "low": 0.0, "toxic": 0.0}, max_rate=1.0, total=lambda m: m.selectExpr("sum(n_tokens * p_high)").first()[0], steps=20)
+    kept = M.resampled(docs, known, {"high": 1.0, "low": 0.0, "toxic": 0.0}, max_rate=1.0, total=lambda m: m.selectExpr("sum(n_tokens * p_high)").first()[0], steps=8)
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
     for df in (odd, none):
-        out = M.resampled(df, known, M.TARGETS, steps=3)
+        out = M.resampled(df, known, M.TARGETS, steps=2)
         assert out.columns == df.columns and out.count() <= 4 * max(1, df.count())
-        assert M.mix(df, known.limit(0), steps=3).count() == df.count()
+        assert M.mix(df, known.limit(0), steps=2).count() == df.count()
