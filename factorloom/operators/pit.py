@@ -50,10 +50,12 @@ def pit_select(members: DataFrame, fundamentals: DataFrame) -> DataFrame:
 def median_traded_value(dates: DataFrame, prices: DataFrame, fx: DataFrame, lookback: int = LOOKBACK_DAYS) -> DataFrame:
     """(as_of_date, security_id, n_prices, n_valued, median_krw) of the days from as_of - (lookback - 1) to as_of.
 
-    A day's amount is exploded to the dates whose window holds it only where there is one: dates are few and lie far apart."""
-    valued = amounts_to_krw(prices.select("security_id", "currency", "price_date", "traded_value"), fx)
-    span = (F.col("price_date") <= F.col("as_of_date")) & (F.col("price_date") >= F.date_sub("as_of_date", lookback - 1))
-    hits = valued.join(dates_side(dates.select("as_of_date").distinct()), span)
+    Dates are dealt by the months that their windows touch, so that a day's amount meets only dates near it."""
+    valued = amounts_to_krw(prices.select("security_id", "currency", "price_date", "traded_value"), fx).withColumn("_month", F.trunc("price_date", "MM"))
+    first = F.date_sub("as_of_date", lookback - 1)
+    months = F.explode(F.sequence(F.trunc(first, "MM"), F.trunc("as_of_date", "MM"), F.expr("interval 1 month")))
+    near = dates_side(dates.select("as_of_date").distinct().withColumn("_month", months))
+    hits = valued.join(near, "_month").where((F.col("price_date") <= F.col("as_of_date")) & (F.col("price_date") >= first))
     return hits.groupBy("as_of_date", "security_id").agg(F.count("*").alias("n_prices"), F.count("amount_krw").alias("n_valued"), F.percentile("amount_krw", 0.5).alias("median_krw"))
 
 
