@@ -99,8 +99,14 @@ class _Trie:
         if len(fork.kids) < 2:
             return
         for kid in fork.kids.values():
-            rows = [node.owner for node in _below(kid) if node.owner]
-            kid.spill = kid.spill or _Spill(self.folder, self.schema)
+            below = list(_below(kid))
+            rows = [node.owner for node in below if node.owner]
+            # a fork made above subtrees that were spilled before takes over their files
+            first, *others = [node.spill for node in below if node.spill] or [_Spill(self.folder, self.schema)]
+            kid.spill = first
+            for other in others:
+                for batch in other.read():
+                    first.out.write_batch(batch)
             if rows:
                 kid.spill.out.write_batch(self.rows(rows))
             kid.key, kid.kids, kid.owner = bytes(kid.key[: kid.end]), {}, None

@@ -4,9 +4,10 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
-from factorloom.llm.exact_dedup import TRIE_BYTES, exact_dedup, keep_distinct
+from factorloom.llm.exact_dedup import TRIE_BYTES, exact_dedup, keep_distinct, own
 
 
 def brute(rows):
@@ -45,3 +46,29 @@ def test_smallest_id_and_empty_table(spark, none):
     df = spark.createDataFrame([(2, "a"), (1, "a"), (3, "b")], "doc_id long, text string")
     assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup(df, keep="min").collect()} == {(1, 1), (2, 1), (3, 3)}
     assert exact_dedup(none).count() == 0 and keep_distinct(none).count() == 0
+
+
+def owned(texts, per_batch, limit):
+    """(text, rid, size) of the owners, and the text of every row by its owner's, as own() has them."""
+    schema = pa.schema([("rid", pa.int64()), ("no_id", pa.bool_()), ("rank", pa.int64()), ("size", pa.int64()), ("key", pa.binary())])
+    rows = [(i, False, i, 1, t.encode()) for i, t in enumerate(texts)]
+    parts = (rows[i : i + per_batch] for i in range(0, len(rows), per_batch))
+    owners, parent = [], {}
+    for batch, copies in own((pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part), schema)], schema=schema) for part in parts), limit):
+        parent |= {k: v[0] for k, v in copies.items()}
+        owners += [] if batch is None else [(r["key"].decode(), r["rid"], r["size"]) for r in batch.to_pylist()]
+    return sorted(owners), parent
+
+
+def test_a_task_that_spills_twice_keeps_all_rows():
+    for texts, per_batch in ((["ax1", "b", "ay2", "c"], 2), (["ax1", "b", "ay2", "c", "ax1", "aw", "d", "ax1"], 2)):
+        assert owned(texts, per_batch, 0)[0] == sorted((t, texts.index(t), texts.count(t)) for t in set(texts))
+    r = random.Random(7)
+    for sort in (None, False, True):
+        texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 9))) + "x" * r.choice([0, 40]) for _ in range(600)]
+        if sort is not None:
+            texts.sort(reverse=sort)
+        for per_batch, limit in ((1, 0), (3, 200), (7, 2000)):
+            owners, parent = owned(texts, per_batch, limit)
+            assert owners == sorted((t, texts.index(t), texts.count(t)) for t in set(texts))
+            assert len(owners) + len(parent) == len(texts) and all(texts[a] == texts[b] for a, b in parent.items())
