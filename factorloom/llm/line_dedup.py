@@ -1,7 +1,8 @@
 """Substring dedup by hashing units.
 
-Lines are cut further where a sentence ends, as shared passages are often pasted inside a line. Units are normalised
-and digested; Spark groups the digests of all documents. The document with the smallest id keeps a unit, at its first
+Lines are cut further where a sentence ends, as shared passages are often pasted inside a line, and long sentences at
+places that the words around them choose, so that a passage is cut the same way whatever stands before and after it in
+its sentence. Units are normalised and digested; Spark groups the digests of all documents. The document with the smallest id keeps a unit, at its first
 place; everywhere else it goes. Adjacent units that go make a span, and only spans of some length count, so that
 short sentences that happen to be the same are left alone. Spans keep their places in the original text.
 """
@@ -13,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from .scratch import documents, spare_name, written
 
 #: Words that a span has at least.
 SPAN_WORDS = 15
+#: A sentence of more words is cut where the hash of two adjacent words is the least among those up to REACH places off.
+LONG_WORDS, REACH = 16, 3
+_WORD = re.compile(r"\S+")
 _UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _SCHEMA = "rid long, no_id boolean, rank long, unit int, start int, stop int, n_words int, again boolean, h1 long, h2 long"
 
@@ -29,8 +34,20 @@ def units(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
     text = text or ""
     for m in _UNIT.finditer(text):
         words = m[0].lower().split()
-        if words:
-            yield m.start(), m.end(), len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
+        if not words:
+            continue
+        cuts = _cuts(words) if len(words) > LONG_WORDS else []
+        ends = [x.end() for x in _WORD.finditer(text, m.start(), m.end())] if cuts else []
+        edges = [m.start(), *(ends[i - 1] for i in cuts), m.end()]
+        for a, b, start, stop in zip([0, *cuts], [*cuts, len(words)], edges, edges[1:]):
+            yield start, stop, b - a, hashlib.blake2b(" ".join(words[a:b]).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """The numbers of the words that begin a piece. Pieces have more than REACH words; words that recur with a short period are not cut."""
+    digest = xxhash.xxh64_intdigest
+    h = [digest(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(words, words[1:])]
+    return [i + 1 for i in range(REACH, len(h) - REACH) if h[i] < min(h[i - REACH : i]) and h[i] < min(h[i + 1 : i + 1 + REACH])]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

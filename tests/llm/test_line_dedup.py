@@ -56,3 +56,18 @@ def test_odd_rows(odd, none):
     cut = L.without_spans(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count()
     assert L.repeated_spans(none).count() == 0 and L.without_spans(none).count() == 0
+
+
+def test_a_passage_inside_one_long_sentence_is_found(spark):
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = words(60)
+    rows = [(1, f"{words(9)} {passage} {words(30)}."), (2, f"{words(40)}  {passage}\t{words(5)}"), (3, words(200)), (4, passage)]
+    found = {k: [r for r in L.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == k] for k in range(1, 5)}
+    assert not found[1] and not found[3]
+    for k in (2, 4):
+        (r,) = found[k]
+        cut = rows[k - 1][1][r["start"] : r["stop"]]
+        assert r["keep_id"] == 1 and " ".join(cut.split()) in passage and r["n_words"] == len(cut.split()) > 40
+    junk = "x y " * 5000
+    assert len(list(L.units(junk))) == 1
