@@ -66,3 +66,11 @@ def test_resampled_rows(spark, odd, none):
         out = M.resampled(df, known, M.TARGETS, steps=2)
         assert out.columns == df.columns and out.count() <= 4 * max(1, df.count())
         assert M.mix(df, known.limit(0), steps=2).count() == df.count()
+
+
+def test_words_of_a_domain_with_two_labelled_documents_tell(spark):
+    rows = [(i, "fine good calm the of") for i in range(40)] + [(i, "junk spam the of and") for i in range(40, 80)] + [(i, "awful vile the of and") for i in range(80, 84)]
+    labels = [(i, "high" if i < 40 else "low") for i in range(80)] + [(80, "toxic"), (81, "toxic")]
+    model, _ = M.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string"))
+    found = {r["feature"]: (r["l0"], r["l1"], r["l2"]) for r in model.collect()}
+    assert {"awful", "vile"} <= set(found) and all(found[w][2] > max(found[w][:2]) for w in ("awful", "vile"))
