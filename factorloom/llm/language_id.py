@@ -9,35 +9,68 @@ Prototypes are learned from all training rows: Spark counts trigrams by language
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import documents, spare_name, written
+from .slices import cuts, sliced
 from .sums import summed_arrays
 
 DIMENSIONS = 512
-#: Languages that may be learned: what is sent to the tasks is at most so many prototypes of 4 * DIMENSIONS bytes.
-MAX_LANGUAGES = 1024
+#: Languages whose prototypes go to the tasks together; more languages are compared block by block.
+BLOCK = 1024
 #: Trigram vectors that a task keeps; they are made anew when more turn up.
 KEPT_TRIGRAMS = 1 << 14
 UNKNOWN = "und"
+#: A cosine of random vectors has a deviation of 1 / sqrt(DIMENSIONS); below three of them a text is like no language.
+CHANCE = 3 / DIMENSIONS**0.5
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SPACE = 32
+#: Texts that are bundled together, and their bytes.
+_TEXTS, _BYTES = 64, 1 << 17
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 2 for letters (Unicode categories L*), 1 for marks (M*), which belong to the letters before them, else 0."""
+    kind = {"L": 2, "M": 1}
+    return np.frombuffer(bytes(kind.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), np.uint8)
+
+
+def letters(text: str | None) -> np.ndarray:
+    """Code points of the lower-cased words, each between single spaces; none without a letter."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
+    kind = _kinds()[points]
+    if not (kind == 2).any():
+        return np.empty(0, np.uint64)
+    inside = kind > 0
+    first = np.r_[False, inside[:-1]]  # of several separators the first stands for all
+    out = np.where(inside, points, _SPACE)[inside | first].astype(np.uint64)
+    return np.r_[np.uint64(_SPACE), out, np.full(int(inside[-1]), _SPACE, np.uint64)]
+
+
+def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the trigrams of all texts, sorted, and how often each text has each."""
+    parts = [letters(x) for x in texts]
+    flat, own = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    if len(flat) < 3:
+        return np.empty(0, np.uint64), np.zeros((len(parts), 0), np.int64)
+    within = own[:-2] == own[2:]
+    codes = (flat[:-2] << np.uint64(42) | flat[1:-1] << np.uint64(21) | flat[2:])[within]
+    known, which = np.unique(codes, return_inverse=True)
+    return known, np.bincount(own[:-2][within] * len(known) + which, minlength=len(parts) * len(known)).reshape(len(parts), len(known))
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the trigrams of the lower-cased words, each between spaces, and their counts; none without a letter."""
-    words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    points = np.frombuffer(f" {words} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    return np.unique(points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:], return_counts=True)
+    """Codes of the trigrams of a text and their counts; none without a letter."""
+    codes, counts = counted([text])
+    return codes, counts[0]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,12 +84,12 @@ def letter_vectors(points: np.ndarray, dimensions: int) -> np.ndarray:
     """A row of +1 and -1 for each code point."""
     lanes = np.arange(1, dimensions // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     bits = _mixed(points[:, None] * np.uint64(0xD1342543DE82EF95) + lanes[None, :])
-    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def trigram_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
     mask = np.uint64((1 << 21) - 1)
-    bound = np.ones((len(codes), dimensions), np.float32)
+    bound = np.ones((len(codes), dimensions), np.int8)
     for shift, turn in ((42, 2), (21, 1), (0, 0)):
         points, which = np.unique(codes >> np.uint64(shift) & mask, return_inverse=True)
         bound *= np.roll(letter_vectors(points, dimensions), turn, axis=1)[which]
@@ -68,7 +101,7 @@ class _Vectors:
 
     def __init__(self, dimensions: int, kept: int = KEPT_TRIGRAMS):
         self.dimensions, self.kept = dimensions, kept
-        self.codes, self.rows = np.empty(0, np.uint64), np.empty((0, dimensions), np.float32)
+        self.codes, self.rows = np.empty(0, np.uint64), np.empty((0, dimensions), np.int8)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """codes: sorted and distinct, as many as fit."""
@@ -85,11 +118,13 @@ class _Vectors:
             at = np.searchsorted(self.codes, codes)
         return self.rows[at]
 
-    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        total = np.zeros(self.dimensions)
+    def bundles(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """A row for each row of counts. Sums are whole numbers and exact: in single precision up to 2^24, else in double."""
+        kind = np.float32 if counts.sum() < 1 << 24 else np.float64
+        total = np.zeros((len(counts), self.dimensions), kind)
         for i in range(0, len(codes), 4096):
-            total += counts[i : i + 4096].astype(np.float32) @ self.of(codes[i : i + 4096])
-        return total
+            total += counts[:, i : i + 4096].astype(kind) @ self.of(codes[i : i + 4096]).astype(kind)
+        return total.astype(np.float64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +141,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts)], ["lang", "code", "n"])
 
     pending = 0
-    for batch in batches:
+    for batch in sliced(batches, "text", _BYTES):
+        by_lang: dict[str, list] = {}
         for lang, text in zip(*(batch.column(x).to_pylist() for x in ("lang", "text"))):
-            codes, counts = trigrams(text)
-            if len(codes):
-                held.setdefault(lang, []).append((codes, counts))
-                pending += len(codes)
-            if pending > 1 << 20:
-                held = {x: [merged(parts)] for x, parts in held.items()}
-                pending = 0
-                if sum(len(x[0][0]) for x in held.values()) > 1 << 20:
-                    yield from out()
-                    held = {}
+            by_lang.setdefault(lang, []).append(text)
+        for lang, texts in by_lang.items():
+            for i in range(0, len(texts), _TEXTS):
+                codes, counts = counted(texts[i : i + _TEXTS])
+                if len(codes):
+                    held.setdefault(lang, []).append((codes, counts.sum(axis=0)))
+                    pending += len(codes)
+        if pending > 1 << 19:
+            held = {x: [merged(parts)] for x, parts in held.items()}
+            pending = 0
+            if sum(len(x[0][0]) for x in held.values()) > 1 << 19:
+                yield from out()
+                held = {}
     yield from out()
 
 
@@ -125,11 +164,12 @@ def _bundle(dimensions: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, total = _Vectors(dimensions), {}
         for batch in batches:
-            langs, codes, counts = (np.array(batch.column(x).to_pylist()) for x in ("lang", "code", "n"))
+            langs = np.array(batch.column("lang").to_pylist())
+            codes, counts = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("code", "n"))
             for lang in dict.fromkeys(langs.tolist()):
-                own = langs == lang
-                order = np.argsort(codes[own].astype(np.int64).view(np.uint64))
-                total[lang] = total.get(lang, 0) + vectors.bundle(codes[own].astype(np.int64).view(np.uint64)[order], counts[own][order])
+                own = np.flatnonzero(langs == lang)
+                own = own[np.argsort(codes[own].view(np.uint64))]
+                total[lang] = total.get(lang, 0) + vectors.bundles(codes[own].view(np.uint64), counts[None, own])[0]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["lang", "vector"])
 
     return task
@@ -138,48 +178,53 @@ def _bundle(dimensions: int):
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """The prototype of each language, of length 1. Rows without a text, letters or language teach nothing.
 
-    Returned to the driver: at most MAX_LANGUAGES rows of fixed length."""
-    slim = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
+    To the driver comes one row of fixed length for each language."""
+    slim = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
     counts = slim.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     parts = written(counts.mapInArrow(_bundle(dimensions), "lang string, vector array<double>"), "bundles")
-    n = parts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if n > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     vectors = {lang: v for (lang,), v in sorted(summed_arrays(parts, ["lang"], "vector").items())}
     return {k: v / np.linalg.norm(v) for k, v in vectors.items() if v.any()}
 
 
-def _predict(prototypes: dict[str, np.ndarray], dimensions: int, keep_text: bool):
-    """For mapInArrow: the text is the last column."""
+def _nearest(prototypes: dict[str, np.ndarray], dimensions: int):
+    """A function of texts that gives the nearest of the prototypes and its cosine; for a text without a letter, none and -2."""
     names = list(prototypes)
     matrix = np.array([prototypes[x] for x in names]).reshape(len(names), dimensions)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vectors = _Vectors(dimensions)
-        for batch in batches:
+        for texts in parts:
             langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                codes, counts = trigrams(text)
-                if not len(codes) or not names:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = vectors.bundle(codes, counts)
-                cosine = matrix @ total / (np.linalg.norm(total) or 1.0)
-                best = int(cosine.argmax())
-                langs.append(names[best])
-                scores.append(float(min(1.0, max(0.0, cosine[best]))))
-            n = batch.num_columns - (not keep_text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
+            for start, stop in cuts(texts, _BYTES, _TEXTS):
+                codes, counts = counted(texts.slice(start, stop - start).to_pylist())
+                total = vectors.bundles(codes, counts)
+                cosine = total @ matrix.T / np.maximum(np.linalg.norm(total, axis=1), 1e-300)[:, None]
+                best = cosine.argmax(axis=1) if names else np.zeros(len(counts), int)
+                some = counts.any(axis=1) & bool(names)
+                langs += [names[b] if yes else None for b, yes in zip(best, some)]
+                scores += [float(c[b]) if yes else -2.0 for c, b, yes in zip(cosine, best, some)]
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(langs, pa.string())], ["score", "lang"])
 
-    return task
+    return found
+
+
+def language(text: Column, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS) -> Column:
+    """A struct of lang_pred and score, the cosine (0 if negative).
+
+    Texts that are null or have no letter (of any Unicode category L*) are ``und`` with score 0; ties go to the first
+    name. Texts of any length are read whole. Prototypes go to the tasks in blocks of BLOCK languages."""
+    names = sorted(prototypes)
+    blocks = [{x: prototypes[x] for x in names[i : i + BLOCK]} for i in range(0, len(names), BLOCK)] or [{}]
+    found = [F.arrow_udf(_nearest(b, dimensions), "score double, lang string")(text.cast("string")) for b in blocks]
+    best = reduce(lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a), found)
+    return F.struct(F.coalesce(best["lang"], F.lit(UNKNOWN)).alias("lang_pred"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), best["score"])).alias("score"))
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """keep columns, lang_pred and score, the cosine (0 if negative). Texts that are null or have no letter are ``und`` with score 0; ties go to the first name."""
-    slim = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = slim.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return slim.mapInArrow(_predict(prototypes, dimensions, False), schema)
+    """keep columns, lang_pred and score of each row; see ``language``."""
+    told = spare_name(docs, "told")
+    found = docs.select(*[F.col(f"`{c}`") for c in keep], language(F.col(f"`{text_col}`"), prototypes, dimensions).alias(told))
+    return found.select(*[F.col(f"`{c}`") for c in keep], f"{told}.*")
 
 
 def held_out(doc_id) -> F.Column:
@@ -191,16 +236,24 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
 
 
-def recognised(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known: all but those predicted ``und``. All columns stay, lang as it is."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    slim = docs.select(F.struct(*rest, F.lit(True).alias(spare_name(docs, "row"))).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = slim.select("row", "text").schema.add("lang_pred", "string").add("score", "double")
-    found = slim.mapInArrow(_predict(learn(training_rows(docs)), DIMENSIONS, True), schema).where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+def recognised(docs: DataFrame, least: float = CHANCE) -> DataFrame:
+    """The documents whose language is known: those that are ``und`` go, and those that are no nearer to any language than chance is (score below least).
+
+    All columns stay, lang as it is; where no language can be learned, the documents with a letter stay. The rows
+    themselves stay in the JVM, only texts go to Python."""
+    prototypes, told = learn(training_rows(docs)), spare_name(docs, "told")
+    if not prototypes:
+        return docs.where(F.regexp_count(F.col("text").cast("string"), F.lit("\\p{L}")) > 0)
+    known = docs.withColumn(told, language(F.col("text"), prototypes)).where((F.col(f"{told}.lang_pred") != UNKNOWN) & (F.col(f"{told}.score") >= least))
+    return known.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prediction for every row of documents, learned from the rows that are not held out.
+
+    Null texts and texts without a letter are ``und`` with score 0; empty tables give an empty result; repeated rows
+    and ids are rows of their own, a null id is neither held out nor learned from; ties go to the first language by
+    name; other columns are not read."""
     docs = documents(spark, sf_dir)
     slim = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return predict(slim, learn(training_rows(docs)), ["doc_id", "held_out"])
