@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import documents, spare_name, written
+from .slices import sliced
 
-#: Bytes of text and rows that a task's trie holds before it spills.
-TRIE_BYTES = 96 << 20
+#: Bytes of text, rows and nodes that a task's trie holds before it spills, and what a node counts for.
+TRIE_BYTES, NODE_BYTES = 64 << 20, 400
 
 
 class _Node:
@@ -78,7 +79,7 @@ class _Trie:
             kid = at.kids.get(key[pos])
             if kid is None:
                 at.kids[key[pos]] = leaf = _Node(key, n)
-                self.held += n
+                self.held += n + NODE_BYTES
                 return leaf
             end = min(kid.end, n)
             if kid.key[pos:end] != key[pos:end]:
@@ -86,6 +87,7 @@ class _Trie:
             elif end == kid.end:
                 at, pos = kid, end
                 continue
+            self.held += NODE_BYTES
             fork = _Node(kid.key, end)
             fork.kids[kid.key[end]] = kid
             at.kids[key[pos]] = fork
@@ -149,7 +151,7 @@ def own(batches: Iterator[pa.RecordBatch], limit: int = TRIE_BYTES) -> Iterator[
 
 def _own(batches: Iterator[pa.RecordBatch], limit: int, folder: str) -> Iterator[tuple[pa.RecordBatch | None, dict]]:
     trie, copies = None, {}
-    for batch in batches:
+    for batch in sliced(batches, "key"):
         trie = trie or _Trie(limit, folder, batch.schema)
         slot, fresh, apart = len(trie.batches), [], {}
         columns = (batch.column(c).to_pylist() for c in ("no_id", "rank", "rid", "size", "key"))
@@ -175,7 +177,7 @@ def _own(batches: Iterator[pa.RecordBatch], limit: int, folder: str) -> Iterator
         if keep:
             for at, node in enumerate(keep.values()):
                 node.owner = (*node.owner[:5], at)
-            trie.batches.append(batch.take(pa.array(list(keep), pa.int32())) if len(keep) < batch.num_rows else batch)
+            trie.batches.append(batch.take(pa.array(list(keep), pa.int32())))  # a copy: a slice would keep its whole batch
             trie.held += trie.batches[-1].nbytes
         if trie.held > limit:
             trie.spill()
@@ -183,8 +185,8 @@ def _own(batches: Iterator[pa.RecordBatch], limit: int, folder: str) -> Iterator
         return
     nodes = list(_below(trie.root))
     owners = [node.owner for node in nodes if node.owner]
-    for i in range(0, len(owners), 2000):
-        yield trie.rows(owners[i : i + 2000]), {}
+    for i in range(0, len(owners), 500):
+        yield trie.rows(owners[i : i + 500]), {}
     yield None, copies
     spills, trie = [node.spill for node in nodes if node.spill], None
     del nodes, owners
@@ -243,8 +245,12 @@ def _schema(*more: T.StructField) -> T.StructType:
 class ExactDedup:
     """Owners of equal texts in docs.
 
-    keep: "max" or "min", the id that stays. Null texts count as empty. A null id loses to any other; among rows
-    with the same text and id, one stays. Repeated rows are rows of their own. Other columns pass through."""
+    keep: "max" or "min", the id that stays. Null texts count as empty; long texts are compared whole. A null id loses
+    to any other; among rows with the same text and id, one stays. Repeated rows are rows of their own. Ids are
+    whole numbers (or null). Other columns pass through, whatever their names; an empty table gives an empty one.
+
+    What a trie spills goes to a temporary folder of the task: only the same attempt reads it, and a task that is
+    lost makes it anew."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", limit: int = TRIE_BYTES, rows: bool = False):
         self.id_col, self.limit = id_col, limit
@@ -296,14 +302,17 @@ class ExactDedup:
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
+    """A row for each row of docs: its id, keep_id, group_size, kept and text_sha256; see ``ExactDedup``."""
     return ExactDedup(docs, **options).assignments()
 
 
 def keep_distinct(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that stay, one of each text, with all their columns; see ``ExactDedup``."""
     return ExactDedup(docs, rows=True, **options).kept()
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the row that stays for its text, the one with the largest doc_id; see ``ExactDedup`` for nulls and ties."""
     return exact_dedup(documents(spark, sf_dir), keep="max")
 
 
