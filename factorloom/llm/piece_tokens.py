@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import documents
+from .slices import sliced
 
 MARK = "▁"
-#: Bounds of what a worker remembers: cuts and their length, and pairs of tokens.
-KEPT_CUTS, LONGEST_CUT, KEPT_PAIRS = 1 << 18, 48, 1 << 20
+#: Bounds of what a worker remembers: cuts of either kind and their length (together some 30 MB), and pairs of tokens (some 20 MB).
+KEPT_CUTS, LONGEST_CUT, KEPT_PAIRS = 1 << 16, 48, 1 << 17
 
 
 class _Memo(dict):
@@ -198,7 +199,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(proto)
-        for batch in batches:
+        for batch in sliced(batches, len(rest)):
             ids = pa.array([tokens.encode(x) for x in batch.column(len(rest)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*rest, ids_col])
 
@@ -221,12 +222,15 @@ def decode(coded: DataFrame, model: str, ids_col: str = "ids", text_col: str = "
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document: doc_id, n_tokens, and digests of its ids and of the text that they decode to."""
+    """For each row: doc_id, n_tokens, and digests of its ids and of the text that they decode to.
+
+    A null text counts as empty: no tokens, the digests of nothing. Long texts are encoded whole. Repeated rows and
+    null ids are rows of their own, an empty table gives an empty one, and other columns are not read."""
     proto = _model(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(proto)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             pairs = [tokens.encode_text(x) for x in batch.column(1).to_pylist()]
             columns = [
                 pa.array([x.count(",") + 1 if x else 0 for x, _ in pairs], pa.int64()),
@@ -246,4 +250,5 @@ def public_model() -> str:
 
 
 def op6_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents encoded and decoded; see ``round_trip`` for nulls, empty and long texts, repeats and other columns."""
     return round_trip(documents(spark, sf_dir), public_model())

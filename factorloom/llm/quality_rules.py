@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import documents
+from .slices import sliced
 
 #: What is measured of a text, in this order.
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters"]
@@ -61,7 +62,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         rows = np.array([measure(x) for x in batch.column(1).to_pylist()], np.int64).reshape(-1, len(MEASURES))
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[:, i]) for i in range(len(MEASURES))]], ["doc_id", *MEASURES])
 
