@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from factorloom.llm.components import components
-from factorloom.llm.simhash import fingerprint, keep_one, near_dedup, near_links
+from factorloom.llm.simhash import NEAR_WIDTH, SIMILAR, fingerprint, keep_one, near_copies, near_dedup, near_links, op5_simhash_near_dedup, shingle_hashes, similarity, tiled_links
 
 
 def slow_fingerprint(text):
@@ -32,7 +32,7 @@ def test_fingerprint(text):
     assert fingerprint(None if text is None else text.encode()) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 16, "longest": 40}])
+@pytest.mark.parametrize("options", [{}, {"tile": 16, "longest": 40}, {"tile": 1}, {"tile": 7, "longest": 3}])
 def test_links_join_what_all_pairs_join(spark, options):
     r = np.random.default_rng(3)
     found = set()
@@ -47,6 +47,80 @@ def test_links_join_what_all_pairs_join(spark, options):
     assert all(got.get(v, v) == label for v, label in labels(values).items())
 
 
+def all_pairs(run, pop, fp, radius):
+    far = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    i, j = np.nonzero((far <= radius) & (run[:, None] == run[None, :]))
+    return {(a, b): far[a, b] for a, b in zip(i.tolist(), j.tolist()) if a < b}
+
+
+def joined(n, links):
+    label = list(range(n))
+    for a, b in links:
+        a, b = label[a], label[b]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_tiles_join_all_pairs_and_skip_far_population_counts():
+    r = np.random.default_rng(8)
+    for tile in (1, 5, 64):
+        fp = np.concatenate([r.integers(0, 2**64, 30, dtype=np.uint64), np.uint64(1) << r.integers(0, 64, 40, dtype=np.uint64), ~(np.uint64(1) << r.integers(0, 64, 40, dtype=np.uint64))])
+        run, pop = r.integers(0, 3, len(fp)), np.bitwise_count(fp).astype(int)
+        order = np.lexsort((pop, run))
+        run, pop, fp, compared = run[order], pop[order], fp[order], []
+        i, j, far = tiled_links(run, pop, fp[None], 3, tile, None, compared)
+        want = all_pairs(run, pop, fp, 3)
+        assert all(want[min(a, b), max(a, b)] == d for a, b, d in zip(i.tolist(), j.tolist(), far.tolist()))
+        assert joined(len(fp), zip(i.tolist(), j.tolist())) == joined(len(fp), want)
+        last = lambda s: min((s + 1) * tile, len(fp)) - 1
+        reach = {(s, t) for s in range(-(-len(fp) // tile)) for t in range(s, -(-len(fp) // tile)) if s == t or run[last(s)] == run[t * tile] and pop[t * tile] - pop[last(s)] <= 3}
+        assert set(compared) == reach
+    m = len(range(0, len(fp), 1))
+    assert len(set(compared)) < m * (m + 1) // 2
+
+
+def test_the_query_over_a_table(spark):
+    """All rows of a given table against all pairs of plain fingerprints."""
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    prints = {d: slow_fingerprint(t) for d, t in rows.items()}
+    label = labels([int(np.uint64(f).astype(np.int64)) for f in set(prints.values())])
+    least = {}
+    for d, f in sorted(prints.items()):
+        least.setdefault(label[int(np.uint64(f).astype(np.int64))], d)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op5_simhash_near_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {d: (f"{f:016x}", least[label[int(np.uint64(f).astype(np.int64))]]) for d, f in prints.items()}
+
+
+def slow_groups(rows, least=SIMILAR):
+    """The smallest id of each one's group, by the exact similarity of all pairs of texts."""
+    sets = {i: np.unique(shingle_hashes(None if t is None else t.encode(), NEAR_WIDTH)) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if similarity(sets[a], sets[b]) >= least]
+    label = dict(zip(ids, ids))
+    for a, b in links:
+        a, b = label[a], label[b]
+        label = {i: min(a, b) if x in (a, b) else x for i, x in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": 8, "longest": 10}])
+def test_near_copies_are_those_of_all_pairs(spark, options):
+    r = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for base in range(25):
+        text = [words[k] for k in r.integers(0, 4000, 400)]
+        for _ in range(6):
+            copy = list(text)
+            for k in r.integers(0, 400, [0, 1, 3, 6, 40, 200][_]):
+                copy[k] = words[r.integers(0, 4000)]
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, None), (1001, ""), (1002, "few words only"), (1003, "Few  words\nonly"), (1004, "few words")]
+    want = slow_groups(rows)
+    got = {x["id"]: x["component_id"] for x in near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **options).collect()}
+    assert got == {i: g for i, g in want.items() if i != g}
+
+
 def test_a_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     got = components(links).collect()
@@ -63,6 +137,10 @@ def test_odd_rows(odd, none):
     want = sorted((repr(i), f, repr(least[label[int(np.uint64(f).astype(np.int64))]])) for i, f in rows)
     got = sorted((repr(r["id"]), r["fp"] & 2**64 - 1, repr(r["component_id"])) for r in near_dedup(odd).collect())
     assert got == want
-    kept = keep_one(odd)
-    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if i is None} | {x for x in least.values() if x is not None}
+    kept, texts = keep_one(odd), {}
+    for r in odd.collect():  # rows of an id are one; of its texts the least counts
+        texts[r["doc_id"]] = min(texts.get(r["doc_id"], r["text"]) or "", r["text"] or "") if r["doc_id"] in texts else r["text"]
+    assert kept.columns == odd.columns
+    left, groups = {r["doc_id"] for r in kept.collect()}, slow_groups([(i, t) for i, t in texts.items() if i is not None])
+    assert left - {8} == {None} | {i for i, g in groups.items() if i == g} - {8}
     assert near_dedup(none).count() == 0 and keep_one(none).count() == 0
