@@ -2,24 +2,31 @@
 
 A naive Bayes classifier of words, learned from the labels table, gives each document posteriors over domains. Then
 each document gets a rate, how often it is to be read, so that the expected tokens of the domains meet their targets:
-least squares over the domains' totals, kept near rate 1 by a small ridge and at 0 or above by projection after every
-gradient step. A step reads and writes one slim table of the documents; what the driver sees of it is one sum a domain.
+least squares over the domains' totals by projected gradient steps.
+
+The gradient of a document's rate is its posteriors times the domains' misses, so all that the steps have added up to
+is one number a domain. A pass over the memberships makes every rate from these numbers, projects it to its bounds and
+sums up the domains; the next step goes along the misses, scaled by the Gram matrix of the documents whose rates are
+within their bounds. The driver sees a few sums a pass; nothing is written.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import documents, scratch_dir, spare_name, written
+from .scratch import documents, spare_name, written
 
-#: Labelled rows that the classifier learns from (the first by a hash of their ids), words that it knows and their length.
-MAX_LABELLED, VOCABULARY, WORD_LENGTH = 20_000, 4096, 48
-#: Weight of the ridge, steps at most, and the change of a domain's share below which they end.
-RIDGE, STEPS, TOLERANCE = 1e-3, 60, 1e-5
+#: Labelled rows that the classifier learns from, about (chosen by a hash of their ids), and buckets of its words.
+MAX_LABELLED, BUCKETS = 20_000, 1 << 18
+#: Documents that a word is taken to be in besides those seen, in the domains' usual shares.
+PRIOR_DOCUMENTS = 1.0
+#: Weight of the ridge that decides between rates that meet the targets alike, and the gradient at which steps end.
+RIDGE, TOLERANCE = 1e-8, 1e-10
 DOMAINS = ["high", "low", "toxic"]
 TARGETS = {"high": 0.85, "low": 0.14, "toxic": 0.01}
 
@@ -33,89 +40,111 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), "")
 
 
-def _features(words: Column, n: Column) -> Column:
-    """The distinct words that are short enough, how much they repeat, and a mark that every document has."""
-    distinct = F.array_distinct(words)
-    return F.concat(F.filter(distinct, lambda w: F.length(w) <= WORD_LENGTH), F.array(F.concat(F.lit(" fresh "), F.floor(10 * F.size(distinct) / F.greatest(n, F.lit(1))).cast("string")), F.lit(" any")))
-
-
 def _with_features(docs: DataFrame, text_col: str) -> DataFrame:
-    with_words = docs.withColumn("words", _words(F.col(f"`{text_col}`"))).drop(text_col)
-    with_size = with_words.withColumn("n_tokens", F.size("words").cast("long"))
-    return with_size.withColumn("feature", F.explode(_features(F.col("words"), F.col("n_tokens")))).drop("words")
-
-
-def learn(docs: DataFrame, labels: DataFrame, domains: list[str] = DOMAINS, max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY, text_col: str = "text") -> tuple[DataFrame, dict[str, float]]:
-    """(feature and its log-likelihood for each domain, log prior of each domain). labels: doc_id and domain.
-
-    The table has vocabulary + 1 rows at most, of features no longer than WORD_LENGTH, so it may be broadcast."""
+    """A row for each distinct word of a document and for how much it repeats words (in tenths), as buckets; one with a null bucket never occurs."""
+    with_words = docs.withColumn("words", _words(F.col(f"`{text_col}`"))).drop(text_col).withColumn("n_tokens", F.size("words").cast("long"))
+    distinct = F.array_distinct("words")
+    fresh = F.concat(F.lit(" fresh "), F.floor(10 * F.size(distinct) / F.greatest("n_tokens", F.lit(1))).cast("string"))
+    each = with_words.withColumn("feature", F.explode(F.array_append(distinct, fresh))).drop("words")
+    return each.withColumn("bucket", F.pmod(F.xxhash64("feature"), F.lit(BUCKETS))).drop("feature")
+
+
+def learn(docs: DataFrame, labels: DataFrame, domains: list[str] = DOMAINS, max_labelled: int = MAX_LABELLED, text_col: str = "text") -> tuple[DataFrame, dict[str, float]]:
+    """(bucket, weight and what a word of it says for each domain; log prior of each domain). labels: doc_id and domain.
+
+    What a word says is the logarithm of the domain's share of the labelled documents that have it, over the domain's
+    share of all, times its weight: 1 - 2 (domains - 1) / G, at least 0, where G is twice the log-likelihood ratio
+    against the usual shares (so what Akaike's criterion takes for chance says nothing). All words of the labelled
+    texts take part. The table has BUCKETS rows at most, whatever the corpus, so it may be broadcast. Of several labels
+    of an id the least counts; beyond max_labelled labelled ids a hash chooses about so many."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    some = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
-    n = {r["domain"]: r["n"] for r in some.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    prior = {k: math.log((n.get(k, 0) + 1) / (sum(n.values()) + len(domains))) for k in domains}
-    taught = docs.select(F.col("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(some), "doc_id")
-    seen = _with_features(taught, "text").groupBy("feature").agg(*[F.sum((F.col("domain") == k).cast("long")).alias(f"c{i}") for i, k in enumerate(domains)])
-    total = sum((F.col(f"c{i}") for i in range(1, len(domains))), F.col("c0"))
-    gain = sum((F.col(f"c{i}") * F.log((F.col(f"c{i}") + 0.5) / (total + 0.5 * len(domains)) / math.exp(prior[k])) for i, k in enumerate(domains)), F.lit(0.0))
-    told = written(seen.where("feature <> ' any'").orderBy(gain.desc(), "feature").limit(vocabulary), "vocabulary")
-    sums = told.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(domains))], F.count("*").alias("v")).first()
-    likely = [F.log((F.col(f"c{i}") + 1) / float(sums[f"c{i}"] + sums["v"])).alias(f"l{i}") for i in range(len(domains))]
-    always = docs.sparkSession.range(1).select(F.lit(" any").alias("feature"), *[F.lit(0.0).alias(f"l{i}") for i in range(len(domains))])
-    return told.select("feature", *likely).union(always), prior
+    known = written(known, "labelled")
+    if (all_known := known.count()) > max_labelled:
+        known = known.where(F.pmod(F.xxhash64(F.lit("labelled"), "doc_id"), F.lit(1 << 32)) < int((1 << 32) * max_labelled / all_known))
+    n = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    share = {k: (n.get(k, 0) + 1) / (sum(n.values()) + len(domains)) for k in domains}
+    taught = docs.select(F.col("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "doc_id")
+    seen = _with_features(taught, "text").groupBy("bucket").agg(*[F.sum((F.col("domain") == k).cast("long")).alias(f"c{i}") for i, k in enumerate(domains)])
+    total = reduce(lambda a, b: a + b, [F.col(f"c{i}") for i in range(len(domains))])
+    ratio = 2 * reduce(lambda a, b: a + b, [F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.log(F.col(f"c{i}") / (total * share[k]))).otherwise(0.0) for i, k in enumerate(domains)])
+    weighed = seen.withColumn("weight", 1 - 2 * (len(domains) - 1) / F.greatest(ratio, F.lit(1e-9)))
+    says = [(F.col("weight") * F.log((F.col(f"c{i}") / share[k] + PRIOR_DOCUMENTS) / (total + PRIOR_DOCUMENTS))).alias(f"l{i}") for i, k in enumerate(domains)]
+    return written(weighed.where("weight > 0").select("bucket", "weight", *says), "words"), {k: math.log(x) for k, x in share.items()}
 
 
 def memberships(numbered: DataFrame, model: DataFrame, prior: dict[str, float], id_col: str = "doc_id", text_col: str = "text", rid: str = "rid") -> DataFrame:
-    """(rid, doc_id, n_tokens, p_<domain>...). The log-likelihoods of the known words are summed and divided by the root of their number, which keeps memberships soft."""
+    """(rid, doc_id, n_tokens, p_<domain>...). What the known words say is summed and divided by the root of their weight, which keeps memberships soft."""
     domains = list(prior)
     slim = numbered.select(F.col(rid).alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    hits = _with_features(slim, "text").join(F.broadcast(model), "feature")
-    sums = hits.groupBy("rid", "doc_id", "n_tokens").agg(*[F.sum(f"l{i}").alias(f"s{i}") for i in range(len(domains))], F.count("*").alias("hits"))
-    root = F.sqrt(F.greatest(F.col("hits") - 1, F.lit(1)))
+    hits = _with_features(slim, "text").join(F.broadcast(model), "bucket", "left")
+    sums = hits.groupBy("rid", "doc_id", "n_tokens").agg(*[F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(domains))], F.coalesce(F.sum("weight"), F.lit(0.0)).alias("hits"))
+    root = F.sqrt(F.greatest("hits", F.lit(1.0)))
     raw = sums.select("rid", "doc_id", "n_tokens", *[(prior[k] + F.col(f"s{i}") / root).alias(f"s{i}") for i, k in enumerate(domains)])
     top = F.greatest(*[F.col(f"s{i}") for i in range(len(domains))]) if len(domains) > 1 else F.col("s0")
     raised = raw.select("rid", "doc_id", "n_tokens", *[F.exp(F.col(f"s{i}") - top).alias(f"e{i}") for i in range(len(domains))])
-    whole = sum((F.col(f"e{i}") for i in range(1, len(domains))), F.col("e0"))
+    whole = reduce(lambda a, b: a + b, [F.col(f"e{i}") for i in range(len(domains))])
     return raised.select("rid", "doc_id", "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p_{k}") for i, k in enumerate(domains)])
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, max_rate: float | None = None, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def _rate(drift: Column, max_rate: float | None) -> Column:
+    raised = F.greatest(F.lit(0.0), 1 + drift)
+    return raised if max_rate is None else F.least(F.lit(float(max_rate)), raised)
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, max_rate: float | None = None, ridge: float = RIDGE, tolerance: float = TOLERANCE) -> DataFrame:
     """members with ``rate``. targets: shares of the tokens to be read, scaled to sum 1; total: how many, as many as there are unless given.
 
     Minimises 1/2 sum_k (S_k / T - target_k)^2 + ridge/2 sum_d (t_d / T) (rate_d - 1)^2 over 0 <= rate_d (<= max_rate), where S_k = sum_d t_d p_dk rate_d.
-    Steps are accelerated and scaled by T / t_d, so that each document's step needs only the domains' misses. Documents without tokens have rate 1."""
-    spark, domains = members.sparkSession, list(targets)
-    sums = [F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{k}")), F.lit(0.0)).alias(f"s{i}") for i, k in enumerate(domains)]
-    first = members.agg(*sums).first()
-    tokens = sum(first)
+    Steps go on until no part of the gradient exceeds the tolerance, or the objective can't be told to fall any more.
+    Documents without tokens have rate 1; where there are no tokens at all, all have."""
+    domains = list(targets)
+    p, weight = [F.col(f"p_{k}") for k in domains], F.col("n_tokens").cast("double")
+    tokens = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     if not tokens:
         return members.withColumn("rate", F.lit(1.0))
     scale = (total if total is not None else tokens) / tokens / sum(targets.values())
-    goal, share = [targets[k] * scale for k in domains], [x / tokens for x in first]
-    names, base, step = [f"p_{k}" for k in domains], f"{scratch_dir(spark)}/factorloom-{uuid.uuid4().hex}", 1 / (1 + ridge)
-    state, t = members.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)}), 1.0
-    columns = [*members.columns, "rate", "ahead"]
-    for i in range(steps):
-        slope = sum(((a - b) * F.col(p) for a, b, p in zip(share, goal, names)), F.lit(0.0)) + ridge * (F.col("ahead") - 1)
-        new = F.greatest(F.lit(0.0), F.col("ahead") - step * slope)
-        new = F.when(F.col("n_tokens") > 0, new if max_rate is None else F.least(F.lit(float(max_rate)), new)).otherwise(1.0)
-        later = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        moved = state.withColumn("was", F.col("rate")).withColumn("rate", new).withColumn("ahead", F.col("rate") + (t - 1) / later * (F.col("rate") - F.col("was")))
-        seen = Observation()
-        ahead = [F.sum(F.col("n_tokens") * F.col(p) * F.col("ahead")).alias(f"s{k}") for k, p in enumerate(names)]
-        moved.select(*columns).observe(seen, *ahead).write.mode("overwrite").parquet(f"{base}/rates{i % 2}")  # the other one is being read
-        state = spark.read.schema(moved.select(*columns).schema).parquet(f"{base}/rates{i % 2}")
-        got, t = [(seen.get[f"s{k}"] or 0.0) / tokens for k in range(len(domains))], later
-        done = max(abs(a - b) for a, b in zip(got, share)) < tolerance
-        share = got
-        if done and i > 3:
+    goal, n = np.array([targets[k] * scale for k in domains]), len(domains)
+    pairs = [(a, b) for a in range(n) for b in range(a, n)]
+    drift = lambda said: reduce(lambda a, b: a + b, [float(x) * c for x, c in zip(said, p)])
+
+    def passed(tried: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each tried sum of steps, in one pass: the objective of the domains' numbers, its gradient and its Gram matrix."""
+        sums = []
+        for said in tried:
+            z = drift(said)
+            rate = _rate(z, max_rate)
+            beyond = F.lit(0.0) if max_rate is None else F.greatest(F.lit(0.0), 1 + z - max_rate) * max_rate
+            live = z > -1 if max_rate is None else (z > -1) & (z < max_rate - 1)
+            sums += [F.sum(weight * (rate * rate / 2 + beyond)), *[F.sum(weight * c * rate) for c in p], *[F.sum(F.when(live, weight * p[a] * p[b]).otherwise(0.0)) for a, b in pairs]]
+        got = np.array(members.agg(*[x.alias(f"x{i}") for i, x in enumerate(sums)]).first(), float).reshape(len(tried), -1) / tokens
+        out = []
+        for said, row in zip(tried, got):
+            gram = np.zeros((n, n))
+            for (a, b), x in zip(pairs, row[1 + n :]):
+                gram[a, b] = gram[b, a] = x
+            out.append((row[0] - goal @ said + ridge / 2 * said @ said, row[1 : 1 + n] - goal + ridge * said, gram + ridge * np.eye(n)))
+        return out
+
+    said = np.zeros(n)
+    value, slope, gram = passed([said])[0]
+    while np.abs(slope).max() > tolerance:
+        step = -np.linalg.solve(gram, slope)
+        tried = [said + step * 0.25**k for k in range(8)]
+        found = passed(tried)
+        best = min(range(len(tried)), key=lambda k: found[k][0])
+        better = found[best][0] < value or (found[best][0] <= value + 1e-15 and np.abs(found[best][1]).max() < np.abs(slope).max())
+        if not better:
             break
-    return state.drop("ahead")
+        said, (value, slope, gram) = tried[best], found[best]
+    return members.withColumn("rate", F.when(F.col("n_tokens") > 0, _rate(drift(said), max_rate)).otherwise(1.0))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text_col: str = "text", rid: str | None = None, **options) -> DataFrame:
     """(rid, doc_id, n_tokens, p_<domain>..., rate) of each row of docs. labels: doc_id and domain, one of targets.
 
-    rid: a column of docs that tells rows apart, else they are numbered. Tokens are what white space parts; a null text has none. Without usable labels all domains are alike."""
+    rid: a column of docs that tells rows apart, else they are numbered. Tokens are what white space parts; null and
+    empty texts have none and rate 1. Texts are read whole; repeated rows and ids are rows of their own, a null id has
+    no label, other columns are not read. Without usable labels all domains are alike; an empty table gives an empty one."""
     row = F.col(rid) if rid else F.monotonically_increasing_id()
     numbered = docs.select(row.alias("rid"), "doc_id", F.col(f"`{text_col}`").cast("string").alias("text"))
     model, prior = learn(docs, labels, list(targets), text_col=text_col)
@@ -125,8 +154,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return fit_rates(members, targets, **options)
 
 
+def shares(mixed: DataFrame, domains: list[str] = DOMAINS) -> dict[str, float]:
+    """The domains' shares of the tokens to be read."""
+    read = F.col("n_tokens") * F.col("rate")
+    sums = mixed.agg(*[F.coalesce(F.sum(read * F.col(f"p_{k}")), F.lit(0.0)) for k in domains]).first()
+    return {k: x / (sum(sums) or 1.0) for k, x in zip(domains, sums)}
+
+
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
-    """docs with each row as often as its rate says: its whole part, and once more with the chance of the rest, by a hash of id and text. Columns stay."""
+    """docs with each row as often as its rate says: its whole part, and once more with the chance of the rest, by a hash of id and text. Columns stay; see ``mix``."""
     text, rid = F.col("text"), spare_name(docs, "rid")
     numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     rates = mix(numbered, labels, targets, rid=rid, **options)
@@ -141,4 +177,5 @@ def table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors and rate of every row of documents; see ``mix`` for nulls, empty and long texts, repeats and other columns."""
     return mix(documents(spark, sf_dir), table_labels(spark, sf_dir)).drop("rid")
