@@ -16,7 +16,7 @@ TARGETS = {"high": 0.95, "low": 0.05, "toxic": 0.0}
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go."""
+    """Documents whose language can't be told go: those without a letter, and those no nearer to any language's prototype than chance is."""
     return language_id.recognised(docs)
 
 
@@ -26,7 +26,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the document with the smallest doc_id stays."""
+    """Of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 
