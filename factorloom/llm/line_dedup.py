@@ -2,9 +2,9 @@
 
 Lines are cut further where a sentence ends, as shared passages are often pasted inside a line, and long sentences at
 places that the words around them choose, so that a passage is cut the same way whatever stands before and after it in
-its sentence. Units are normalised and digested; Spark groups the digests of all documents. The document with the smallest id keeps a unit, at its first
-place; everywhere else it goes. Adjacent units that go make a span, and only spans of some length count, so that
-short sentences that happen to be the same are left alone. Spans keep their places in the original text.
+its sentence. Units are normalised and digested; Spark groups the digests of all documents. The document with the
+smallest id keeps a unit, at its first place; everywhere else it goes. Adjacent units that go make a span. Spans keep
+their places in the original text, and the texts come back without them.
 """
 
 from __future__ import annotations
@@ -13,34 +13,58 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import documents, spare_name, written
+from .slices import cuts, sliced
 
-#: Words that a span has at least.
+#: Words that a span of op3 has at least. By default every repeated unit goes; but sentences of a word or two ("The.") are
+#: in two thirds of otherwise clean documents, so for whole corpora a caller wishes for a minimum.
 SPAN_WORDS = 15
 #: A sentence of more words is cut where the hash of two adjacent words is the least among those up to REACH places off.
 LONG_WORDS, REACH = 16, 3
 _WORD = re.compile(r"\S+")
-_UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
-_SCHEMA = "rid long, no_id boolean, rank long, unit int, start int, stop int, n_words int, again boolean, h1 long, h2 long"
-
-
-def units(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, stop, words, digest) of each unit with a word; places are in code points."""
+_END = re.compile(r"[.!?]+|\n")
+_SCHEMA = "rid long, rank long, unit int, again boolean, h1 long, h2 long"
+_LAST = (1 << 63) - 1
+
+
+def _sentences(text: str) -> Iterator[tuple[int, int]]:
+    """Lines, cut behind marks that white space or the end of the text follows. Every character is looked at once."""
+    start = 0
+    for m in _END.finditer(text):
+        if m[0] == "\n":
+            yield start, m.start()
+            start = m.end()
+        elif m.end() == len(text) or text[m.end()].isspace():
+            yield start, m.end()
+            start = m.end()
+    yield start, len(text)
+
+
+def pieces(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, stop, words) of each unit with a word; places are in code points, words are lower-cased."""
     text = text or ""
-    for m in _UNIT.finditer(text):
-        words = m[0].lower().split()
+    for begin, end in _sentences(text):
+        words = text[begin:end].lower().split()
         if not words:
             continue
-        cuts = _cuts(words) if len(words) > LONG_WORDS else []
-        ends = [x.end() for x in _WORD.finditer(text, m.start(), m.end())] if cuts else []
-        edges = [m.start(), *(ends[i - 1] for i in cuts), m.end()]
-        for a, b, start, stop in zip([0, *cuts], [*cuts, len(words)], edges, edges[1:]):
-            yield start, stop, b - a, hashlib.blake2b(" ".join(words[a:b]).encode("utf-8", "replace"), digest_size=16).digest()
+        inner = _cuts(words) if len(words) > LONG_WORDS else []
+        ends = [x.end() for x in _WORD.finditer(text, begin, end)] if inner else []
+        edges = [begin, *(ends[i - 1] for i in inner), end]
+        for a, b, start, stop in zip([0, *inner], [*inner, len(words)], edges, edges[1:]):
+            yield start, stop, words[a:b]
+
+
+def units(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, stop, number of words, digest) of each unit."""
+    for start, stop, words in pieces(text):
+        yield start, stop, len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def _cuts(words: list[str]) -> list[int]:
@@ -51,77 +75,105 @@ def _cuts(words: list[str]) -> list[int]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for rid, no_id, rank, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            met = set()
-            for i, (start, stop, n, digest) in enumerate(units(text)):
-                rows.append((rid, no_id, rank, i, start, stop, n, digest in met, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+    for batch in sliced(batches, 2):
+        rids, ranks, places, again, digests = [], [], [], [], []
+        for rid, rank, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            met, own = set(), [x[3] for x in units(text)]
+            for digest in own:
+                again.append(digest in met)
                 met.add(digest)
-            if len(rows) > 50_000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
+            rids += [rid] * len(own)
+            ranks += [rank] * len(own)
+            places += range(len(own))
+            digests += own
+        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        columns = [pa.array(rids, pa.int64()), pa.array(ranks, pa.int64()), pa.array(places, pa.int32()), pa.array(again, pa.bool_()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCHEMA.split(", ")])
+
+
+_SPAN = "array<struct<start: int, stop: int, n_words: int, n_units: int, keep_rank: bigint>>"
+
+
+def _without(span_words: int):
+    """A function of texts and of the units that go, as (unit, owner): texts without the spans of enough words, and the spans."""
+
+    def spans(text: str, gone: np.ndarray, owner: np.ndarray) -> list[dict]:
+        out: list[dict] = []
+        own, last = dict(zip(gone.tolist(), owner.tolist())), -2
+        for i, (start, stop, words) in enumerate(pieces(text)):
+            if i in own:
+                if last < i - 1:
+                    out.append({"start": start, "stop": stop, "n_words": 0, "n_units": 0, "keep_rank": own[i]})
+                x, last = out[-1], i
+                x["stop"], x["n_words"], x["n_units"], x["keep_rank"] = stop, x["n_words"] + len(words), x["n_units"] + 1, min(x["keep_rank"], own[i])
+        return [x for x in out if x["n_words"] >= span_words]
+
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False)
+        ends, flat = np.cumsum(lengths), gone.flatten()
+        unit, owner = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("unit", "owner"))
+        found, left = [], []
+        for a, b in cuts(texts):
+            for i, text in enumerate(texts.slice(a, b - a).to_pylist(), a):
+                own = slice(ends[i] - lengths[i], ends[i])
+                found.append(spans(text, unit[own], owner[own]) if lengths[i] else [])
+                edges = [0, *(x for s in found[-1] for x in (s["start"], s["stop"])), None]
+                left.append("".join(text[x:y] for x, y in zip(edges[::2], edges[1::2])) if found[-1] else text)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()), ("n_units", pa.int32()), ("keep_rank", pa.int64())]))
+        return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(found, kind)], ["text", "spans"])
+
+    return cut
+
+
+def _rank(id_col: str) -> Column:
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
+
+
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, span_words: int, how: str) -> tuple[DataFrame, str]:
+    """docs with a struct of the text that is left and the spans that went (inner: rows with units that go; left: all), and the struct's name."""
+    rid = spare_name(docs, "rid")
+    numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    text = F.col(f"`{text_col}`").cast("string")
+    cut = written(numbered.select(F.col(rid).alias("rid"), _rank(id_col).alias("rank"), text.alias("text")).mapInArrow(_cut, _SCHEMA), "units")
+    # a digest that fills a third of all units is summed before it is dealt out; owners are a table, so that both sides
+    # of the join are dealt for it alone and adaptive execution may split such a digest's rows
+    owners = cut.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("rank").alias("owner")).where("n_docs > 1")
+    owners = written(owners.select("h1", "h2", "owner"), "owners")
+    gone = cut.join(owners, ["h1", "h2"], "left").where("again or rank > owner").select("rid", F.struct("unit", F.coalesce("owner", "rank").alias("owner")).alias("gone"))
+    units_gone, told = spare_name(numbered, "gone"), spare_name(numbered, "told")
+    by_row = gone.groupBy("rid").agg(F.collect_list("gone").alias(units_gone)).withColumnRenamed("rid", rid)
+    without = F.arrow_udf(_without(span_words), f"struct<text: string, spans: {_SPAN}>")
+    return numbered.join(by_row, rid, how).withColumn(told, without(text, F.col(units_gone))), told
 
 
-_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+def _spans(told: str, id_col: str) -> Column:
+    """Spans with keep_id, the id of the row that keeps them (null if that row has none)."""
+    return F.transform(f"{told}.spans", lambda x: F.struct(x["start"], x["stop"], x["n_words"], x["n_units"], F.when(x["keep_rank"] != _LAST, x["keep_rank"]).alias("keep_id")))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], [x.split()[0] for x in _SCHEMA.split(", ")])
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 1) -> DataFrame:
+    """A row for each document that loses a span: its id, text without its repeated spans, and spans, with start and stop in code points of the original text, n_words, n_units and keep_id, the least id that keeps a unit of it.
 
+    Null and empty texts have no units. Long texts are read whole. A null id ranks last. Ids are whole numbers. Rows that
+    share an id don't take units from each other, but repeats within a row go. Other columns may have any names; an
+    empty table gives an empty one."""
+    found, told = _cleaned(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, span_words, "inner")
+    return found.where(F.size(f"{told}.spans") > 0).select(F.col(f"`{id_col}`"), F.col(f"{told}.text").alias(text_col), _spans(told, id_col).alias("spans"))
 
-def _numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    rid = spare_name(docs, "rid")
-    return docs.withColumn(rid, F.monotonically_increasing_id()), rid
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 1) -> DataFrame:
+    """A row for each span that goes: the id, start, stop, n_words, n_units and keep_id; see ``cleaned``."""
+    return cleaned(docs, id_col, text_col, span_words).select(F.col(f"`{id_col}`"), F.explode("spans").alias("span")).select(F.col(f"`{id_col}`"), "span.*")
 
-def _spans(numbered: DataFrame, rid: str, id_col: str, text_col: str, span_words: int) -> DataFrame:
-    ident = F.col(f"`{id_col}`").cast("long")
-    slim = numbered.select(F.col(rid).alias("rid"), ident.isNull().alias("no_id"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("rank"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    cut = written(slim.mapInArrow(_cut, _SCHEMA), "units")
-    # a digest that fills a third of all units is summed before it is dealt out; owners are a table, so that both sides
-    # of the join are dealt for it alone and adaptive execution may split such a digest's rows
-    owners = cut.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("rank").alias("owner")).where("n_docs > 1")
-    owners = written(owners.select("h1", "h2", "owner"), "owners")
-    gone = cut.join(owners, ["h1", "h2"], "left").where("again or rank > owner")
-    w = Window.partitionBy("rid").orderBy("unit")
-    runs = gone.withColumn("run", F.col("unit") - F.row_number().over(w))
-    return (
-        runs.groupBy("rid", "run")
-        .agg(F.first("no_id").alias("no_id"), F.first("rank").alias("rank"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").cast("int").alias("n_words"), F.count("*").cast("int").alias("n_units"), F.min("owner").alias("owner"))
-        .where(F.col("n_words") >= span_words)
-        .select("rid", F.when(~F.col("no_id"), F.col("rank")).alias("doc_id"), "start", "stop", "n_words", "n_units", F.coalesce("owner", "rank").alias("keep_id"))
-    )
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
-    """A row for each span that goes: doc_id, start and stop in code points, n_words, n_units and keep_id, the least id that keeps a unit of it.
-
-    Null texts have no units. A null id ranks last. Rows that share an id don't take units from each other, but repeats within a row go."""
-    numbered, rid = _numbered(docs, id_col)
-    return _spans(numbered, rid, id_col, text_col, span_words).drop("rid")
-
-
-def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
-    """docs with their repeated spans cut out of the texts; documents without any stay as they are."""
-    numbered, rid = _numbered(docs, id_col)
-    numbered = written(numbered, "numbered")
-    spans = _spans(numbered, rid, id_col, text_col, span_words)
-    cuts, columns = spare_name(numbered, "cuts"), docs.columns
-    by_row = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(cuts)).withColumnRenamed("rid", rid)
-    text = F.col(f"`{text_col}`")
-    start = lambda x: F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    kept = F.aggregate(
-        F.col(cuts),
-        start(None),
-        lambda s, c: F.struct(c["stop"].alias("at"), F.concat(s["out"], F.substr(text, s["at"] + 1, c["start"] - s["at"])).alias("out")),
-        lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)),
-    )
-    joined = numbered.join(by_row, rid, "left")
-    return joined.select(*[F.when(F.col(cuts).isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
+
+def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 1) -> DataFrame:
+    """docs with their repeated spans cut out of the texts; documents without any stay as they are. Columns stay; see ``cleaned``."""
+    found, told = _cleaned(docs, id_col, text_col, span_words, "left")
+    kept = F.when(F.size(f"{told}.spans") > 0, F.col(f"{told}.text")).otherwise(F.col(f"`{text_col}`"))
+    return found.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(documents(spark, sf_dir))
+    """Every document that loses a span of SPAN_WORDS or more, without it; see ``cleaned`` for nulls, empty and long texts, repeats and other columns."""
+    found = cleaned(documents(spark, sf_dir), span_words=SPAN_WORDS)
+    return found.select("doc_id", "spans", F.aggregate("spans", F.lit(0), lambda n, x: n + x["n_words"]).alias("words_removed"), "text")

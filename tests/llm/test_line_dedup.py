@@ -1,13 +1,51 @@
 from __future__ import annotations
 
 import random
+import time
+
+import pytest
+import xxhash
 
 from factorloom.llm import line_dedup as L
 
 
+def slow_units(text):
+    """(start, stop, words) character by character, by the rules as the docstrings state them."""
+    text, out = text or "", []
+    places, begin, i = [], 0, 0
+    while i < len(text):
+        if text[i] == "\n":
+            places.append((begin, i))
+            begin = i + 1
+        elif text[i] in ".!?" and (i + 1 == len(text) or text[i + 1].isspace()):
+            places.append((begin, i + 1))
+            begin = i + 1 if i + 1 == len(text) or text[i + 1] != "\n" else i + 2
+            i = begin - 1
+        i += 1
+    places.append((begin, len(text)))
+    for begin, stop in places:
+        found, at = [], None  # (word, its end)
+        for i in range(begin, stop + 1):
+            if i < stop and not text[i].isspace():
+                at = i if at is None else at
+            elif at is not None:
+                found.append((text[at:i].lower(), i))
+                at = None
+        words = [w for w, _ in found]
+        cut = []
+        if len(words) > L.LONG_WORDS:
+            h = [xxhash.xxh64_intdigest(f"{x} {y}".encode()) for x, y in zip(words, words[1:])]
+            cut = [i + 1 for i in range(L.REACH, len(h) - L.REACH) if all(h[i] < h[k] for k in range(i - L.REACH, i + L.REACH + 1) if k != i)]
+        edges = [0, *cut, len(words)]
+        for x, y in zip(edges, edges[1:]):
+            if words:
+                out.append((begin if not x else found[x - 1][1], stop if y == len(words) else found[y - 1][1], words[x:y]))
+    return out
+
+
 def brute(rows, span_words):
     """Owners by a dictionary over all units; rows: (id, text)."""
-    each = [(i, (i is None, i or 0), list(L.units(t))) for i, t in rows]
+    each = [(i, (i is None, i or 0), [(a, b, len(w), " ".join(w)) for a, b, w in slow_units(t)]) for i, t in rows]
     owner, docs = {}, {}
     for n, (i, rank, us) in enumerate(each):
         for *_, d in us:
@@ -27,6 +65,18 @@ def brute(rows, span_words):
     return sorted(out)
 
 
+@pytest.mark.parametrize("text", [None, "", " \n\n ", "a", "A b.\nc. d?! e", "a...b ... c..", ".\n.", "x.\n", "1.5 and 2.\u00a0Ä\x1c. End", "one two " * 30, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20.  Next\tone"])
+def test_units(text):
+    assert [(a, b, w) for a, b, w in L.pieces(text)] == slow_units(text)
+
+
+def test_long_runs_of_stops_take_no_longer():
+    for text in ("a" + "." * 1_000_000 + "x", "." * 1_000_000, ("a" * 50 + ".") * 20_000, "\n" * 1_000_000):
+        began = time.perf_counter()
+        assert len(list(L.units(text))) <= 1
+        assert time.perf_counter() - began < 5
+
+
 def spans(df, **k):
     return sorted((repr(r["doc_id"]), r["start"], r["stop"], r["n_words"], r["n_units"]) for r in L.repeated_spans(df, **k).collect())
 
@@ -44,18 +94,50 @@ def test_a_passage_inside_lines_is_found_and_cut(spark):
     passage = " ".join(f"Sentence number {i} says its own word w{i} here and now." for i in range(8))
     rows = [(1, "first text " + passage + " tail one"), (2, "clean text. It has its own words only."), (3, "other words\nbefore " + passage + "\nand behind")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    (r,) = L.repeated_spans(df).collect()
+    (r,) = L.repeated_spans(df, span_words=15).collect()
     assert (r["doc_id"], r["keep_id"]) == (3, 1) and r["n_words"] > 60 and rows[2][1][r["start"] : r["stop"]].strip().startswith("Sentence number 1")
-    cut = {r["doc_id"]: r["text"] for r in L.without_spans(df).collect()}
+    cut = {r["doc_id"]: r["text"] for r in L.without_spans(df, span_words=15).collect()}
+    (told,) = L.cleaned(df, span_words=15).collect()
+    assert told["doc_id"] == 3 and told["text"] == cut[3] and [tuple(x)[:2] for x in told["spans"]] == [(r["start"], r["stop"])]
     assert cut[1] == rows[0][1] and cut[2] == rows[1][1] and "number 5" not in cut[3] and cut[3].startswith("other words\nbefore") and cut[3].endswith("\nand behind")
 
 
+def without(text, spans):
+    for start, stop in sorted(spans, reverse=True):
+        text = text[:start] + text[stop:]
+    return text
+
+
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    assert spans(odd) == brute(rows, L.SPAN_WORDS)
-    cut = L.without_spans(odd)
-    assert cut.columns == odd.columns and cut.count() == odd.count()
-    assert L.repeated_spans(none).count() == 0 and L.without_spans(none).count() == 0
+    for least in (1, L.SPAN_WORDS):
+        want = brute(rows, least)
+        assert spans(odd, span_words=least) == want
+        cut = L.without_spans(odd, span_words=least)
+        assert cut.columns == odd.columns and cut.count() == odd.count()
+        by_id = {}
+        for i, start, stop, *_ in want:
+            by_id.setdefault(i, []).append((start, stop))
+        lost = L.cleaned(odd, span_words=least).collect()
+        texts = {(repr(i), t) for i, t in rows}
+        assert {repr(r["doc_id"]) for r in lost} == set(by_id)
+        for r in lost:
+            places = [(x["start"], x["stop"]) for x in r["spans"]]
+            assert any(i == repr(r["doc_id"]) and t is not None and without(t, places) == r["text"] for i, t in texts)
+        assert sorted(repr(r["text"]) for r in cut.collect() if r["doc_id"] == 4) == ["None"]
+    for f in (L.repeated_spans, L.without_spans, L.cleaned):
+        assert f(none).count() == 0
+
+
+def test_the_query_over_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r["doc_id"], r["text"]) for r in docs]
+    got = L.op3_substring_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((repr(r["doc_id"]), *list(x)[:4]) for r in got for x in r["spans"]) == brute(rows, L.SPAN_WORDS)
+    texts = dict(rows)
+    for r in got:
+        assert r["text"] == without(texts[r["doc_id"]], [(x["start"], x["stop"]) for x in r["spans"]])
+        assert r["words_removed"] == sum(x["n_words"] for x in r["spans"])
 
 
 def test_a_passage_inside_one_long_sentence_is_found(spark):
@@ -63,7 +145,7 @@ def test_a_passage_inside_one_long_sentence_is_found(spark):
     words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
     passage = words(60)
     rows = [(1, f"{words(9)} {passage} {words(30)}."), (2, f"{words(40)}  {passage}\t{words(5)}"), (3, words(200)), (4, passage)]
-    found = {k: [r for r in L.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == k] for k in range(1, 5)}
+    found = {k: [r for r in L.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), span_words=5).collect() if r["doc_id"] == k] for k in range(1, 5)}
     assert not found[1] and not found[3]
     for k in (2, 4):
         (r,) = found[k]
