@@ -114,7 +114,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
             z = drift(said)
             rate = _rate(z, max_rate)
             beyond = F.lit(0.0) if max_rate is None else F.greatest(F.lit(0.0), 1 + z - max_rate) * max_rate
-            live = z > -1 if max_rate is None else (z > -1) & (z < max_rate - 1)
+            live = z > -1 if max_rate is None else (z > -1) & (z <= max_rate - 1)
             sums += [F.sum(weight * (rate * rate / 2 + beyond)), *[F.sum(weight * c * rate) for c in p], *[F.sum(F.when(live, weight * p[a] * p[b]).otherwise(0.0)) for a, b in pairs]]
         got = np.array(members.agg(*[x.alias(f"x{i}") for i, x in enumerate(sums)]).first(), float).reshape(len(tried), -1) / tokens
         out = []
@@ -125,17 +125,22 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
             out.append((row[0] - goal @ said + ridge / 2 * said @ said, row[1 : 1 + n] - goal + ridge * said, gram + ridge * np.eye(n)))
         return out
 
-    said = np.zeros(n)
+    said, shorter = np.zeros(n), 0
     value, slope, gram = passed([said])[0]
     while np.abs(slope).max() > tolerance:
         step = -np.linalg.solve(gram, slope)
-        tried = [said + step * 0.25**k for k in range(8)]
+        tried = [said + step * 0.25 ** (shorter + k) for k in range(8)]
         found = passed(tried)
         best = min(range(len(tried)), key=lambda k: found[k][0])
-        better = found[best][0] < value or (found[best][0] <= value + 1e-15 and np.abs(found[best][1]).max() < np.abs(slope).max())
-        if not better:
+        gain = value - found[best][0]
+        if gain > 0:
+            said, (value, slope, gram), shorter = tried[best], found[best], max(0, shorter + best - 1)
+            if gain < 1e-13 * max(1.0, abs(value)):
+                break
+        elif np.abs(tried[-1] - said).max() > 1e-15 * max(1.0, np.abs(said).max()):
+            shorter += 8
+        else:
             break
-        said, (value, slope, gram) = tried[best], found[best]
     return members.withColumn("rate", F.when(F.col("n_tokens") > 0, _rate(drift(said), max_rate)).otherwise(1.0))
 
 
