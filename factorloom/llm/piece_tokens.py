@@ -25,21 +25,23 @@ from .scratch import documents
 from .slices import sliced
 
 MARK = "▁"
-#: Bounds of what a worker remembers: cuts of either kind and their length (together some 30 MB), and pairs of tokens (some 20 MB).
-KEPT_CUTS, LONGEST_CUT, KEPT_PAIRS = 1 << 16, 48, 1 << 17
+#: Bounds of what half a memo remembers: cuts of either kind and their length (some 35 MB each), and pairs of tokens (some 15 MB).
+KEPT_CUTS, LONGEST_CUT, KEPT_PAIRS = 3 << 15, 48, 1 << 17
 
 
 class _Memo(dict):
-    """Computes what it lacks; starts again when full."""
+    """Computes what it lacks. When full it becomes the old half, from which what is still asked for comes back."""
 
     def __init__(self, made, kept: int, longest: int | None = None):
         super().__init__()
-        self.made, self.kept, self.longest = made, kept, longest
+        self.made, self.kept, self.longest, self.old = made, kept, longest, {}
 
     def __missing__(self, key):
-        value = self.made(key)
+        if (value := self.old.get(key)) is None:
+            value = self.made(key)
         if self.longest is None or len(key) <= self.longest:
             if len(self) >= self.kept:
+                self.old = self.copy()
                 self.clear()
             self[key] = value
         return value
