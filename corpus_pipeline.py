@@ -31,9 +31,9 @@ def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are read once or not at all: rates are at most 1, and what is left of a rate is drawn by a hash."""
+    """Documents are read once or not at all: rates are at most 1, and what is left of a rate is drawn by a hash. With that the targets are out of reach, and the ridge keeps the cut between what is read and what is not soft."""
     good = lambda members: members.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("p_high")), F.lit(0.0))).first()[0] / TARGETS["high"]
-    return mixing.resampled(docs, mixing.table_labels(spark, sf_dir), TARGETS, total=good, max_rate=1.0)
+    return mixing.resampled(docs, mixing.table_labels(spark, sf_dir), TARGETS, total=good, max_rate=1.0, ridge=1e-3)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
