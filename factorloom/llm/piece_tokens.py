@@ -25,8 +25,8 @@ from .scratch import documents
 from .slices import sliced
 
 MARK = "▁"
-#: Bounds of what half a memo remembers: cuts of either kind and their length (some 35 MB each), and pairs of tokens (some 15 MB).
-KEPT_CUTS, LONGEST_CUT, KEPT_PAIRS = 3 << 15, 48, 1 << 17
+#: Bounds of what half a memo remembers: cuts of either kind and their length (some 45 MB each), and pairs of tokens (some 15 MB).
+KEPT_CUTS, LONGEST_CUT, KEPT_PAIRS = 1 << 17, 48, 1 << 17
 
 
 class _Memo(dict):
@@ -68,6 +68,8 @@ class PieceTokens:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.size = {i: len(p) for p, i in self.id_of.items()}
+        #: What a token decodes to by itself; tokens of bytes don't.
+        self.shown = [None if i in self.byte_of else "" if i in self.silent else " ⁇ " if i == self.unknown else p.replace(MARK, " ") for i, p in enumerate(self.piece)]
         self.fits = _Memo(self._fits, KEPT_PAIRS)
         self.cut, self.after_space = _Memo(self._cut, KEPT_CUTS, LONGEST_CUT), _Memo(lambda w: self._cut(MARK + w), KEPT_CUTS, LONGEST_CUT)
         self.breaks = "\n" if "\n" not in self.id_of else None
@@ -150,6 +152,9 @@ class PieceTokens:
         return [int(x) for x in joined.split(",")] if joined else []
 
     def _joined(self, ids: list[int]) -> str:
+        shown = [self.shown[i] for i in ids]
+        if None not in shown:
+            return "".join(shown)
         out, held = [], bytearray()
         for i in [*ids, None]:
             if i in self.byte_of:
@@ -166,8 +171,8 @@ class PieceTokens:
                     out.append("�")
                     n = 1
                 del held[:n]
-            if i is not None and i not in self.silent:
-                out.append(" ⁇ " if i == self.unknown else self.piece[i].replace(MARK, " "))
+            if i is not None:
+                out.append(self.shown[i])
         return "".join(out)
 
     def decode(self, ids: list[int] | None) -> str:
