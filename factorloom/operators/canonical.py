@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts as X
@@ -21,6 +21,7 @@ JP_ALIASES = {
     "current": ["is_current", "isCurrent"],
 }
 VALIDITY = ["effective_from", "effective_to", "is_current"]
+# The columns of each entity.
 ENTITIES = {
     "constituent": ["as_of_date", "security_id", "issuer_id", "ticker", "stock_code", "exchange", "country", "universe"],
     "fundamental": ["as_of_date", "security_id", "country", "period_end", "filing_date", "rd_expense", "sales_ttm"],
@@ -157,6 +158,22 @@ def filter_documents(docs: DataFrame, include: list[str] | None = None, exclude:
     return docs.where(keep)
 
 
+def index_symbols(spark: SparkSession, path: str, column: str, dots: bool = True) -> DataFrame:
+    """The distinct symbols of an index snapshot in CSV files: trimmed, in capitals, with dots for dashes; blank ones go."""
+    rows = spark.read.option("header", True).csv(path)
+    symbol = F.upper(F.trim(F.col(column)))
+    return rows.select((F.translate(symbol, "-", ".") if dots else symbol).alias("symbol")).where("symbol <> ''").distinct()
+
+
+def market_scope(specs: DataFrame, countries: list[str]) -> DataFrame:
+    """specs of the countries in scope; raises if one of them has none."""
+    kept = specs.where(F.upper("country").isin(countries))
+    got = {r["c"] for r in kept.select(F.upper("country").alias("c")).distinct().collect()}  # one row for each country
+    if missing := sorted(set(countries) - got):
+        raise ValueError("no securities of " + ", ".join(missing))
+    return kept
+
+
 def core_universe(specs: DataFrame, symbols: DataFrame, universe: str) -> DataFrame:
     """specs whose ticker is among symbols, under the index's name."""
     wanted = symbols.select(F.upper(F.translate(F.trim("symbol"), "-", ".")).alias("_t")).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 BILLION = 1_000_000_000.0
 # Models with their weights of the sector score and the size score.
 MODELS = {"rnd_sales_ttm": (0.7, 0.3), "rnd_sales_size_proxy": (0.4, 0.6), "rnd_mktcap_proxy": (0.3, 0.7), "rnd_ev_proxy": (0.6, 0.4), "rnd_robust_composite": (0.5, 0.5)}
+NEED_SALES = ("rnd_sales_ttm", "rnd_sales_size_proxy")
 
 
 def rnd_sales_factor(rows: DataFrame) -> DataFrame:
@@ -45,6 +46,11 @@ def raw_metrics(rows: DataFrame, models: list[str] | None = None) -> DataFrame:
     return rows.where(rd.isNotNull()).select("*", F.inline(each)).where("raw is not null")
 
 
+def for_their_models(rows: DataFrame) -> DataFrame:
+    """rows of raw_metrics without those that their model can't use: models on sales need positive ones, the others only R&D."""
+    return rows.where((F.coalesce("sales_ttm", F.lit(0.0)) > 0) | ~F.col("model").isin(*NEED_SALES))
+
+
 def zscore(value: Column, keys: list[str]) -> Column:
     """By population mean and deviation; 0 if all are the same."""
     w = Window.partitionBy(*keys)
@@ -65,5 +71,6 @@ def with_scores(rows: DataFrame, groups: list[str]) -> DataFrame:
     bucket = F.when(F.col("_liq") <= F.col("_low"), "small").when(F.col("_liq") <= F.col("_high"), "mid").otherwise("large")
     scored = sized.withColumns({"size_bucket": bucket, "sector_z": zscore(F.col("raw"), [*country, "sector"]), "size_z": zscore(F.col("_adj"), country)})
     weights = lambda i: F.element_at(F.create_map(*[x for m, w in MODELS.items() for x in (F.lit(m), F.lit(w[i]))]), F.col("model"))
-    score = weights(0) * F.col("sector_z") + weights(1) * F.col("size_z")
+    # ten decimals: where one value dwarfs the others, their scores differ by less than the order of sums decides
+    score = F.round(weights(0) * F.col("sector_z") + weights(1) * F.col("size_z"), 10)
     return scored.withColumn("score", score).drop("_liq", "_adj", "_rn", "_n", "_low", "_high")

@@ -149,6 +149,42 @@ def plan_targets(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     return hits.select(ident, "keyword", "start", amounts.alias("amounts"), years.alias("fiscal_years")).where("size(amounts) > 0 or size(fiscal_years) > 0")
 
 
+# Fields of a report that hold R&D directly, and words in the labels of its other fields.
+REPORT_RD = ["research_and_development_expense", "research_and_development_expenses", "research_and_development_cost", "research_and_development_costs", "rd_expense", "r_and_d_expense"]
+REPORT_RD_KEYS = [
+    "researchanddevelopmentexpense", "researchanddevelopmentexpenses", "researchanddevelopmentcost", "researchanddevelopmentcosts", "researchanddevelopmentexpenditure",
+    "researchanddevelopmentexpenditures", "researchanddevelopmentamount", "randdexpense", "randdcost",
+]
+REPORT_SALES_KEYS, REPORT_SALES_NOT = ["netsales", "revenue", "sales", "operatingrevenue"], ["costofsales", "costsales"]
+
+
+def report_rd_sales(reports: DataFrame) -> DataFrame:
+    """(filing_id, rd_expense, sales) of reports: filing_id, net_sales, direct (fields by name) and other (fields by label), as text.
+
+    R&D is among the direct fields and the labels that name it, sales are net_sales and labels of sales but not of their
+    cost; text blocks don't count. Of several candidates the largest by absolute value counts, of equal ones the first."""
+    entries = F.map_entries(F.coalesce("other", F.create_map().cast("map<string,string>")))
+    labelled = F.filter(F.transform(entries, lambda e: F.struct(label(e["key"]).alias("k"), X.finite(e["value"]).alias("v"))), lambda e: (e["k"] != "") & ~e["k"].contains("textblock") & e["v"].isNotNull())
+    values = lambda test: F.transform(F.filter(labelled, lambda e: test(e["k"])), lambda e: e["v"])
+    direct = F.array_compact(F.array(*[X.finite(F.element_at("direct", F.lit(f))) for f in REPORT_RD]))
+    rd = F.concat(F.coalesce(direct, F.array().cast("array<double>")), values(lambda k: has_any(k, REPORT_RD_KEYS)))
+    sales = F.concat(F.array_compact(F.array(X.finite(F.col("net_sales")))), values(lambda k: has_any(k, REPORT_SALES_KEYS) & ~has_any(k, REPORT_SALES_NOT)))
+    most = lambda c: F.array_max(F.transform(c, lambda v, i: F.struct(F.abs(v).alias("a"), (-i).alias("i"), v.alias("v"))))["v"]
+    return reports.select("filing_id", most(rd).alias("rd_expense"), most(sales).alias("sales"))
+
+
+def filer_keys(mapping: DataFrame, name: str, key: str) -> DataFrame:
+    """(name, key): of each name in capitals the last filer key by ordinal; keys are digits, padded to ten."""
+    ok = mapping.select(F.upper(F.trim(F.col(name))).alias(name), X.padded_cik(F.col(key).cast("string")).alias(key), "ordinal").where(F.col(key).isNotNull() & (F.col(name) != ""))
+    return ok.groupBy(name).agg(F.max_by(key, "ordinal").alias(key))
+
+
+def filers(specs: DataFrame, mapping: DataFrame, name: str, key: str) -> DataFrame:
+    """specs with the key of their filer; those that the mapping lacks are dropped."""
+    keys = filer_keys(mapping, name, key).withColumnRenamed(name, "_name")
+    return specs.join(keys, F.upper(F.trim(F.col(name))) == F.col("_name")).drop("_name")
+
+
 def match_documents(docs: DataFrame, codes: DataFrame) -> DataFrame:
     """Documents of wanted stock codes, each docID once: the first by submission, then code."""
     wanted = codes.select(X.stock_code(F.col("stock_code")).alias("code")).distinct()

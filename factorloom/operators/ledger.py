@@ -74,13 +74,14 @@ def snapshots(marked: DataFrame, portfolio: list[str]) -> DataFrame:
 _LEDGER = "kind string, start_date date, end_date date, security_id string, side string, country string, currency string, quantity double, price_krw double, notional double, avg_cost double, market_value double, weight double, commission double, slippage double, fx_fee double, sell_tax double, gain double, gains_tax double, total double, start_nav double, end_nav double, gross_return double, net_return double"
 
 
-def run_ledger(allocations: DataFrame, prices: DataFrame, portfolio: list[str], initial_nav: float = 1e7, rates: dict[str, float] | None = None) -> DataFrame:
+def run_ledger(allocations: DataFrame, prices: DataFrame, portfolio: list[str], initial_nav: float = 1e7, rates: dict[str, float] | None = None, carry: bool = False) -> DataFrame:
     """Trades, holdings and periods of each portfolio as rows of one table, told apart by kind.
 
     allocations: portfolio, as_of_date, security_id (null on a date without holdings), weight. prices: price_date,
     security_id, country, currency, price_krw on the schedule's dates. A portfolio's rows are its own names on its own
     dates: prices are joined to what it ever holds before they are dealt out, so a task sees no others. A name without
-    a price on a date that needs one keeps its last price, and its rows say so by ``carried`` in side."""
+    a price on a date that needs one is an error; with carry its last price counts, its trades say so by ``carried`` in
+    side, and only a name that never had a price is an error."""
     r = costs(**(rates or {}))
     dates = allocations.select(*portfolio, F.col("as_of_date").alias("price_date")).distinct()
     names = allocations.where("security_id is not null").select(*portfolio, "security_id").distinct()
@@ -92,7 +93,7 @@ def run_ledger(allocations: DataFrame, prices: DataFrame, portfolio: list[str],
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         own = {c: rows[c].iloc[0] for c in portfolio}
         priced, weights, about = {}, {}, {}
-        for x in rows[rows["what"] == "p"].itertuples():
+        for x in rows[(rows["what"] == "p") & rows["x"].notna()].itertuples():
             priced.setdefault(x.d, {})[x.security_id] = x.x
             about.setdefault(x.security_id, (x.country, x.currency))
         for x in rows[rows["what"] == "w"].itertuples():
@@ -100,11 +101,17 @@ def run_ledger(allocations: DataFrame, prices: DataFrame, portfolio: list[str],
             if x.security_id is not None and x.x == x.x:
                 day[x.security_id] = day.get(x.security_id, 0.0) + x.x
         days, cash, held, last, out = sorted(weights), initial_nav, {}, {}, []
+
+        def priced_on(day, names) -> None:
+            last.update(priced.get(day, {}))
+            if lacking := sorted(s for s in names if s not in (last if carry else priced.get(day, {}))):
+                raise ValueError(f"no price on {day} of {', '.join(lacking)}")
+
         for start, end in zip(days, days[1:]):
-            last |= priced.get(start, {})
+            priced_on(start, held.keys() | weights[start].keys())
             values = {s: q * last[s] for s, (q, _) in held.items()}
             nav, target = cash + sum(values.values()), weights[start]
-            deltas = {s: nav * target.get(s, 0.0) - values.get(s, 0.0) for s in sorted(held.keys() | {s for s in target if s in last})}
+            deltas = {s: nav * target.get(s, 0.0) - values.get(s, 0.0) for s in sorted(held.keys() | target.keys())}
             sums = dict.fromkeys(("commission", "slippage", "fx_fee", "sell_tax", "gains_tax"), 0.0)
             for sell in (True, False):
                 for s, delta in deltas.items():
@@ -132,7 +139,7 @@ def run_ledger(allocations: DataFrame, prices: DataFrame, portfolio: list[str],
                     sums = {k: v + paid[k] for k, v in sums.items()}
                     fresh = s in priced.get(start, {})
                     out.append({"kind": "trade", "start_date": start, "end_date": end, "security_id": s, "side": ("SELL" if sell else "BUY") + ("" if fresh else " carried"), "country": country, "currency": currency, "quantity": moved, "price_krw": price, "notional": notional, "gain": gain, "total": total, **paid})
-            last |= priced.get(end, {})
+            priced_on(end, held.keys())
             values = {s: q * last[s] for s, (q, _) in held.items()}
             end_nav = cash + sum(values.values())
             for s, v in values.items():
@@ -148,6 +155,22 @@ def run_ledger(allocations: DataFrame, prices: DataFrame, portfolio: list[str],
     return side_a.unionByName(side_b).groupBy(*portfolio).applyInPandas(fold, schema)
 
 
+def with_benchmark(periods: DataFrame, levels: DataFrame) -> DataFrame:
+    """periods (start_date, end_date) with the benchmark's return and the active one; null where a level is missing. levels: benchmark_date, level."""
+    at = lambda side: levels.select(F.col("benchmark_date").alias(f"{side}_date"), F.col("level").alias(f"_{side}"))
+    both = periods.join(at("start"), "start_date", "left").join(at("end"), "end_date", "left")
+    both = both.withColumn("benchmark_return", F.col("_end") / F.nullif("_start", F.lit(0.0)) - 1).drop("_start", "_end")
+    return both.withColumn("active_return", F.col("net_return") - F.col("benchmark_return")).select(*periods.columns, "benchmark_return", "active_return")
+
+
+def with_names(rows: DataFrame, specs: DataFrame) -> DataFrame:
+    """Ledger rows with ticker, stock_code and stock_name of their security; blanks where the list lacks it or a field."""
+    names = ["ticker", "stock_code", "stock_name"]
+    first = specs.groupBy("security_id").agg(F.max(F.struct(*names)).alias("_n"))
+    found = rows.join(first, "security_id", "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col(f"_n.{c}").cast("string"), F.lit("")).alias(c) for c in names])
+
+
 def run_metrics(periods: DataFrame, portfolio: list[str], initial_nav: float = 1e7) -> DataFrame:
     """Totals of a run; the benchmark's return is null if any period lacks it, and cumulative gross is end plus costs over start."""
     kinds = ["commission", "slippage", "fx_fee", "sell_tax", "gains_tax", "total"]

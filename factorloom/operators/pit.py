@@ -66,6 +66,7 @@ def assemble(windows: DataFrame, dates: DataFrame, fundamentals: DataFrame, pric
     both = chosen.join(median_traded_value(dates, prices, fx, lookback), ["as_of_date", "security_id"], "left")
     no_sales = (F.coalesce("sales_ttm", F.lit(0.0)) <= 0) if require_sales else F.lit(False)
     fields = F.array_compact(F.array(F.when(F.col("rd_expense").isNull(), "MISSING_RD_EXPENSE"), F.when(no_sales, "NON_POSITIVE_SALES_TTM")))
+    # fixed values: reason codes
     short = (F.col("n_prices") < min_observations) | (F.col("n_valued") < F.col("n_prices"))
     reasons = (
         F.when(F.col("n_filed").isNull(), F.array(F.lit("NO_ELIGIBLE_FUNDAMENTALS")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .temporal import dates_side
+
 
 def compound(r: Column) -> Column:
     return F.product(1 + r) - 1
@@ -59,7 +61,7 @@ def attribution(periods: DataFrame, fx: DataFrame, tolerance: float = 1e-10) ->
 def fold_metrics(folds: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
     """For each fold and key the compound returns of the periods that lie within the test; 0 if there are none. A missing benchmark counts as 0."""
     inside = (F.col("start_date") >= F.col("test_start")) & (F.col("end_date") <= F.col("test_end"))
-    hits = periods.join(F.broadcast(folds.select("fold_index", "test_start", "test_end")), inside)  # a row for each fold
+    hits = periods.join(dates_side(folds.select("fold_index", "test_start", "test_end")), inside)
     got = hits.groupBy("fold_index", *keys).agg(F.count("*").alias("n"), compound(F.col("net_return")).alias("portfolio"), compound(F.coalesce("benchmark_return", F.lit(0.0))).alias("benchmark"))
     all_of_them = folds.select("fold_index").crossJoin(periods.select(*keys).distinct())
     out = all_of_them.join(got, ["fold_index", *keys], "left").fillna({"n": 0, "portfolio": 0.0, "benchmark": 0.0})
@@ -157,6 +159,48 @@ def require_pass(report: DataFrame) -> DataFrame:
     return report
 
 
+def quality_gate(required: list[str], report: DataFrame) -> DataFrame:
+    """(output, exists, status, passes) of each required output. report: output and status."""
+    spark = report.sparkSession
+    wanted = spark.createDataFrame([(x,) for x in required], "output string")
+    found = wanted.join(report.select("output", "status"), "output", "left").withColumn("exists", F.col("status").isNotNull())
+    return found.select("output", "exists", "status", (F.lower(F.trim("status")).eqNullSafe("pass")).alias("passes"))
+
+
+def enforce_gate(gate: DataFrame) -> None:
+    """Raises if a required output is missing, and else if one has not passed."""
+    bad = gate.where("not passes").limit(100).collect()
+    missing = sorted(r["output"] for r in bad if not r["exists"])
+    if missing or bad:
+        raise ValueError("missing outputs: " + ", ".join(missing) if missing else "not passed: " + ", ".join(sorted(r["output"] for r in bad)))
+
+
+def analysis_tables(periods: DataFrame, rates: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Tables of a run: quarterly returns in KRW and in USD, and what exchange rates add. rates: start_date, end_date and usd_krw_return.
+
+    periods: keys, start_date, end_date, net_return, gross_return, benchmark_return and total (costs), in KRW."""
+    on = ["start_date", "end_date"]
+    p = periods.join(rates.select(*on, "usd_krw_return"), on, "left")
+    usd = lambda c: (1 + F.col(c)) / F.nullif(1 + F.col("usd_krw_return"), F.lit(0.0)) - 1
+    base = p.withColumns({f"{k}_usd": usd(f"{k}_return") for k in ("net", "gross", "benchmark")})
+    return {
+        "quarterly_krw": base.select(*keys, *on, "net_return", "gross_return", "benchmark_return", (F.col("net_return") - F.col("benchmark_return")).alias("active_net"), (F.col("gross_return") - F.col("benchmark_return")).alias("active_gross"), "total"),
+        "quarterly_usd": base.select(*keys, *on, "net_usd", "gross_usd", "benchmark_usd", (F.col("net_usd") - F.col("benchmark_usd")).alias("active_net"), (F.col("gross_usd") - F.col("benchmark_usd")).alias("active_gross"), "usd_krw_return"),
+        "fx_contribution": base.select(*keys, *on, (F.col("net_return") - F.col("net_usd")).alias("net_fx"), (F.col("benchmark_return") - F.col("benchmark_usd")).alias("benchmark_fx"), "usd_krw_return"),
+    }
+
+
+def timed(df: DataFrame, stage: str, path: str) -> DataFrame:
+    """Writes df to path; a row (stage, rows, seconds) of what that took. Rows are counted by the write itself."""
+    import time
+
+    from pyspark.sql import Observation
+
+    seen, began = Observation(), time.perf_counter()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return df.sparkSession.createDataFrame([(stage, int(seen.get["rows"]), time.perf_counter() - began)], "stage string, rows long, seconds double")
+
+
 def policy_alignment(config: DataFrame) -> DataFrame:
     """config: one row for each portfolio with max_single, te_cap, max_turnover, adv_participation. A row for each check: pass, warning where a limit is off, fail where it is out of range."""
     limit = lambda c, high: F.when(F.col(c).isNull() | (F.col(c) <= 0), "warning").when(F.col(c) > high, "fail").otherwise("pass")

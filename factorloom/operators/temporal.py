@@ -15,7 +15,7 @@ OPEN_END = "9999-12-31"
 
 
 def dates_side(dates: DataFrame) -> DataFrame:
-    """dates, with a broadcast hint if it is small: at most MAX_DATES rows are counted to find out."""
+    """dates, with a broadcast hint if it is small: at most MAX_DATES rows are counted to find out. Also for other sides of short rows, as plans and targets."""
     return F.broadcast(dates) if dates.limit(MAX_DATES + 1).count() <= MAX_DATES else dates
 
 
@@ -134,7 +134,7 @@ def walkforward_folds(dates: DataFrame, start: str, end: str, train: int = 5, te
     starts = spark.createDataFrame([(d,) for d in year_steps(start, end, test)], "s string").select(F.col("s").cast("date").alias("train_start"))
     mid = F.add_months("train_start", 12 * train)
     folds = starts.select("train_start", F.date_sub(mid, 1).alias("train_end"), mid.alias("test_start"), F.date_sub(F.add_months(mid, 12 * test), 1).alias("test_end")).where(F.col("test_end") <= F.lit(end).cast("date"))
-    hit = dates.select("as_of_date").distinct().join(F.broadcast(folds), F.col("as_of_date").between(F.col("train_start"), F.col("test_end")))
+    hit = dates.select("as_of_date").distinct().join(dates_side(folds), F.col("as_of_date").between(F.col("train_start"), F.col("test_end")))
     early = F.col("as_of_date") <= F.col("train_end")
     counted = hit.groupBy(*folds.columns).agg(F.sum(early.cast("long")).alias("n_train"), F.sum((~early).cast("long")).alias("n_test"), F.max(F.when(early, F.col("as_of_date"))).alias("last_train"), F.min(F.when(~early, F.col("as_of_date"))).alias("first_test"))
     return counted.where("n_train > 0 and n_test > 0").withColumn("fold_index", (F.row_number().over(Window.orderBy("train_start")) - 1).cast("int"))

@@ -11,16 +11,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quota import running
+from .temporal import dates_side
 
 EPS = 1e-12
 
 
+def check_parameters(targets: dict[str, float], max_holdings: int, max_single: float, tolerance: float = 0.02, alpha: float = 0.2, participation: float = 0.1, portfolio_value: float = 1e10, te_cap: float = 0.0, max_turnover: float | None = None) -> None:
+    """Raises where portfolios are planned if a parameter is out of its range or the targets don't sum to 1."""
+    wrong = [
+        (max_holdings <= 0, "max_holdings must be positive"),
+        (not 0 < max_single <= 1, "max_single must be above 0 and at most 1"),
+        (not 0 <= tolerance < 1, "tolerance must be from 0 to below 1"),
+        (not targets, "no country targets"),
+        (any(x < 0 for x in targets.values()), "country targets must not be negative"),
+        (bool(targets) and abs(sum(targets.values()) - 1) > EPS, "country targets must sum to 1"),
+        (te_cap < 0, "te_cap must not be negative"),
+        (alpha < 0, "alpha must not be negative"),
+        (participation <= 0, "participation must be positive"),
+        (portfolio_value <= 0, "portfolio_value must be positive"),
+        (max_turnover is not None and max_turnover < 0, "max_turnover must not be negative"),
+    ]
+    if said := [text for bad, text in wrong if bad]:
+        raise ValueError("; ".join(said))
+
+
+def invalid_targets(targets: DataFrame, portfolio: list[str]) -> DataFrame:
+    """(portfolio, problems) of a table of targets (country, target, max_holdings, max_single) whose rows break the same rules; none if all is well."""
+    sums = targets.groupBy(*portfolio).agg(F.sum("target").alias("t"), F.min("target").alias("least"), F.min("max_holdings").alias("n"), F.min("max_single").alias("low"), F.max("max_single").alias("high"))
+    said = F.array_compact(F.array(
+        F.when(F.abs(F.col("t") - 1) > EPS, "targets_sum"), F.when(F.col("least") < 0, "target_negative"), F.when(F.col("n") <= 0, "max_holdings"), F.when((F.col("low") <= 0) | (F.col("high") > 1), "max_single"),
+    ))
+    return sums.withColumn("problems", said).where(F.size("problems") > 0).select(*portfolio, "problems")
+
+
+def negative_weights(weights: DataFrame, portfolio: list[str]) -> DataFrame:
+    """Previous weights below 0, which no construction may start from."""
+    return weights.where("weight < 0").select(*portfolio, "security_id", "weight")
+
+
 def select_names(ranked: DataFrame, targets: DataFrame, pf: list[str]) -> DataFrame:
     """Rows of ranked that are selected. targets: pf's portfolio columns, country, target, requested, max_holdings.
 
     The first requested of each target country by rank, then the best of the others across countries up to max_holdings."""
     on = [c for c in targets.columns if c in pf] + ["country"]
-    rows = ranked.where("is_eligible and factor_value is not null").join(F.broadcast(targets), on)  # one row for each country of a portfolio
+    rows = ranked.where("is_eligible and factor_value is not null").join(dates_side(targets), on)  # one row for each country of a portfolio
     rank = F.coalesce("rank_in_country", F.lit(10**9))
     rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*pf, "country").orderBy(rank, F.col("factor_value").desc(), "security_id")))
     rows = rows.withColumn("_core", F.col("_rn") <= F.col("requested"))
@@ -35,7 +69,7 @@ def country_budgets(selected: DataFrame, targets: DataFrame, dates: DataFrame, p
     A country gets its target or what its names can hold; what is left goes to spare capacity in order of name."""
     portfolio = [c for c in targets.columns if c in pf]
     n = selected.groupBy(*pf, "country").agg(F.count("*").alias("n_selected"))
-    all_countries = dates.select(*pf).distinct().join(F.broadcast(targets), portfolio)
+    all_countries = dates.select(*pf).distinct().join(dates_side(targets), portfolio)
     b = all_countries.join(n, [*pf, "country"], "left").withColumn("n_selected", F.coalesce("n_selected", F.lit(0)))
     b = b.withColumn("capacity", F.col("n_selected") * F.col("max_single")).withColumn("_first", F.least("target", "capacity"))
     b = b.withColumn("_left", F.greatest(F.lit(0.0), 1 - F.sum("_first").over(Window.partitionBy(*pf)))).withColumn("_room", F.greatest(F.lit(0.0), F.col("capacity") - F.col("_first")))

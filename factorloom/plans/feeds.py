@@ -142,11 +142,11 @@ S8 = """SELECT docID, docType, pos FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def j10_match_documents(spark: SparkSession, sf: str) -> DataFrame:
-    codes = V.table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("stock_code"))
+    codes = V.table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("stock_code"))
     return filings.match_documents(listings(spark, sf), codes)
 
 
-J10 = """SELECT docID, submitDateTime, code FROM (SELECT *, lpad(secCode, 4, '0') AS code FROM listings WHERE length(secCode) <= 4) JOIN (SELECT DISTINCT CASE WHEN s_suppkey < 10000 THEN lpad(s_suppkey::VARCHAR, 4, '0') ELSE substr(s_suppkey::VARCHAR, 1, 4) END AS code FROM supplier WHERE s_suppkey % 2 = 0) USING (code) QUALIFY row_number() OVER (PARTITION BY docID ORDER BY submitDateTime, code) = 1"""
+J10 = """SELECT docID, submitDateTime, code FROM (SELECT *, lpad(secCode, 4, '0') AS code FROM listings WHERE length(secCode) <= 4) JOIN (SELECT DISTINCT CASE WHEN s_suppkey < 10000 THEN lpad(s_suppkey::VARCHAR, 4, '0') ELSE substr(s_suppkey::VARCHAR, 1, 4) END AS code FROM supplier WHERE s_acctbal > 0) USING (code) QUALIFY row_number() OVER (PARTITION BY docID ORDER BY submitDateTime, code) = 1"""
 
 
 def c27_document_filter(spark: SparkSession, sf: str) -> DataFrame:

@@ -65,7 +65,7 @@ def c21_transform_us(spark: SparkSession, sf: str) -> DataFrame:
 
 def c28_core_universe(spark: SparkSession, sf: str) -> DataFrame:
     specs = V.securities(spark, sf).select("security_id", F.concat(F.lit("br."), F.col("k").cast("string")).alias("ticker"))
-    symbols = V.table(spark, sf, "customer").select(F.concat(F.lit(" BR-"), F.col("c_custkey").cast("string")).alias("symbol")).where("c_custkey % 2 = 0")
+    symbols = V.table(spark, sf, "customer").select(F.concat(F.lit(" BR-"), F.col("c_custkey").cast("string")).alias("symbol")).where("c_mktsegment = 'BUILDING'")
     return canonical.core_universe(specs, symbols, "core")
 
 
@@ -90,17 +90,17 @@ def a22_allocation_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def h3_country_budgets(spark: SparkSession, sf: str) -> DataFrame:
-    """Each year's filers as selected names: budgets of three countries under a cap of 2 percent a name."""
-    f = V.fundamentals(spark, sf).select(F.upper("country").alias("country"), F.year("period_end").alias("as_of_date"), "security_id").distinct().where("security_id like '%1' or security_id like '%2'").withColumn("portfolio_id", F.lit("p"))
-    targets = spark.createDataFrame([("p", c, w, 5, 20, 0.05) for c, w in (("JP", 0.3), ("KR", 0.3), ("US", 0.4))], "portfolio_id string, country string, target double, requested int, max_holdings int, max_single double")
+    """Each year's filers as selected names: budgets of three countries under a cap of 0.4 percent a name."""
+    f = V.fundamentals(spark, sf).select(F.upper("country").alias("country"), F.year("period_end").alias("as_of_date"), "security_id").distinct().withColumn("portfolio_id", F.lit("p"))
+    targets = spark.createDataFrame([("p", c, w, 5, 20, 0.004) for c, w in (("JP", 0.3), ("KR", 0.3), ("US", 0.4))], "portfolio_id string, country string, target double, requested int, max_holdings int, max_single double")
     b = weights.country_budgets(f, targets, f.select("portfolio_id", "as_of_date").distinct(), ["portfolio_id", "as_of_date"])
     return b.select("as_of_date", "country", "n_selected", F.round("budget", 6).alias("budget"))
 
 
 H3 = """SELECT y AS as_of_date, country, n AS n_selected, round(a + greatest(0, least(room, rest - coalesce(sum(room) OVER (PARTITION BY y ORDER BY country ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))), 6) AS budget FROM (
-    SELECT *, greatest(0, n * 0.05::DOUBLE - a) AS room, greatest(0, 1 - sum(a) OVER (PARTITION BY y)) AS rest FROM (SELECT y, country, n, least(t, n * 0.05::DOUBLE) AS a FROM (
-        SELECT y.y, t.country, t.t::DOUBLE AS t, count(DISTINCT security_id) AS n FROM (SELECT DISTINCT year(period_end)::INT AS y FROM fundamentals WHERE suffix(security_id, '1') OR suffix(security_id, '2')) y JOIN (VALUES ('JP', 0.3), ('KR', 0.3), ('US', 0.4)) t(country, t) ON true
-        LEFT JOIN fundamentals f ON year(period_end) = y.y AND upper(f.country) = t.country AND (suffix(security_id, '1') OR suffix(security_id, '2')) GROUP BY ALL)))"""
+    SELECT *, greatest(0, n * 0.004::DOUBLE - a) AS room, greatest(0, 1 - sum(a) OVER (PARTITION BY y)) AS rest FROM (SELECT y, country, n, least(t, n * 0.004::DOUBLE) AS a FROM (
+        SELECT y.y, t.country, t.t::DOUBLE AS t, count(DISTINCT security_id) AS n FROM (SELECT DISTINCT year(period_end)::INT AS y FROM fundamentals) y JOIN (VALUES ('JP', 0.3), ('KR', 0.3), ('US', 0.4)) t(country, t) ON true
+        LEFT JOIN fundamentals f ON year(period_end) = y.y AND upper(f.country) = t.country GROUP BY ALL)))"""
 
 
 def r2_walkforward_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +128,7 @@ SQL = {
     "s15_generate_rates": oracle(S15),
     "s16_open_constituents": oracle("SELECT universe, security_id, DATE '1996-03-31' - 365 AS effective_from, true AS is_current FROM securities"),
     "c21_transform_us": oracle(f"SELECT cik AS security_id, 'us' AS country, period_end, filing_date AS as_of_date, filing_date AS effective_from, rd_expense, sales_ttm, true AS is_current FROM ({feeds.J11})", {**feeds._N, "a6": feeds.A6}),
-    "c28_core_universe": oracle("SELECT security_id, 'br.' || k AS ticker, 'core' AS universe FROM securities WHERE k IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)"),
+    "c28_core_universe": oracle("SELECT security_id, 'br.' || k AS ticker, 'core' AS universe FROM securities WHERE k IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
     "j9_price_symbol_prune": oracle("SELECT security_id, count(*) AS n FROM prices WHERE security_id IN (SELECT security_id FROM fundamentals WHERE filing_date < DATE '1995-05-20') GROUP BY ALL"),
     "v2_month_end_targets": oracle("SELECT as_of_date FROM (SELECT DISTINCT last_day((a + to_months(i::INT))::DATE) AS as_of_date, b FROM (SELECT min(d) AS a, (min(d) + INTERVAL 24 MONTH)::DATE AS b FROM days), range(0, 25) r(i)) WHERE as_of_date <= b UNION SELECT as_of_date FROM schedule"),
     "a22_allocation_merge": oracle("SELECT country, period_end AS as_of_date, round(sum(sales_ttm / 1e8), 6) AS total, sum(sales_ttm / 1e8) > 1 + 1e-12 AS is_over, 0::BIGINT AS n_negative FROM fundamentals GROUP BY ALL"),

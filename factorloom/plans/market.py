@@ -51,7 +51,7 @@ def j3_security_master(spark: SparkSession, sf: str) -> DataFrame:
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     s = V.securities(spark, sf)
     each = s.select(F.col("country").alias("market"), F.lit("ticker").alias("key_type"), F.concat(F.lit("T"), F.col("k").cast("string")).alias("raw_key"))
-    return each.crossJoin(F.broadcast(V.schedule(spark, sf).select(F.col("as_of_date").alias("on_date"))))
+    return each.crossJoin(temporal.dates_side(V.schedule(spark, sf).select(F.col("as_of_date").alias("on_date"))))
 
 
 def j4_resolve_security(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +80,7 @@ C7 = """SELECT security_id, effective_from, effective_to, is_current, CASE WHEN
 
 
 def _last_prices(spark: SparkSession, sf: str) -> DataFrame:
-    ids = V.securities(spark, sf).select("security_id").crossJoin(F.broadcast(V.schedule(spark, sf)))
+    ids = V.securities(spark, sf).select("security_id").crossJoin(temporal.dates_side(V.schedule(spark, sf)))
     return temporal.asof_backward(ids, V.prices(spark, sf), ["security_id"], "as_of_date", "price_date", ["close"])
 
 
@@ -107,7 +107,7 @@ def _trading(spark: SparkSession, sf: str) -> DataFrame:
 def _months(spark: SparkSession, sf: str) -> DataFrame:
     """Month ends from the one before the first shipment on, for each market."""
     m = V.days(spark, sf).select(F.explode(F.array(F.last_day("d"), F.last_day(F.add_months("d", -1)))).alias("target_date")).distinct()
-    return V.securities(spark, sf).select(F.col("country").alias("market")).distinct().crossJoin(F.broadcast(m))
+    return V.securities(spark, sf).select(F.col("country").alias("market")).distinct().crossJoin(temporal.dates_side(m))
 
 
 def j8_trading_day_adjust(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,7 +213,7 @@ F6 = """SELECT security_id, price_date, round(close * CASE currency WHEN 'KRW' T
 def benchmark(spark: SparkSession, sf: str, country: str = "US") -> DataFrame:
     """The mean close of a country's prices in the twenty days before each quarter end."""
     near = (F.col("price_date") <= F.col("as_of_date")) & (F.col("price_date") > F.date_sub("as_of_date", 20))
-    p = V.prices(spark, sf).where(F.col("country") == country).join(F.broadcast(V.schedule(spark, sf)), near)
+    p = V.prices(spark, sf).where(F.col("country") == country).join(temporal.dates_side(V.schedule(spark, sf)), near)
     return p.groupBy(F.col("as_of_date").alias("benchmark_date")).agg(F.round(F.avg("close"), 4).alias("close")).select(F.lit("B1").alias("benchmark_id"), "benchmark_date", "close", F.lit("USD").alias("currency"))
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import factor, ledger, money, pit, quota, weights
+from ..operators import factor, ledger, money, pit, quota, temporal, weights
 from ..sources import tables as V
 from ..sources.store import saved
 from . import portfolio_sql as Q
-from .market import AMOUNTS, MEMBERS, _last_prices
+from .market import AMOUNTS, BENCH, MEMBERS, SCHEDULE_RATES, _last_prices, benchmark
 
 oracle = V.oracle
 #: Securities asked for in all, and their shares by country.
@@ -30,9 +30,11 @@ PIT = {
     "traded": "SELECT as_of_date, security_id, count(*) AS n_prices, count(amount_krw) AS n_valued, median(amount_krw) AS median_krw FROM amounts JOIN schedule ON price_date <= as_of_date AND price_date >= as_of_date - 19 GROUP BY ALL",
     "pit": """SELECT as_of_date, universe, security_id, f.country AS country, f.period_end AS period_end, f.filing_date AS filing_date, f.rd AS rd_expense, f.sales AS sales_ttm, median_krw AS median_traded_value_krw,
         CASE WHEN n_filed IS NULL THEN 'NO_ELIGIBLE_FUNDAMENTALS' WHEN n_usable = 0 THEN 'FILING_LAG_NOT_MET' WHEN f.rd IS NULL OR coalesce(f.sales, 0) <= 0 THEN concat_ws('|', CASE WHEN f.rd IS NULL THEN 'MISSING_RD_EXPENSE' END, CASE WHEN coalesce(f.sales, 0) <= 0 THEN 'NON_POSITIVE_SALES_TTM' END)
-        WHEN n_prices IS NULL THEN 'NO_PRICE_DATA' WHEN n_prices < 3 OR n_valued < n_prices THEN 'INVESTABILITY_DATA_ERROR' WHEN median_krw < 5e8 THEN 'INVESTABILITY_BELOW_THRESHOLD' ELSE '' END AS reasons
+        WHEN n_prices IS NULL THEN 'NO_PRICE_DATA' WHEN n_prices < 3 OR n_valued < n_prices THEN 'INVESTABILITY_DATA_ERROR' WHEN median_krw < 5e8 THEN 'INVESTABILITY_BELOW_THRESHOLD' ELSE '' END AS reasons,
+        CASE WHEN n_filed > 0 AND n_usable > 0 AND f.rd IS NOT NULL AND n_prices >= 3 AND n_valued = n_prices AND median_krw >= 5e8 THEN '' ELSE 'out' END AS relaxed
         FROM members LEFT JOIN picked USING (as_of_date, universe, security_id) LEFT JOIN traded USING (as_of_date, security_id)""",
     "accepted": "SELECT * FROM pit WHERE reasons = ''",
+    "seeds": "SELECT * FROM pit WHERE relaxed = ''",
 }
 
 
@@ -92,26 +94,40 @@ def w3_winsorize(spark: SparkSession, sf: str) -> DataFrame:
 W3 = """SELECT period_end, security_id, round(least(greatest(f, quantile_cont(f, 0.1) OVER w), quantile_cont(f, 0.9) OVER w), 8) AS factor_value FROM (SELECT *, rd_expense / sales_ttm AS f FROM fundamentals WHERE rd_expense IS NOT NULL AND sales_ttm > 0) WINDOW w AS (PARTITION BY period_end)"""
 
 
+def seed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that any model may use: models that need no sales take rows without positive sales, too."""
+    return pit.accepted(pit.assemble(V.constituents(spark, sf), V.schedule(spark, sf), V.fundamentals(spark, sf), V.prices(spark, sf), V.fx(spark, sf), require_sales=False))
+
+
 def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pit.accepted(assembled(spark, sf)).join(V.securities(spark, sf).select("security_id", "sector"), "security_id", "left").fillna({"sector": "UNKNOWN"})
-    return factor.with_scores(factor.raw_metrics(rows), ["as_of_date", "model"])
+    rows = seed_rows(spark, sf).join(V.securities(spark, sf).select("security_id", "sector"), "security_id", "left").fillna({"sector": "UNKNOWN"})
+    return factor.with_scores(factor.for_their_models(factor.raw_metrics(rows)), ["as_of_date", "model"])
+
+
+def g3_seed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """For each date, country and model the rows that are seeded, and those of them without sales."""
+    rows = factor.for_their_models(factor.raw_metrics(seed_rows(spark, sf)))
+    return rows.groupBy("as_of_date", "country", "model").agg(F.count("*").alias("n"), F.count_if(F.coalesce("sales_ttm", F.lit(0.0)) <= 0).alias("n_without_sales"))
+
+
+G3 = "SELECT as_of_date, country, model, count(*) AS n, count(*) FILTER (WHERE coalesce(sales_ttm, 0) <= 0) AS n_without_sales FROM raws GROUP BY ALL"
 
 
 SCORES = {
-    "base": "SELECT a.*, coalesce(s.sector, 'UNKNOWN') AS sector, greatest(median_traded_value_krw, 1) AS liq, greatest(ln(1 + greatest(median_traded_value_krw, 1) / 1e9), 1e-6) AS scale FROM accepted a LEFT JOIN securities s USING (security_id)",
-    "raws": """SELECT *, unnest(['rnd_sales_ttm', 'rnd_sales_size_proxy', 'rnd_mktcap_proxy', 'rnd_ev_proxy', 'rnd_robust_composite']) AS model, unnest([a, b, c, d, (a + b + c + d) / 4]) AS raw FROM (
-        SELECT *, rd_expense / greatest(sales_ttm, 1e-9) AS a, rd_expense / greatest(sales_ttm, 1e-9) / scale AS b, rd_expense / liq AS c, rd_expense / (liq * (1 + scale)) AS d FROM base)""",
+    "base": "SELECT a.*, coalesce(s.sector, 'UNKNOWN') AS sector, greatest(median_traded_value_krw, 1) AS liq, greatest(ln(1 + greatest(median_traded_value_krw, 1) / 1e9), 1e-6) AS scale FROM seeds a LEFT JOIN securities s USING (security_id)",
+    "raws": """SELECT * FROM (SELECT *, unnest(['rnd_sales_ttm', 'rnd_sales_size_proxy', 'rnd_mktcap_proxy', 'rnd_ev_proxy', 'rnd_robust_composite']) AS model, unnest([a, b, c, d, (a + b + c + d) / 4]) AS raw FROM (
+        SELECT *, rd_expense / greatest(sales_ttm, 1e-9) AS a, rd_expense / greatest(sales_ttm, 1e-9) / scale AS b, rd_expense / liq AS c, rd_expense / (liq * (1 + scale)) AS d FROM base)) WHERE sales_ttm > 0 OR model NOT IN ('rnd_sales_ttm', 'rnd_sales_size_proxy')""",
     "sized": """SELECT *, raw / scale AS adj, max(liq) FILTER (WHERE rn = greatest(n // 3 - 1, 0) + 1) OVER w AS lo, max(liq) FILTER (WHERE rn = greatest((2 * n) // 3 - 1, 0) + 1) OVER w AS hi FROM (
         SELECT *, row_number() OVER (PARTITION BY as_of_date, model, country ORDER BY liq, security_id) AS rn, count(*) OVER (PARTITION BY as_of_date, model, country) AS n FROM raws) WINDOW w AS (PARTITION BY as_of_date, model, country)""",
     "zs": """SELECT *, CASE WHEN liq <= lo THEN 'small' WHEN liq <= hi THEN 'mid' ELSE 'large' END AS size_bucket,
         CASE WHEN stddev_pop(raw) OVER s <= 1e-12 THEN 0 ELSE (raw - avg(raw) OVER s) / stddev_pop(raw) OVER s END AS sector_z, CASE WHEN stddev_pop(adj) OVER c <= 1e-12 THEN 0 ELSE (adj - avg(adj) OVER c) / stddev_pop(adj) OVER c END AS size_z
         FROM sized WINDOW s AS (PARTITION BY as_of_date, model, country, sector), c AS (PARTITION BY as_of_date, model, country)""",
-    "scores": "SELECT *, CASE model WHEN 'rnd_sales_ttm' THEN 0.7::DOUBLE * sector_z + 0.3::DOUBLE * size_z WHEN 'rnd_sales_size_proxy' THEN 0.4::DOUBLE * sector_z + 0.6::DOUBLE * size_z WHEN 'rnd_mktcap_proxy' THEN 0.3::DOUBLE * sector_z + 0.7::DOUBLE * size_z WHEN 'rnd_ev_proxy' THEN 0.6::DOUBLE * sector_z + 0.4::DOUBLE * size_z ELSE 0.5::DOUBLE * sector_z + 0.5::DOUBLE * size_z END AS score FROM zs",
+    "scores": "SELECT *, round(CASE model WHEN 'rnd_sales_ttm' THEN 0.7::DOUBLE * sector_z + 0.3::DOUBLE * size_z WHEN 'rnd_sales_size_proxy' THEN 0.4::DOUBLE * sector_z + 0.6::DOUBLE * size_z WHEN 'rnd_mktcap_proxy' THEN 0.3::DOUBLE * sector_z + 0.7::DOUBLE * size_z WHEN 'rnd_ev_proxy' THEN 0.6::DOUBLE * sector_z + 0.4::DOUBLE * size_z ELSE 0.5::DOUBLE * sector_z + 0.5::DOUBLE * size_z END, 10) AS score FROM zs",
 }
 
 
 def g2_raw_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = factor.raw_metrics(pit.accepted(assembled(spark, sf)))
+    rows = factor.for_their_models(factor.raw_metrics(seed_rows(spark, sf)))
     return rows.groupBy("as_of_date", "model", "country").agg(F.count("*").alias("n"), F.round(F.log(F.sum("raw")), 6).alias("log_sum"))
 
 
@@ -158,6 +174,7 @@ def portfolios(spark: SparkSession) -> DataFrame:
     rows = []
     for market, targets in (("combined", TARGETS), *((c, {c: 1.0}) for c in sorted(TARGETS))):
         for cap in (0.08, 0.1, 0.15, 0.2, 0.25):
+            weights.check_parameters(targets, TOTAL, cap)
             for c, n in quota.requested_counts(TOTAL, targets).items():
                 rows.append((f"{market}-{cap}", c, targets[c], n, TOTAL, cap))
     return spark.createDataFrame(rows, "plan string, country string, target double, requested int, max_holdings int, max_single double")
@@ -172,10 +189,12 @@ def grid(spark: SparkSession) -> DataFrame:
 
 
 def ranked_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked rows of each portfolio: a model's rows for each plan that uses it."""
+    """Ranked rows of each portfolio: a model's rows for each plan that uses it. Of a date and country no portfolio can choose beyond the first TOTAL, so others go before the rows are fanned out."""
     plans = grid(spark).select("portfolio_id", "model").distinct()
     keep = ["as_of_date", "model", "country", "security_id", "factor_value", "rank_in_country", "is_eligible", "median_traded_value_krw"]
-    return saved(_flagged(spark, sf).select(*keep), "ranked").join(F.broadcast(plans), "model")
+    order = Window.partitionBy("as_of_date", "model", "country").orderBy(F.coalesce("rank_in_country", F.lit(10**9)), F.col("factor_value").desc(), "security_id")
+    first = _flagged(spark, sf).select(*keep).where("is_eligible and factor_value is not null").withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= TOTAL).drop("_place")
+    return saved(first, "ranked").join(temporal.dates_side(plans), "model")
 
 
 def weighted_grid(spark: SparkSession, sf: str, te_cap: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -240,17 +259,25 @@ W10 = """SELECT country, d AS as_of_date, security_id, round(m / sum(m) OVER (PA
 
 
 def _ledger_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Portfolios and prices in KRW: the last ones on or before each date of the schedule."""
+    """Portfolios with their weights as published, and a row without holdings on every other date; and prices in KRW, the last ones on or before each date of the schedule."""
     w, _ = weighted_grid(spark, sf)
+    published = w.where("weight > 0").select(*PF, "security_id", F.round("weight", 6).alias("weight"))
+    dates = grid(spark).select("portfolio_id").distinct().crossJoin(temporal.dates_side(V.schedule(spark, sf)))
     last = _last_prices(spark, sf).join(V.securities(spark, sf).select("security_id", "country", "currency"), "security_id")
-    return w.where("weight > 0").select(*PF, "security_id", "weight"), money.prices_to_krw(last.withColumnRenamed("as_of_date", "price_date"), V.fx(spark, sf), "price_date")
+    return dates.join(published, PF, "left").select(*PF, "security_id", "weight"), money.prices_to_krw(last.withColumnRenamed("as_of_date", "price_date"), V.fx(spark, sf), "price_date")
+
+
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark in KRW on the schedule's dates."""
+    got = money.prices_to_krw(benchmark(spark, sf), V.fx(spark, sf), "benchmark_date")
+    return got.select("benchmark_date", F.col("price_krw").alias("level"))
 
 
 def l8_ledger_periods(spark: SparkSession, sf: str) -> DataFrame:
-    """Periods of the ledgers of 100 portfolios."""
+    """Periods of the ledgers of 100 portfolios, with the benchmark's return."""
     allocations, prices = _ledger_inputs(spark, sf)
-    rows = ledger.run_ledger(allocations, prices, ["portfolio_id"])
-    return rows.where("kind = 'period'").select("portfolio_id", "start_date", "end_date", F.round("start_nav", 2).alias("start_nav"), F.round("end_nav", 2).alias("end_nav"), F.round("net_return", 8).alias("net_return"), F.round("total", 2).alias("total_cost"))
+    rows = ledger.with_benchmark(ledger.run_ledger(allocations, prices, ["portfolio_id"]).where("kind = 'period'"), _levels(spark, sf))
+    return rows.select("portfolio_id", "start_date", "end_date", F.round("start_nav", 2).alias("start_nav"), F.round("end_nav", 2).alias("end_nav"), F.round("net_return", 8).alias("net_return"), F.round("total", 2).alias("total_cost"), F.round("benchmark_return", 8).alias("benchmark_return"))
 
 
 def a16_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,19 +286,59 @@ def a16_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("portfolio_id", "periods", F.round("end_nav", 2).alias("end_nav"), F.round("cumulative_net", 6).alias("cumulative_net"), F.round("cumulative_gross", 6).alias("cumulative_gross"), F.round("total_sum", 2).alias("total_cost"))
 
 
-def l1_l6_ledger_step(spark: SparkSession, sf: str) -> DataFrame:
-    """One rebalance of each country's sales-weighted portfolio at every quarter end, from the holdings of the quarter before."""
+def h14_turnover_portfolios(spark: SparkSession, sf: str) -> DataFrame:
+    """The portfolios with half the turnover at most 30 percent from one date to the next."""
+    w, _ = weighted_grid(spark, sf)
+    return weights.turnover_chain(w, ["portfolio_id"], 0.3).select("portfolio_id", "as_of_date", "security_id", F.round("weight", 6).alias("weight"))
+
+
+#: The ledger as a recursion over dates. What is held is a map of quantity and average cost by security.
+LEDGER = {
+    "dts": "SELECT as_of_date AS d, lead(as_of_date) OVER (ORDER BY as_of_date) AS e, row_number() OVER (ORDER BY as_of_date) AS i FROM schedule",
+    "px": """SELECT as_of_date AS d, map_from_entries(list((security_id, close * CASE currency WHEN 'KRW' THEN 1.0::DOUBLE WHEN 'USD' THEN usd_krw ELSE usd_krw / usd_jpy END))) AS p FROM (
+        SELECT s.security_id, s.currency, s.as_of_date, p.close FROM (SELECT security_id, currency, as_of_date FROM securities, schedule) s ASOF JOIN prices p ON p.security_id = s.security_id AND p.price_date <= s.as_of_date) JOIN schedule_rates ON d = as_of_date GROUP BY ALL""",
+    "tg": "SELECT portfolio_id, as_of_date AS d, map_from_entries(list((security_id, round(weight, 6)))) AS t FROM weighted WHERE weight > 0 GROUP BY ALL",
+    "steps": "SELECT portfolio_id, i, d, e, coalesce(t, MAP([]::VARCHAR[], []::DOUBLE[])) AS t, a.p AS p, b.p AS pe FROM (SELECT DISTINCT portfolio_id FROM grid) CROSS JOIN dts LEFT JOIN tg USING (portfolio_id, d) JOIN px a USING (d) JOIN px b ON b.d = e WHERE e IS NOT NULL",
+}
+RUN = """, run AS (
+    SELECT portfolio_id, 0::BIGINT AS i, NULL::DATE AS d, NULL::DATE AS e, 1e7::DOUBLE AS cash, MAP([]::VARCHAR[], []::STRUCT(q DOUBLE, c DOUBLE)[]) AS held, 0::DOUBLE AS nav, 0::DOUBLE AS end_nav, 0::DOUBLE AS total FROM (SELECT DISTINCT portfolio_id FROM grid)
+    UNION ALL
+    SELECT portfolio_id, i, d, e, cash, held, nav, cash + coalesce(list_sum(list_transform(map_entries(held), lambda x: x.value.q * pe[x.key])), 0) AS end_nav, total FROM (
+        SELECT portfolio_id, i, d, e, pe, nav, cash + coalesce(list_sum(list_transform(tr, lambda x: x.flow - x.pay)), 0) AS cash, coalesce(list_sum(list_transform(tr, lambda x: x.pay)), 0) AS total,
+            map_from_entries(list_transform(list_filter(tr, lambda x: x.q > 1e-12), lambda x: {'k': x.s, 'v': {'q': x.q, 'c': x.c}})) AS held FROM (
+            SELECT * EXCLUDE (tr), list_transform(tr, lambda x: {'s': x.s, 'flow': CASE WHEN x.sell THEN x.n ELSE -x.n END, 'q': CASE WHEN x.sell THEN x.q - x.n / x.pr ELSE x.q + x.n / x.pr END, 'c': CASE WHEN x.sell OR x.n = 0 THEN x.c ELSE (x.q * x.c + x.n) / (x.q + x.n / x.pr) END,
+                'pay': x.n * 0.001::DOUBLE + CASE WHEN x.sell AND x.s[1:2] = 'KR' THEN x.n * 0.0015::DOUBLE ELSE 0 END + CASE WHEN x.sell THEN greatest(0, (x.pr - x.c) * x.n / x.pr) * CASE x.s[1:2] WHEN 'JP' THEN 0.2::DOUBLE WHEN 'US' THEN 0.22::DOUBLE ELSE 0 END ELSE 0 END}) AS tr FROM (
+                SELECT * EXCLUDE (tr), list_transform(tr, lambda x: {'s': x.s, 'pr': x.pr, 'q': x.q, 'c': x.c, 'sell': x.delta < 0, 'n': CASE WHEN abs(x.delta) <= 1e-9 THEN 0 WHEN x.delta < 0 THEN least(-x.delta, x.q * x.pr) ELSE x.delta END}) AS tr FROM (
+                    SELECT * EXCLUDE (held), list_transform(list_distinct(list_concat(map_keys(held), map_keys(t))), lambda s: {'s': s, 'pr': p[s], 'q': coalesce(held[s].q, 0), 'c': coalesce(held[s].c, 0), 'delta': nav * coalesce(t[s], 0) - coalesce(held[s].q, 0) * p[s]}) AS tr FROM (
+                        SELECT s.*, r.held, r.cash, r.cash + coalesce(list_sum(list_transform(map_entries(r.held), lambda x: x.value.q * s.p[x.key])), 0) AS nav FROM run r JOIN steps s ON s.portfolio_id = r.portfolio_id AND s.i = r.i + 1))))))
+"""
+L8 = RUN + """SELECT portfolio_id, run.d AS start_date, run.e AS end_date, round(nav, 2) AS start_nav, round(end_nav, 2) AS end_nav, round(end_nav / nav - 1, 8) AS net_return, round(total, 2) AS total_cost, round((be.close * re.usd_krw) / (bs.close * rs.usd_krw) - 1, 8) AS benchmark_return
+    FROM run LEFT JOIN (SELECT * FROM bench WHERE country = 'US') bs ON bs.benchmark_date = run.d LEFT JOIN (SELECT * FROM bench WHERE country = 'US') be ON be.benchmark_date = run.e LEFT JOIN schedule_rates rs ON rs.d = run.d LEFT JOIN schedule_rates re ON re.d = run.e WHERE i > 0"""
+A16 = RUN + """SELECT portfolio_id, count(*) AS periods, round(arg_max(end_nav, i), 2) AS end_nav, round(arg_max(end_nav, i) / 1e7 - 1, 6) AS cumulative_net, round((arg_max(end_nav, i) + sum(total)) / 1e7 - 1, 6) AS cumulative_gross, round(sum(total), 2) AS total_cost FROM run WHERE i > 0 GROUP BY ALL"""
+
+
+def step_positions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Each country's sales-weighted holdings of the quarter before, and prices at every quarter end."""
     held = _quarter_weights(spark, sf)
     closes = V.prices(spark, sf).withColumn("q", F.last_day(F.add_months(F.trunc("price_date", "quarter"), 2))).groupBy("security_id", "q").agg(F.max_by("close", "price_date").alias("price_krw"))
-    key = ["country", "as_of_date"]
     before = held.join(closes.withColumnRenamed("q", "as_of_date"), ["security_id", "as_of_date"]).select("country", F.last_day(F.add_months("as_of_date", 3)).alias("as_of_date"), "security_id", (1e6 * F.col("weight") / F.col("price_krw")).alias("quantity"), F.col("price_krw").alias("avg_cost"))
-    now = closes.select("security_id", F.col("q").alias("as_of_date"), "price_krw")
+    return before, closes.select("security_id", F.col("q").alias("as_of_date"), "price_krw")
+
+
+def step_trades(spark: SparkSession, sf: str) -> DataFrame:
+    before, now = step_positions(spark, sf)
+    key = ["country", "as_of_date"]
     marked = before.join(now, ["security_id", "as_of_date"]).withColumn("value", F.col("quantity") * F.col("price_krw"))
     nav = marked.groupBy(*key).agg(F.sum("value").alias("nav"))
-    deltas = ledger.trade_deltas(marked, held.join(now, ["security_id", "as_of_date"], "left_semi"), nav, key)
+    deltas = ledger.trade_deltas(marked, _quarter_weights(spark, sf).join(now, ["security_id", "as_of_date"], "left_semi"), nav, key)
     about = V.securities(spark, sf).select("security_id", "currency")
     t = deltas.join(now, ["security_id", "as_of_date"]).join(marked.select(*key, "security_id", "avg_cost"), [*key, "security_id"], "left").join(about, "security_id").withColumn("country", F.upper("country"))
-    out = ledger.trade_costs(t, {"commission": 0.0005, "fx_fee": 0.001})
+    return ledger.trade_costs(t, {"commission": 0.0005, "fx_fee": 0.001})
+
+
+def l1_l6_ledger_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One rebalance of each country's sales-weighted portfolio at every quarter end, from the holdings of the quarter before."""
+    out = step_trades(spark, sf)
     return out.select("country", "as_of_date", "security_id", "side", F.round("notional", 4).alias("notional"), F.round("gain", 4).alias("gain"), F.round("total", 4).alias("total"))
 
 
@@ -289,10 +356,15 @@ L1_VIEWS = {
     "nav": "SELECT country, d, sum(value) AS nav FROM marked GROUP BY ALL",
 }
 
+def _recursive(body: str) -> str:
+    views = {**PIT, **SCORES, **Q.RANKING, **Q.WEIGHTS, "bench": BENCH, "schedule_rates": SCHEDULE_RATES, **LEDGER}
+    return oracle(body, views).replace("WITH ", "WITH RECURSIVE ", 1).replace("\n, run AS", ",\nrun AS", 1)
+
+
 _ALL = [
     p1_assemble_universe, p3_pit_violations, p6_rejection_counts, a1_median_traded_value, w1_pit_select, rank_by_country, g1_factor_eligibility, w3_winsorize, g2_raw_metrics, w4_w7_scores,
-    a5_sector_weights, g5_proportional_quotas, g6_quota_bounds, g9_qepm_rank, h1_h2_selection, h8_capped_allocation, h14_portfolios, h11_h12_diagnostics, h10_turnover_step, w10_sleeve_blend,
-    l8_ledger_periods, a16_run_metrics, l1_l6_ledger_step,
+    a5_sector_weights, g3_seed_rows, g5_proportional_quotas, g6_quota_bounds, g9_qepm_rank, h1_h2_selection, h8_capped_allocation, h14_portfolios, h11_h12_diagnostics, h10_turnover_step, w10_sleeve_blend,
+    h14_turnover_portfolios, l8_ledger_periods, a16_run_metrics, l1_l6_ledger_step,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {
@@ -306,7 +378,8 @@ SQL = {
     "w3_winsorize": oracle(W3),
     "g2_raw_metrics": oracle("SELECT as_of_date, model, country, count(*) AS n, round(ln(sum(raw)), 6) AS log_sum FROM raws GROUP BY ALL", {**PIT, **SCORES}),
     "w4_w7_scores": oracle("SELECT as_of_date, model, security_id, size_bucket, round(sector_z, 5) AS sector_z, round(size_z, 5) AS size_z, round(score, 5) AS score FROM scores", {**PIT, **SCORES}),
-    "a5_sector_weights": oracle("SELECT as_of_date, country, sector, round(l / sum(l) OVER (PARTITION BY as_of_date, country), 6) AS weight FROM (SELECT as_of_date, country, sector, sum(liq) AS l FROM base GROUP BY ALL)", {**PIT, **SCORES}),
+    "a5_sector_weights": oracle("SELECT as_of_date, country, sector, round(l / sum(l) OVER (PARTITION BY as_of_date, country), 6) AS weight FROM (SELECT as_of_date, country, sector, sum(liq) AS l FROM base WHERE reasons = '' GROUP BY ALL)", {**PIT, **SCORES}),
+    "g3_seed_rows": oracle(G3, {**PIT, **SCORES}),
     "g5_proportional_quotas": oracle(Q.G5, Q.G5_VIEWS),
     "g6_quota_bounds": oracle(G6),
     "g9_qepm_rank": oracle(Q.G9, {**PIT, **SCORES, **Q.RANKING}),
@@ -317,4 +390,6 @@ SQL = {
     "h10_turnover_step": oracle(H10, {"w": "SELECT country, period_end AS d, security_id, sales_ttm / sum(sales_ttm) OVER (PARTITION BY country, period_end) AS w FROM fundamentals"}),
     "w10_sleeve_blend": oracle(W10, L1_VIEWS),
     "l1_l6_ledger_step": oracle(L1, L1_VIEWS),
+    "l8_ledger_periods": _recursive(L8),
+    "a16_run_metrics": _recursive(A16),
 }

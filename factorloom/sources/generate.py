@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.temporal import dates_side
+
 from ..functions import casts as X
 
 # By country what is added to R&D, the days from filing and period end to the date, and the base price.
@@ -22,7 +24,7 @@ def hash64(text: Column) -> Column:
 
 def fundamentals(securities: DataFrame, schedule: DataFrame) -> DataFrame:
     """R&D and sales of each security at each date, from a hash of its id, country and the date."""
-    both = securities.select("security_id", "country").crossJoin(F.broadcast(schedule.select("as_of_date")))  # dates: some tens
+    both = securities.select("security_id", "country").crossJoin(dates_side(schedule.select("as_of_date")))
     h = hash64(F.concat_ws("|", "security_id", "country", F.col("as_of_date").cast("string"), F.lit("rnd-sales")))
     b = both.withColumn("_h", h)
     rd = 60 + _of(0, F.col("country")) + (F.col("_h") % 180).cast("double")
@@ -37,7 +39,7 @@ def prices(securities: DataFrame, schedule: DataFrame) -> DataFrame:
     numbered = schedule.select("as_of_date").distinct().withColumn("i", F.row_number().over(order) - 1)
     days = numbered.select("as_of_date", "i", F.explode(F.array(F.lit(0), F.lit(7), F.lit(14))).alias("lag"))
     days = days.groupBy(F.expr("date_sub(as_of_date, lag)").alias("price_date")).agg(F.min_by("i", "as_of_date").alias("i"), F.max((F.col("lag") == 0)).alias("on"))
-    both = securities.select("security_id", "country", "currency", "rank_seed").crossJoin(F.broadcast(days))
+    both = securities.select("security_id", "country", "currency", "rank_seed").crossJoin(dates_side(days))
     close = (_of(3, F.col("country")) + F.col("rank_seed")) * (1 + 0.015 * F.col("i")) * F.when(F.col("on"), 1.0).otherwise(0.99)
     return both.select("security_id", "country", "currency", "price_date", F.round(close, 6).alias("close"), (8e8 + 2.5e7 * F.col("rank_seed")).alias("traded_value"))
 

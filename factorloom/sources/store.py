@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.casts import finite
+
 _LOCAL: str | None = None
 
 
@@ -36,7 +38,7 @@ def ticker_norm(c: F.Column) -> F.Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}]", "_")
 
 
-def write_price_partitions(prices: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> DataFrame:
+def write_price_partitions(prices: DataFrame, path: str, mode: str = "append", buckets: int = 64, overwrite: bool = False) -> DataFrame:
     """Writes prices (ticker, price_date, close, volume) by ticker bucket and year, replacing only the partitions it has rows for; returns rows whose given year contradicts the date, which are not written.
 
     Tickers by the hundred thousand would make as many folders, so a folder holds a hash bucket of them, sorted."""
@@ -45,7 +47,7 @@ def write_price_partitions(prices: DataFrame, path: str, mode: str = "append", b
     rows = prices.withColumns({"ticker_norm": ticker_norm(F.col("ticker")), "_year": year, "year": given})
     good = rows.where("year = _year").drop("_year").withColumn("bucket", F.pmod(F.xxhash64("ticker_norm"), F.lit(buckets)).cast("int"))
     sorted_ = good.repartition("bucket", "year").sortWithinPartitions("bucket", "year", "ticker_norm", "price_date")
-    writer = sorted_.write.partitionBy("bucket", "year").mode("overwrite" if mode == "replace" else mode)
+    writer = sorted_.write.partitionBy("bucket", "year").mode("overwrite" if overwrite or mode == "replace" else mode)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
     return rows.where("year <> _year or year is null").drop("_year")
 
@@ -70,6 +72,63 @@ def fresh(files: DataFrame, now: str, ttl_days: int) -> DataFrame:
     return files if ttl_days == 0 else files.where(F.col("modified") >= F.lit(now).cast("timestamp") - F.expr(f"interval {ttl_days} days"))
 
 
+def write_price_windows(prices: DataFrame, path: str) -> None:
+    """The older layout: a JSON object for each ticker with its window's start and end and its rows."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col("price_date").cast("string").alias("date"), F.col("close").cast("string").alias("close"), F.col("volume").cast("string").alias("volume"))))
+    prices.groupBy("ticker").agg(F.min("price_date").alias("start"), F.max("price_date").alias("end"), rows.alias("rows")).write.json(path)
+
+
+def read_price_windows(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, price_date, close, volume) of the older layout. Rows without a date or a number as close go, volumes are 0 at least; of a date's rows the last counts."""
+    files = spark.read.schema("ticker string, start string, end string, rows array<struct<date: string, close: string, volume: string>>").json(path)
+    each = files.select("ticker", F.posexplode("rows").alias("pos", "r"))
+    volume = F.greatest(F.coalesce(finite(F.col("r.volume")), F.lit(0.0)), F.lit(0.0))
+    typed = each.select("ticker", F.try_to_date(F.trim("r.date"), "yyyy-MM-dd").alias("price_date"), finite(F.col("r.close")).alias("close"), volume.alias("volume"), "pos").where("price_date is not null and close is not null")
+    return typed.groupBy("ticker", "price_date").agg(F.max(F.struct("pos", "close", "volume")).alias("x")).select("ticker", "price_date", "x.close", "x.volume")
+
+
+def serve(spark: SparkSession, path: str, v1: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """(ticker, price_date, close, volume, origin) of a window of years: of the new layout for tickers that are complete there, else of the old one."""
+    columns = ["ticker", "price_date", "close", "volume"]
+    old = v1.where(F.year("price_date").between(first_year, last_year))
+    return migrate(read_price_partitions(spark, path, first_year, last_year).select(*columns), old.select(*columns))
+
+
+def repair(spark: SparkSession, path: str, rows: DataFrame, buckets: int = 64) -> None:
+    """Writes rows (ticker, price_date, close, volume) into the new layout: days they have replace those of the store, the rest of the partitions they touch stays."""
+    place = {"ticker_norm": ticker_norm(F.col("ticker")), "year": F.year("price_date")}
+    new = saved(rows.withColumns(place).withColumn("bucket", F.pmod(F.xxhash64("ticker_norm"), F.lit(buckets)).cast("int")), "repaired")
+    kept = spark.read.parquet(path).join(new.select("bucket", "year").distinct(), ["bucket", "year"], "left_semi").join(new.select("ticker_norm", "price_date"), ["ticker_norm", "price_date"], "left_anti")
+    columns = ["ticker", "price_date", "close", "volume"]
+    write_price_partitions(saved(kept.select(*columns).unionByName(new.select(*columns)), "merged"), path, buckets=buckets, overwrite=True)
+
+
+def migration_counters(spark: SparkSession, path: str, v1: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """Serves a window, repairs the new layout from the old one, and says for how many tickers (event, n): v2_hit, v1_fallback, repair_success, repair_failure."""
+    served = saved(serve(spark, path, v1, first_year, last_year), "served")
+    fallback = served.where("origin = 'v1'")
+    repair(spark, path, fallback.select("ticker", "price_date", "close", "volume"))
+    now = read_price_partitions(spark, path, first_year, last_year).select("ticker").distinct().withColumn("_ok", F.lit(True))
+    tickers = served.select("ticker", "origin").distinct().join(now, "ticker", "left")
+    count = lambda c: F.count_if(c)
+    one = tickers.agg(count(F.col("origin") == "v2").alias("v2_hit"), count(F.col("origin") == "v1").alias("v1_fallback"), count((F.col("origin") == "v1") & F.col("_ok").isNotNull()).alias("repair_success"), count((F.col("origin") == "v1") & F.col("_ok").isNull()).alias("repair_failure"))
+    return one.unpivot([], one.columns, "event", "n")
+
+
+def write_filing_index(listings: DataFrame, path: str) -> None:
+    """Listings (day, ...) as JSON lines by month; a folder a day would hold a handful of rows."""
+    lines = listings.select(F.date_format("day", "yyyy-MM").alias("month"), F.to_json(F.struct(*[F.col(c) for c in listings.columns])).alias("value"))
+    lines.repartition("month").write.mode("append").partitionBy("month").text(path)
+
+
+def read_filing_window(spark: SparkSession, path: str, start: str, end: str, fields: str) -> DataFrame:
+    """The listings of all days from start to end; only their months are read. Lines that are no listing are left out, not an error. fields: the columns' types as DDL, with day."""
+    rows = spark.read.schema(f"{fields}, _malformed string, month string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed").json(path)
+    inside = F.col("month").between(F.date_format(F.lit(start).cast("date"), "yyyy-MM"), F.date_format(F.lit(end).cast("date"), "yyyy-MM"))
+    days = F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    return rows.where(inside & days & F.col("_malformed").isNull()).drop("_malformed", "month")
+
+
 def migrate(v2: DataFrame, v1: DataFrame) -> DataFrame:
     """Rows of the new layout, and of the old one for tickers that the new one lacks; origin says which."""
     missing = v1.join(v2.select("ticker").distinct(), "ticker", "left_anti")
@@ -84,10 +143,10 @@ def unpivot_wide(wide: DataFrame, tickers: list[str]) -> DataFrame:
     return p.where("close is not null and not isnan(close) and abs(close) < double('Infinity')").withColumn("volume", F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(0.0)))
 
 
-def read_fact_files(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated fact files in UTF-16; rows with under nine columns are left out, quotes, control characters and byte-order marks go."""
+def read_fact_files(spark: SparkSession, path: str, encoding: str = "UTF-16LE") -> DataFrame:
+    """Tab-separated fact files; rows with under nine columns are left out, quotes, control characters and byte-order marks go. The encoding names the order of bytes, as lines are looked for in them."""
     names = ["element", "label", "context", "relative_year", "consolidated", "period", "unit", "unit_scale", "value"]
-    lines = spark.read.option("encoding", "UTF-16").option("lineSep", "\n").text(path)
+    lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
     parts = lines.select(F.split("value", "\t").alias("p")).where(F.size("p") >= 9)
     clean = lambda c: F.trim(F.regexp_replace(c, "[\\x00-\\x1F\\uFEFF\"]", ""))
     return parts.select(*[clean(F.col("p")[i]).alias(n) for i, n in enumerate(names)]).where(F.col("value").isNotNull())
@@ -104,7 +163,13 @@ def manifest(outputs: dict[str, DataFrame]) -> DataFrame:
     return whole.select("output", "rows", "digest")
 
 
+def run_id(start: str, end: str) -> str:
+    """A run's name, from its window of dates."""
+    return f"run_{start.replace('-', '')}_{end.replace('-', '')}"
+
+
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of the files below path. A file's bytes are one row: for outputs of files of some MB, as reports are."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 

@@ -82,10 +82,9 @@ def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return securities(spark, sf_dir).select("universe", "security_id", F.inline(windows)).withColumn("is_current", F.col("effective_to").isNull())
 
 
-def schedule(spark: SparkSession, sf_dir: str, first: str = "1997-03-31", last: str = "2000-12-31") -> DataFrame:
-    """Quarter ends of the years that have shipments."""
-    quarters = days(spark, sf_dir).select(F.last_day(F.add_months(F.trunc("d", "quarter"), 2)).alias("as_of_date")).distinct()
-    return quarters.where(F.col("as_of_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of all quarters that have shipments."""
+    return days(spark, sf_dir).select(F.last_day(F.add_months(F.trunc("d", "quarter"), 2)).alias("as_of_date")).distinct()
 
 
 SQL = {
@@ -107,8 +106,7 @@ SQL = {
         JOIN securities USING (k)""",
     "constituents": """SELECT universe, security_id, f AS effective_from, t AS effective_to, t IS NULL AS is_current FROM securities JOIN (
         VALUES (true, DATE '1995-01-01', DATE '1999-12-31'), (true, DATE '2000-07-01', NULL), (false, DATE '1995-01-01', NULL)) w(fifth, f, t) ON fifth = (k % 5 = 0)""",
-    "schedule": """SELECT DISTINCT last_day(date_trunc('quarter', d)::DATE + INTERVAL 2 MONTH) AS as_of_date FROM days
-        WHERE last_day(date_trunc('quarter', d)::DATE + INTERVAL 2 MONTH) BETWEEN DATE '1997-03-31' AND DATE '2000-12-31'""",
+    "schedule": "SELECT DISTINCT last_day(date_trunc('quarter', d)::DATE + INTERVAL 2 MONTH) AS as_of_date FROM days",
 }
 
 

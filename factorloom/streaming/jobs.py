@@ -50,4 +50,4 @@ def current(spark: SparkSession, path: str, schema: StructType, before: int | No
     if before is not None:
         table = table.where(F.col("version") < before)
     newest = table.groupBy("bucket").agg(F.max("version").alias("version"))
-    return table.join(F.broadcast(newest), ["bucket", "version"], "left_semi")  # a row for each bucket
+    return table.join(newest, ["bucket", "version"], "left_semi")
