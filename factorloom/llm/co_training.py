@@ -1,9 +1,10 @@
 """Quality classifier by co-training two views of a document.
 
-One view sees the text, the other what is known about the document: source, language and length. Each
-view is a naive Bayes model over hashed features. In every round a view learns from the labelled rows and from the
-unlabelled rows of which the other view is sure; all rows take part, and tasks send back counts of fixed size only.
-A fifth of the labelled rows is not learned from: on it each view's score is calibrated to a probability.
+One view sees the text: its words, their shapes and measures of it. The other sees what is known about the document:
+source, language and length. Each view is a naive Bayes model over hashed features. In every round a view learns from
+the labelled rows and from the unlabelled rows of which the other view is sure; all rows take part, and tasks send back
+counts of fixed size only. A fifth of the labelled rows is not learned from: on it each view's score is calibrated to a
+probability, and its ranking is measured round by round.
 """
 
 from __future__ import annotations
@@ -19,17 +20,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import documents, written
+from .slices import sliced
 from .sums import summed_arrays
 
-#: Buckets of a view's features, rounds, and how sure a view must be to teach the other.
-BUCKETS, ROUNDS, SURE = 1 << 12, 3, 0.95
+#: Buckets of a view's features, of which the first are for measures; rounds, and how sure a view must be to teach the other.
+BUCKETS, MEASURES, ROUNDS, SURE = 1 << 16, 1 << 12, 3, 0.95
 VIEWS = ("text", "page")
-#: Bins of scores from which a view is calibrated.
-_BINS, _REACH = 400, 20.0
+#: Documents that a feature is taken to be in besides those seen, in the classes' usual shares.
+PRIOR_DOCUMENTS = 1.0
+#: Bins of scores from which a view is calibrated; their inverse hyperbolic sines are spaced evenly and reach beyond any score.
+_BINS, _REACH = 2000, 16.0
+
+
+def _measure(said: bytes) -> int:
+    return zlib.crc32(said) % MEASURES
 
 
 def _bucket(word: bytes) -> int:
-    return zlib.crc32(word) % BUCKETS
+    return MEASURES + zlib.crc32(word) % (BUCKETS - MEASURES)
 
 
 _SHAPES = bytes(97 if 97 <= i <= 122 or i >= 128 else 65 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else i for i in range(256))
@@ -41,7 +49,7 @@ def _tenths(part: int, whole: int) -> int:
 
 
 def text_features(text: str | None) -> list[int]:
-    """The shapes of the words (letters, capitals, digits and signs, runs as one) and measures of the text in tenths. Words themselves would mostly be met once."""
+    """The words, their shapes (letters, capitals, digits and signs, runs as one) and measures of the text in tenths."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.split()
     n, times = len(words), Counter(words)
@@ -59,18 +67,18 @@ def text_features(text: str | None) -> list[int]:
         "ends": _tenths(ends, n), "plain": _tenths(plain, n), "shouted": _tenths(shouted, n), "short": _tenths(short, n), "length": min(20, len(raw) // max(1, n)), "kinds": len(shapes).bit_length(),
     }
     size = "few " if n < 20 else ""  # tenths of a few words are a matter of their own
-    common = {b"shape " + x for x, _ in shapes.most_common(12)}
-    return sorted({_bucket(f"{size}{k} {v}".encode()) for k, v in measures.items()} | {_bucket(x) for x in common})
+    kinds = {_bucket(b"shape " + x) for x in shapes} | {_bucket(b"word " + w) for w in times}
+    return sorted({_measure(f"{size}{k} {v}".encode()) for k, v in measures.items()} | kinds)
 
 
 def page_features(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
     size = -1 if n_chars is None else int(max(0, n_chars)).bit_length()
-    return sorted({_bucket(x.encode("utf-8", "replace")) for x in (f"source {source}", f"lang {lang}", f"size {size}", f"{source} {size}")})
+    return sorted({_measure(x.encode("utf-8", "replace")) for x in (f"source {source}", f"lang {lang}", f"size {size}", f"{source} {size}")})
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = lambda rows: pa.array([np.array(x, "<u2").tobytes() for x in rows], pa.binary())
-    for batch in batches:
+    for batch in sliced(batches, 1):
         text = pack(map(text_features, batch.column(1).to_pylist()))
         page = pack(page_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))))
         yield pa.RecordBatch.from_arrays([batch.column(0), text, page], ["doc_id", "text", "page"])
@@ -86,38 +94,57 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class View:
-    """Log-odds of the buckets, and the calibration that turns their sum into a probability."""
+    """Log-odds of the buckets, and the calibration that turns their sum into a probability.
+
+    A bucket's log-odds are weighed by 1 - 2 / G, at least 0, where G is twice the log-likelihood ratio of its classes
+    against the usual shares: what Akaike's criterion takes for chance says nothing."""
 
     def __init__(self, counts: np.ndarray):
         """counts: for either class the rows that have each bucket, and behind them the rows."""
-        share = (counts[:, :-1] + 0.5) / (counts[:, -1:] + 1.0)
-        self.odds, self.slope, self.offset = np.log(share[1] / share[0]), 1.0, float(np.log((counts[1, -1] + 1) / (counts[0, -1] + 1)))
+        rows = counts[:, -1] + 1.0
+        usual, seen = (rows / rows.sum())[:, None], counts[:, :-1]
+        whole = seen.sum(axis=0)
+        ratio = 2 * sum(np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(whole * u, 1e-300)), 0.0) for x, u in zip(seen, usual))
+        lift = np.log((seen / usual + PRIOR_DOCUMENTS) / (whole + PRIOR_DOCUMENTS))
+        self.odds = np.maximum(0.0, 1 - 2 / np.maximum(ratio, 1e-9)) * (lift[1] - lift[0])
+        self.slope, self.offset = 1.0, float(np.log(rows[1] / rows[0]))
+        #: Rows of either class that it learned from; of the rows that calibrate it, how often a good one ranks above a bad one.
+        self.taught, self.auc = counts[:, -1].astype(np.int64).tolist(), None
 
     def score(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(lengths))
-        full = lengths > 0
+        """What the measures say, and what words and shapes say over the root of the number of them that say something: there are many, and they say much the same."""
+        said, words = self.odds[flat], flat >= MEASURES
+        parts = np.array([np.where(words, 0.0, said), np.where(words, said, 0.0), words & (said != 0)], float)
+        sums, full = np.zeros((3, len(lengths))), lengths > 0
         if len(flat):
-            sums[full] = np.add.reduceat(self.odds[flat], np.r_[0, np.cumsum(lengths)[:-1]][full])
-        return sums
+            sums[:, full] = np.add.reduceat(parts, np.r_[0, np.cumsum(lengths)[:-1]][full], axis=1)
+        return sums[0] + sums[1] / np.sqrt(np.maximum(1.0, sums[2]))
 
     def chance(self, score: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.offset, -30, 30)))
 
     def calibrate(self, scores: np.ndarray, counts: np.ndarray) -> None:
-        """Logistic regression on one score by Newton's steps. counts: rows of either class at each score; a ridge keeps it finite."""
+        """Logistic regression on one score by Newton's steps, halved where they don't help. counts: rows of either class at each score; a ridge keeps it finite."""
         n, good = counts.sum(axis=0), counts[1]
-        a, b = 1.0, 0.0
-        for _ in range(50 if n.sum() else 0):
-            p = 1 / (1 + np.exp(-np.clip(a * scores + b, -30, 30)))
-            w, miss = n * p * (1 - p), n * p - good
-            grad = np.array([(miss * scores).sum() + 1e-2 * (a - 1), miss.sum() + 1e-2 * b])
-            hess = np.array([[(w * scores * scores).sum() + 1e-2, (w * scores).sum()], [(w * scores).sum(), w.sum() + 1e-2]])
-            move = np.linalg.solve(hess, grad)
-            a, b = a - np.clip(move[0], -2, 2), b - np.clip(move[1], -2, 2)
-            if np.abs(move).max() < 1e-9:
+        if not n.sum():
+            return
+        if counts.sum(axis=1).all():
+            below = np.cumsum(counts[0]) - counts[0] / 2
+            self.auc = float((good * below).sum() / (good.sum() * counts[0].sum()))
+        unit = float(np.sqrt((n * scores * scores).sum() / n.sum())) or 1.0
+        x = np.array([scores / unit, np.ones(len(scores))])
+        loss = lambda at: float((n * np.logaddexp(0, at @ x) - good * (at @ x)).sum() + 5e-3 * at @ at)
+        at = np.zeros(2)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(at @ x, -500, 500)))
+            slope = x @ (n * p - good) + 1e-2 * at
+            move = np.linalg.solve((x * (n * p * (1 - p))) @ x.T + 1e-2 * np.eye(2), slope)
+            while loss(at - move) > loss(at) and np.abs(move).max() > 1e-12:
+                move = move / 2
+            at = at - move
+            if np.abs(move).max() < 1e-10:
                 break
-        if n.sum():
-            self.slope, self.offset = float(max(0.0, a)), float(b)
+        self.slope, self.offset = float(max(0.0, at[0]) / unit), float(at[1])
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,14 +192,21 @@ def _count(views: list[View] | None, sure: float):
     return task
 
 
+def _bins(scores: np.ndarray) -> np.ndarray:
+    return ((np.arcsinh(scores) + _REACH) / (2 * _REACH) * _BINS).astype(np.int64)
+
+
+def _middles() -> np.ndarray:
+    return np.sinh((np.arange(_BINS) + 0.5) / _BINS * 2 * _REACH - _REACH)
+
+
 def _check(views: list[View]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 2, _BINS))
         for batch in batches:
             label, checks = _labels(batch)
             for v in range(2):
-                score = np.clip(views[v].score(*_unpacked(batch.column(VIEWS[v]))), -_REACH, _REACH * (1 - 1e-9))
-                place = ((score + _REACH) / (2 * _REACH) * _BINS).astype(np.int64)
+                place = _bins(views[v].score(*_unpacked(batch.column(VIEWS[v]))))
                 for c in range(2):
                     counts[v, c] += np.bincount(place[checks & (label == c)], minlength=_BINS)
         yield _sent(counts)
@@ -180,17 +214,17 @@ def _check(views: list[View]):
     return task
 
 
-def co_train(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> list[View]:
-    """The views after their rounds. Without labels both say one half of everything."""
-    middles = (np.arange(_BINS) + 0.5) / _BINS * 2 * _REACH - _REACH
-    views: list[View] | None = None
+def co_train(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> list[list[View]]:
+    """The views of each round, the last ones last. Without labels both say one half of everything."""
+    middles, views, history = _middles(), None, []
     for _ in range(rounds):
         counts = _totals(table, _count(views, sure), BUCKETS + 1)
         views = [View(counts[v]) for v in range(2)]
         checks = _totals(table.where("checks"), _check(views), _BINS)
         for v in range(2):
             views[v].calibrate(middles, checks[v])
-    return views
+        history.append(views)
+    return history
 
 
 def _score(views: list[View], prior: float):
@@ -204,9 +238,13 @@ def _score(views: list[View], prior: float):
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
-    """doc_id, p_text, p_page, score and kept (score of one half or more) of each row: both chances of good quality and what they say together, the prior counted once."""
+    """doc_id, p_text, p_page, score and kept (score of one half or more) of each row: both chances of good quality and what they say together, the prior counted once.
+
+    Null and empty texts have measures but no words; null source, language or length are features like any other. Texts
+    are read whole. Repeated rows and ids are rows of their own, and of several labels of an id the least counts; a null
+    id has none. Other columns are not read; without labels every score is one half; an empty table gives an empty one."""
     table = written(features(docs, labels), "features")
-    views = co_train(table, rounds, sure)
+    views = co_train(table, rounds, sure)[-1]
     n = table.where("label is not null").groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("good")).first()
     prior = float(np.log((n["good"] + 1) / (n["n"] - n["good"] + 1)))
     schema = table.select("doc_id").schema.add("p_text", "double").add("p_page", "double").add("score", "double")
@@ -214,4 +252,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sur
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances of good quality of every row of documents; see ``quality_scores`` for nulls, empty and long texts, repeats and other columns."""
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
