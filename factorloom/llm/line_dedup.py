@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import documents, spare_name, written
+from .scratch import documents, numbered_rows, spare_name, written
 from .slices import cuts, sliced
 
 #: Words that a span of op3 has at least. By default every repeated unit goes; but sentences of a word or two ("The.") are
@@ -129,10 +129,12 @@ def _rank(id_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
 
 
-def _cleaned(docs: DataFrame, id_col: str, text_col: str, span_words: int, how: str) -> tuple[DataFrame, str]:
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, span_words: int, how: str, rid: str | None = None) -> tuple[DataFrame, str]:
     """docs with a struct of the text that is left and the spans that went (inner: rows with units that go; left: all), and the struct's name."""
-    rid = spare_name(docs, "rid")
-    numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    numbered = docs
+    if rid is None:
+        rid = spare_name(docs, "rid")
+        numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     text = F.col(f"`{text_col}`").cast("string")
     cut = written(numbered.select(F.col(rid).alias("rid"), _rank(id_col).alias("rank"), text.alias("text")).mapInArrow(_cut, _SCHEMA), "units")
     # a digest that fills a third of all units is summed before it is dealt out; owners are a table, so that both sides
@@ -142,7 +144,8 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, span_words: int, how:
     gone = cut.join(owners, ["h1", "h2"], "left").where("again or rank > owner").select("rid", F.struct("unit", F.coalesce("owner", "rank").alias("owner")).alias("gone"))
     units_gone, told = spare_name(numbered, "gone"), spare_name(numbered, "told")
     by_row = gone.groupBy("rid").agg(F.collect_list("gone").alias(units_gone)).withColumnRenamed("rid", rid)
-    without = F.arrow_udf(_without(span_words), f"struct<text: string, spans: {_SPAN}>")
+    # called non-deterministic so that a filter on its result doesn't make Spark run it twice
+    without = F.arrow_udf(_without(span_words), f"struct<text: string, spans: {_SPAN}>").asNondeterministic()
     return numbered.join(by_row, rid, how).withColumn(told, without(text, F.col(units_gone))), told
 
 
@@ -151,13 +154,14 @@ def _spans(told: str, id_col: str) -> Column:
     return F.transform(f"{told}.spans", lambda x: F.struct(x["start"], x["stop"], x["n_words"], x["n_units"], F.when(x["keep_rank"] != _LAST, x["keep_rank"]).alias("keep_id")))
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 1) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 1, rid: str | None = None) -> DataFrame:
     """A row for each document that loses a span: its id, text without its repeated spans, and spans, with start and stop in code points of the original text, n_words, n_units and keep_id, the least id that keeps a unit of it.
 
     Null and empty texts have no units. Long texts are read whole. A null id ranks last. Ids are whole numbers. Rows that
     share an id don't take units from each other, but repeats within a row go. Other columns may have any names; an
-    empty table gives an empty one."""
-    found, told = _cleaned(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, span_words, "inner")
+    empty table gives an empty one. rid: a column of whole numbers that tells rows apart and is the same whenever docs
+    is read; without it docs is written with numbers."""
+    found, told = _cleaned(docs.select(*[F.col(f"`{c}`") for c in (id_col, text_col, rid) if c]), id_col, text_col, span_words, "inner", rid)
     return found.where(F.size(f"{told}.spans") > 0).select(F.col(f"`{id_col}`"), F.col(f"{told}.text").alias(text_col), _spans(told, id_col).alias("spans"))
 
 
@@ -175,5 +179,5 @@ def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that loses a span of SPAN_WORDS or more, without it; see ``cleaned`` for nulls, empty and long texts, repeats and other columns."""
-    found = cleaned(documents(spark, sf_dir), span_words=SPAN_WORDS)
+    found = cleaned(numbered_rows(documents(spark, sf_dir).select("doc_id", "text"), "rid"), span_words=SPAN_WORDS, rid="rid")
     return found.select("doc_id", "spans", F.aggregate("spans", F.lit(0), lambda n, x: n + x["n_words"]).alias("words_removed"), "text")

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,6 +37,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered_rows(docs: DataFrame, rid: str) -> DataFrame:
+    """docs, read from files, with a number that tells rows apart and is the same whenever they are read: the place of a row in its file, and of the file among all."""
+    path = docs.select(F.col("_metadata.file_path").alias("_file"))
+    files = written(path.distinct().select("_file", F.row_number().over(Window.orderBy("_file")).cast("long").alias("_no")), "files")  # a row for each file
+    placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return placed.join(files, "_file").select(*[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft("_no", 40) + F.col("_row")).alias(rid))
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}
