@@ -162,14 +162,14 @@ def report_rd_sales(reports: DataFrame) -> DataFrame:
     """(filing_id, rd_expense, sales) of reports: filing_id, net_sales, direct (fields by name) and other (fields by label), as text.
 
     R&D is among the direct fields and the labels that name it, sales are net_sales and labels of sales but not of their
-    cost; text blocks don't count. Of several candidates the largest by absolute value counts, of equal ones the first."""
+    cost; text blocks don't count. Of several candidates the largest by absolute value counts, of equal ones the positive one, as maps have no order."""
     entries = F.map_entries(F.coalesce("other", F.create_map().cast("map<string,string>")))
     labelled = F.filter(F.transform(entries, lambda e: F.struct(label(e["key"]).alias("k"), X.finite(e["value"]).alias("v"))), lambda e: (e["k"] != "") & ~e["k"].contains("textblock") & e["v"].isNotNull())
     values = lambda test: F.transform(F.filter(labelled, lambda e: test(e["k"])), lambda e: e["v"])
     direct = F.array_compact(F.array(*[X.finite(F.element_at("direct", F.lit(f))) for f in REPORT_RD]))
     rd = F.concat(F.coalesce(direct, F.array().cast("array<double>")), values(lambda k: has_any(k, REPORT_RD_KEYS)))
     sales = F.concat(F.array_compact(F.array(X.finite(F.col("net_sales")))), values(lambda k: has_any(k, REPORT_SALES_KEYS) & ~has_any(k, REPORT_SALES_NOT)))
-    most = lambda c: F.array_max(F.transform(c, lambda v, i: F.struct(F.abs(v).alias("a"), (-i).alias("i"), v.alias("v"))))["v"]
+    most = lambda c: F.array_max(F.transform(c, lambda v: F.struct(F.abs(v).alias("a"), v.alias("v"))))["v"]
     return reports.select("filing_id", most(rd).alias("rd_expense"), most(sales).alias("sales"))
 
 

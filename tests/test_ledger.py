@@ -89,3 +89,21 @@ def test_costs_are_checked():
         L.costs(slippage=2.0)
     with pytest.raises(ValueError):
         L.costs(unknown=0.1)
+
+
+def test_a_missing_price_is_an_error_unless_carried(spark):
+    alloc, prices, _, _ = inputs(spark, seed=4)
+    gap = prices.where(f"not (price_date = '{DAYS[1]}' and security_id = 'JP:1')")
+    with pytest.raises(Exception, match="no price on 2020-06-28 of JP:1"):
+        L.run_ledger(alloc, gap, ["portfolio_id"]).collect()
+    sides = {r["side"] for r in L.run_ledger(alloc, gap, ["portfolio_id"], carry=True).where(f"kind = 'trade' and start_date = '{DAYS[1]}' and security_id = 'JP:1'").collect()}
+    assert len(sides) == 1 and sides.pop().endswith(" carried")
+    with pytest.raises(Exception, match="no price on 2020-03-28 of JP:1"):
+        L.run_ledger(alloc, prices.where("security_id <> 'JP:1'"), ["portfolio_id"], carry=True).collect()
+
+
+def test_periods_meet_their_benchmark(spark):
+    periods = spark.createDataFrame([(DAYS[0], DAYS[1], 0.1), (DAYS[1], DAYS[2], 0.0), (DAYS[2], DAYS[3], 0.0)], "start_date date, end_date date, net_return double")
+    levels = spark.createDataFrame([(DAYS[0], 100.0), (DAYS[1], 105.0), (DAYS[3], 90.0)], "benchmark_date date, level double")
+    got = {r["start_date"]: (r["benchmark_return"], r["active_return"]) for r in L.with_benchmark(periods, levels).collect()}
+    assert abs(got[DAYS[0]][0] - 0.05) < 1e-12 and abs(got[DAYS[0]][1] - 0.05) < 1e-12 and got[DAYS[1]] == got[DAYS[2]] == (None, None)

@@ -99,3 +99,34 @@ def test_parts_add_up_and_frames_compare(spark):
     assert [(r["n_left"], r["n_right"], r["n_matching"]) for r in d] == [(2, 2, 2), (2, 2, 2)]
     with pytest.raises(ValueError):
         report.require_pass(report.data_quality({"empty": p.limit(0)}))
+
+
+def test_scope_and_gate_raise(spark):
+    from factorloom.operators import canonical, report
+
+    specs = spark.createDataFrame([("a", "US"), ("b", "kr")], "security_id string, country string")
+    assert canonical.market_scope(specs, ["US", "KR"]).count() == 2
+    with pytest.raises(ValueError, match="JP"):
+        canonical.market_scope(specs, ["US", "JP"])
+    said = spark.createDataFrame([("trades", "pass"), ("report", "fail")], "output string, status string")
+    with pytest.raises(ValueError, match="missing outputs: holdings"):
+        report.enforce_gate(report.quality_gate(["trades", "holdings"], said))
+    with pytest.raises(ValueError, match="not passed: report"):
+        report.enforce_gate(report.quality_gate(["trades", "report"], said))
+    report.enforce_gate(report.quality_gate(["trades"], said))
+
+
+def test_report_candidates(spark):
+    from factorloom.operators import filings
+
+    rows = [("a", "100", {"rd_expense": "-7"}, {"Research and development cost": "5", "Net Sales TextBlock": "900", "Cost of sales": "800"}), ("b", None, {}, {"R&D expense": "1", "RandD expense": "3", "Operating revenue": "-50", "Sales": "50"}), ("c", "x", None, None)]
+    got = {r["filing_id"]: (r["rd_expense"], r["sales"]) for r in filings.report_rd_sales(spark.createDataFrame(rows, "filing_id string, net_sales string, direct map<string,string>, other map<string,string>")).collect()}
+    assert got == {"a": (-7.0, 100.0), "b": (3.0, 50.0), "c": (None, None)}
+
+
+def test_scores_of_models_without_sales(spark):
+    from factorloom.operators import factor
+
+    rows = spark.createDataFrame([("x", 10.0, 0.0, 1e9), ("y", 5.0, 100.0, 1e9)], "security_id string, rd_expense double, sales_ttm double, median_traded_value_krw double")
+    kept = {(r["security_id"], r["model"]) for r in factor.for_their_models(factor.raw_metrics(rows)).collect()}
+    assert {m for s, m in kept if s == "x"} == set(factor.MODELS) - set(factor.NEED_SALES) and {m for s, m in kept if s == "y"} == set(factor.MODELS)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import weights as W
@@ -116,3 +117,11 @@ def test_sleeves(spark):
         mean = {s: sum(d.get(s, 0.0) for d in window) / len(window) for s in {s for d in window for s in d}}
         scale = sum(held[i].values()) / sum(mean.values())
         assert got[days[i]].keys() == mean.keys() and all(abs(got[days[i]][s] - x * scale) < 1e-12 for s, x in mean.items())
+
+
+@pytest.mark.parametrize("wrong", [{"max_holdings": 0}, {"max_single": 0.0}, {"max_single": 1.1}, {"tolerance": 1.0}, {"targets": {}}, {"targets": {"US": 0.5, "KR": 0.4}}, {"targets": {"US": 1.5, "KR": -0.5}}, {"te_cap": -1.0}, {"alpha": -0.1}, {"participation": 0.0}, {"portfolio_value": 0.0}, {"max_turnover": -0.1}])
+def test_parameters_out_of_range_are_refused(wrong):
+    usual = {"targets": {"US": 0.6, "KR": 0.4}, "max_holdings": 20, "max_single": 0.1}
+    W.check_parameters(**usual)
+    with pytest.raises(ValueError):
+        W.check_parameters(**{**usual, **wrong})
