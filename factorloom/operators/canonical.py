@@ -165,6 +165,13 @@ def index_symbols(spark: SparkSession, path: str, column: str, dots: bool = True
     return rows.select((F.translate(symbol, "-", ".") if dots else symbol).alias("symbol")).where("symbol <> ''").distinct()
 
 
+def prices_of(prices: DataFrame, wanted: DataFrame, key: str = "security_id") -> DataFrame:
+    """The prices of wanted securities only; where none is wanted, all prices stay."""
+    if wanted.isEmpty():
+        return prices
+    return prices.join(wanted.select(key).distinct(), key, "left_semi")
+
+
 def market_scope(specs: DataFrame, countries: list[str]) -> DataFrame:
     """specs of the countries in scope; raises if one of them has none."""
     kept = specs.where(F.upper("country").isin(countries))

@@ -46,6 +46,12 @@ def raw_metrics(rows: DataFrame, models: list[str] | None = None) -> DataFrame:
     return rows.where(rd.isNotNull()).select("*", F.inline(each)).where("raw is not null")
 
 
+def sector_weights(rows: DataFrame, keys: list[str], liquidity: str = "median_traded_value_krw") -> DataFrame:
+    """(keys, sector, weight): each sector's share of the liquidity of its group; a security counts with 1 at least."""
+    sums = rows.groupBy(*keys, "sector").agg(F.sum(F.greatest(liquidity, F.lit(1.0))).alias("_l"))
+    return sums.select(*keys, "sector", (F.col("_l") / F.sum("_l").over(Window.partitionBy(*keys))).alias("weight"))
+
+
 def for_their_models(rows: DataFrame) -> DataFrame:
     """rows of raw_metrics without those that their model can't use: models on sales need positive ones, the others only R&D."""
     return rows.where((F.coalesce("sales_ttm", F.lit(0.0)) > 0) | ~F.col("model").isin(*NEED_SALES))

@@ -132,11 +132,14 @@ def keyword_in_context(docs: DataFrame, keywords: list[str], around: int = 40, t
     each = docs.select(F.col(ident), F.col(text).alias("_t"), F.explode(F.array(*[F.lit(k) for k in keywords])).alias("keyword"))
     pattern = F.concat(F.lit("(?i)("), F.col("keyword"), F.lit(")"))
     found = each.withColumn("_m", F.regexp_extract_all("_t", pattern, F.lit(0))).where(F.size("_m") > 0).withColumn("_p", F.expr("split(_t, concat('(?i)(', keyword, ')'), -1)"))
-    placed = found.select(ident, "keyword", "_t", "_p", F.posexplode("_m").alias("occurrence", "_x"), "_m")
-    before = F.aggregate(F.slice("_p", 1, F.col("occurrence") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("_m", 1, F.col("occurrence")), F.lit(0), lambda a, x: a + F.length(x))
-    start = placed.withColumn("start", before)
-    left = F.greatest(F.lit(0), F.col("start") - around)
-    return start.select(ident, "keyword", "occurrence", "start", F.expr(f"substring(_t, greatest(0, start - {around}) + 1, start + length(_x) + {around} - greatest(0, start - {around}))").alias("snippet"))
+    # one fold over a text's matches gives all places; only places and snippets are exploded, not the text
+    pairs = F.arrays_zip(F.slice("_p", 1, F.size("_m")).alias("p"), F.col("_m").alias("m"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, n: int>>").alias("hits"))
+    step = lambda a, x: F.struct((a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"), F.array_append(a["hits"], F.struct((a["at"] + F.length(x["p"])).alias("start"), F.length(x["m"]).alias("n"))).alias("hits"))
+    left = lambda h: F.greatest(F.lit(0), h["start"] - around)
+    shown = lambda h: F.struct(h["start"].alias("start"), F.substring(F.col("_t"), left(h) + 1, h["start"] + h["n"] + around - left(h)).alias("snippet"))
+    hits = F.transform(F.aggregate(pairs, first, step, lambda a: a["hits"]), shown)
+    return found.select(ident, "keyword", F.posexplode(hits).alias("occurrence", "_h")).select(ident, "keyword", "occurrence", "_h.start", "_h.snippet")
 
 
 def plan_targets(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

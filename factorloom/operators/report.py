@@ -159,6 +159,11 @@ def require_pass(report: DataFrame) -> DataFrame:
     return report
 
 
+def walkforward_report(folds: DataFrame) -> DataFrame:
+    """Of each fold and market the active return over its benchmark and whether it beats it."""
+    return folds.select("fold_index", "market", (F.col("portfolio") - F.col("benchmark")).alias("active"), (F.col("portfolio") > F.col("benchmark")).alias("beats"))
+
+
 def quality_gate(required: list[str], report: DataFrame) -> DataFrame:
     """(output, exists, status, passes) of each required output. report: output and status."""
     spark = report.sparkSession

@@ -42,6 +42,11 @@ def month_end_membership(windows: DataFrame) -> DataFrame:
     return membership_asof(windows, span.where("a is not null").select(F.explode(month_ends(F.col("a"), F.col("b"))).alias("as_of_date")))
 
 
+def month_end_targets(span: DataFrame, schedule: DataFrame) -> DataFrame:
+    """The month ends of a span (a, b), one row, and the schedule's dates, together."""
+    return span.select(F.explode(month_ends(F.col("a"), F.col("b"))).alias("as_of_date")).union(schedule.select("as_of_date")).distinct()
+
+
 def overlaps(windows: DataFrame, keys: list[str]) -> DataFrame:
     """Windows that begin before the one ahead of them has ended. Neighbours are enough: if any two overlap, two neighbours do."""
     order = Window.partitionBy(*keys).orderBy("effective_from", F.coalesce("effective_to", F.lit(OPEN_END).cast("date")))

@@ -155,6 +155,16 @@ def turnover_step(target: DataFrame, previous: DataFrame, pf: list[str], limit:
     return both.withColumn("turnover", turnover).withColumn("blended", F.col("previous") + part * (F.col("target") - F.col("previous")))
 
 
+def merged_allocations(rows: DataFrame, portfolio: list[str]) -> DataFrame:
+    """(portfolio, as_of_date, security_id, weight): weights of one security and date added up."""
+    return rows.groupBy(*portfolio, "as_of_date", "security_id").agg(F.sum("weight").alias("weight"))
+
+
+def allocation_totals(merged: DataFrame, portfolio: list[str]) -> DataFrame:
+    """For each date the total, whether it is over 1, and how many weights are negative."""
+    return merged.groupBy(*portfolio, "as_of_date").agg(F.sum("weight").alias("total"), (F.sum("weight") > 1 + EPS).alias("is_over"), F.count_if(F.col("weight") < 0).alias("n_negative"))
+
+
 def sleeves(weights: DataFrame, dates: DataFrame, portfolio: list[str], k: int = 4) -> DataFrame:
     """(portfolio, as_of_date, security_id, weight): the mean of the last k dates' weights, scaled to the current sum. A date without holdings stays without, but counts as one of the k.
 

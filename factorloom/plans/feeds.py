@@ -336,10 +336,12 @@ S10 = "SELECT country AS ticker, price_date, max(close) AS close, round(sum(trad
 
 
 def st1_filing_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Listings as a stream: each id once as long as repeats come within the watermark of what has been read."""
+    """Listings as a stream of several files, one a batch: each id once, in whatever batch its repeats come."""
     e = V.table(spark, sf, "events")
     n = int(e.agg(F.max("event_id")).first()[0]) + 1
-    stream = spark.readStream.schema(e.schema).parquet(f"{sf}/event[s].parquet")
+    source = store.work_dir(spark, "listings")
+    e.repartition(4, F.col("event_id") % 7).write.parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
     docs = stream.select(F.concat(F.lit("D"), F.pmod(F.col("event_id"), F.lit(n * 9 // 10)).cast("string")).alias("docID"), F.col("ts").cast("timestamp").alias("submitDateTime"))
     return jobs.run_available(jobs.filing_stream(docs), "filings").select("docID")
 

@@ -72,21 +72,20 @@ def c28_core_universe(spark: SparkSession, sf: str) -> DataFrame:
 def j9_price_symbol_prune(spark: SparkSession, sf: str) -> DataFrame:
     """Prices of securities that filed early in the first year only."""
     filed = V.fundamentals(spark, sf).where("filing_date < date'1995-05-20'").select("security_id").distinct()
-    return V.prices(spark, sf).join(filed, "security_id", "left_semi").groupBy("security_id").agg(F.count("*").alias("n"))
+    return canonical.prices_of(V.prices(spark, sf), filed).groupBy("security_id").agg(F.count("*").alias("n"))
 
 
 def v2_month_end_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Month ends of the first years and the schedule, together."""
     span = V.days(spark, sf).groupBy().agg(F.min("d").alias("a"), F.add_months(F.min("d"), 24).alias("b"))
-    months = span.select(F.explode(temporal.month_ends(F.col("a"), F.col("b"))).alias("as_of_date"))
-    return months.union(V.schedule(spark, sf)).distinct()
+    return temporal.month_end_targets(span, V.schedule(spark, sf))
 
 
 def a22_allocation_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of one security and date added up, and dates whose weights are over 1."""
     w = reports.V.fundamentals(spark, sf)
-    sums = w.groupBy("country", F.col("period_end").alias("as_of_date"), "security_id").agg(F.sum(F.col("sales_ttm") / 1e8).alias("weight"))
-    return sums.groupBy("country", "as_of_date").agg(F.round(F.sum("weight"), 6).alias("total"), (F.sum("weight") > 1 + 1e-12).alias("is_over"), F.count_if(F.col("weight") < 0).alias("n_negative"))
+    sums = weights.merged_allocations(w.select("country", F.col("period_end").alias("as_of_date"), "security_id", (F.col("sales_ttm") / 1e8).alias("weight")), ["country"])
+    return weights.allocation_totals(sums, ["country"]).withColumn("total", F.round("total", 6))
 
 
 def h3_country_budgets(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +103,7 @@ H3 = """SELECT y AS as_of_date, country, n AS n_selected, round(a + greatest(0,
 
 
 def r2_walkforward_report(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.v6_fold_metrics(spark, sf).select("fold_index", "market", F.round(F.col("portfolio") - F.col("benchmark"), 5).alias("active"), (F.col("portfolio") > F.col("benchmark")).alias("beats"))
+    return report.walkforward_report(reports.v6_fold_metrics(spark, sf)).withColumn("active", F.round("active", 5))
 
 
 def q3_missing_anchors(spark: SparkSession, sf: str) -> DataFrame:

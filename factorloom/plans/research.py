@@ -137,8 +137,7 @@ def w4_w7_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def a5_sector_weights(spark: SparkSession, sf: str) -> DataFrame:
     rows = pit.accepted(assembled(spark, sf)).join(V.securities(spark, sf).select("security_id", "sector"), "security_id")
-    s = rows.groupBy("as_of_date", "country", "sector").agg(F.sum(F.greatest("median_traded_value_krw", F.lit(1.0))).alias("l"))
-    return s.select("as_of_date", "country", "sector", F.round(F.col("l") / F.sum("l").over(Window.partitionBy("as_of_date", "country")), 6).alias("weight"))
+    return factor.sector_weights(rows, ["as_of_date", "country"]).withColumn("weight", F.round("weight", 6))
 
 
 def g5_proportional_quotas(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql.types import StructType
 from ..sources.store import work_dir
 
 
-def filing_stream(listings: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Listings (docID, submitDateTime, ...) with repeats of a docID dropped as long as they come within the delay."""
+def filing_stream(listings: DataFrame, delay: str | None = None) -> DataFrame:
+    """Listings (docID, submitDateTime, ...) with each docID once, whenever repeats come; the ids seen are the state. With a delay only repeats within it are dropped, and ids that are older leave the state."""
+    if delay is None:
+        return listings.dropDuplicates(["docID"])
     return listings.withWatermark("submitDateTime", delay).dropDuplicatesWithinWatermark(["docID"])
 
 

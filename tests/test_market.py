@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,21 @@ def test_scores_of_models_without_sales(spark):
     rows = spark.createDataFrame([("x", 10.0, 0.0, 1e9), ("y", 5.0, 100.0, 1e9)], "security_id string, rd_expense double, sales_ttm double, median_traded_value_krw double")
     kept = {(r["security_id"], r["model"]) for r in factor.for_their_models(factor.raw_metrics(rows)).collect()}
     assert {m for s, m in kept if s == "x"} == set(factor.MODELS) - set(factor.NEED_SALES) and {m for s, m in kept if s == "y"} == set(factor.MODELS)
+
+
+def test_prices_are_pruned_unless_nothing_is_wanted(spark):
+    from factorloom.operators import canonical
+
+    prices = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "security_id string, close double")
+    wanted = spark.createDataFrame([("a",), ("a",)], "security_id string")
+    assert [r["security_id"] for r in canonical.prices_of(prices, wanted).collect()] == ["a"]
+    assert canonical.prices_of(prices, wanted.limit(0)).count() == 2
+
+
+def test_keywords_that_repeat_keep_their_places(spark):
+    from factorloom.operators import filings
+
+    text = "ab AB xx aab" + "y" * 50 + "ab"
+    got = filings.keyword_in_context(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string"), ["ab", "x+"], 3).collect()
+    want = [(k, m.start(), text[max(0, m.start() - 3) : m.end() + 3]) for k in ("ab", "x+") for m in re.finditer(k, text, re.I)]
+    assert sorted((r["keyword"], r["start"], r["snippet"]) for r in got) == sorted(want) and {r["doc_id"] for r in got} == {1}
