@@ -36,7 +36,7 @@ def maximal(turns: DataFrame) -> DataFrame:
 def render(turns: DataFrame, head: str = "<|", after_role: str = "|>\n", tail: str = "<|end|>\n") -> DataFrame:
     """(conv_id, n_turns, copies, chat) of the maximal conversations.
 
-    Turns are in order of turn, then role, then text; repeated turns count. A null role or text shows as nothing but differs from an empty one in comparisons. Rows without a conv_id belong to no conversation."""
+    Turns are in order of turn, then role, then text; repeated turns count. A null role or text shows as nothing but differs from an empty one in comparisons. Rows without a conv_id belong to no conversation. Turns of any length are rendered whole; a conversation is one row, so its turns meet in one task."""
     rows = _placed(turns).join(maximal(turns), "conv_id")
     said = F.concat(F.lit(head), F.coalesce("role", F.lit("")), F.lit(after_role), F.coalesce("text", F.lit("")), F.lit(tail))
     grouped = rows.groupBy("conv_id").agg(F.first("n").cast("long").alias("n_turns"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("all"))
@@ -44,6 +44,7 @@ def render(turns: DataFrame, head: str = "<|", after_role: str = "|>\n", tail: s
 
 
 def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations of the table, rendered; see ``render`` for nulls, ties, repeats and long ones. Other columns are not read; an empty table gives an empty one."""
     return render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 

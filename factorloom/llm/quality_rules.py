@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import documents
+from .scratch import documents, written
 from .slices import sliced
 
 #: What is measured of a text, in this order.
@@ -34,6 +34,7 @@ RULES = [
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_words"]
+#: Versions of policies; a version is never changed, a new one is added.
 POLICIES = {"base": BASE, "v1": sum(BIT.values())}
 
 
@@ -96,7 +97,12 @@ def ablations(book: DataFrame, policy: str | int = "v1") -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(documents(spark, sf_dir))
+    """The measurements of every row of documents and what the policies say of it.
+
+    Null texts measure as empty ones, which fail the rules on words; long texts are measured whole. Repeated rows and null
+    ids are rows of their own, other columns are not read, an empty table gives an empty one. The ledger is a table, so
+    that further policies and ablations read no text."""
+    book = written(ledger(documents(spark, sf_dir)), "ledger")
     return book.select(
         "doc_id", *MEASURES[:5], (F.col("failed").bitwiseAND(F.lit(BASE).cast("long")) != 0).alias("base_failed"), passes("v1").alias("kept"), F.col("failed").alias("failed_bits")
     )

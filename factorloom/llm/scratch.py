@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,13 +26,36 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: str | None = None
+#: Folders that written() has made and that are still there.
+_MADE: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/factorloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. It stays until ``cleared`` removes it."""
+    base = f"{scratch_dir(df.sparkSession)}/factorloom-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{name}")
+    _MADE.append(base)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/{name}")
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[set[str]]:
+    """Removes the tables that are written inside but for those of which the folder is put into the set: for steps whose result has been written."""
+    kept: set[str] = set()
+    first = len(_MADE)
+    try:
+        yield kept
+    finally:
+        for base in _MADE[first:]:
+            if base not in kept:
+                path = spark._jvm.org.apache.hadoop.fs.Path(base)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE[first:] = [base for base in _MADE[first:] if base in kept]
+
+
+def last_written() -> str:
+    """The folder of the table that was written last."""
+    return _MADE[-1]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,11 @@ def test_maximal_conversations(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert maximal(df).count() == 0 and render(df).count() == 0
+
+
+def test_long_conversations_and_turns(spark):
+    long = [(1, i, "user" if i % 2 else "bot", f"turn {i} " + "x" * (500_000 if i == 3 else 5)) for i in range(3000)]
+    rows = [*long, *[(2, *r[1:]) for r in long[:2500]], *[(3, *r[1:]) for r in long]]
+    got = render(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert [(r["conv_id"], r["n_turns"], r["copies"]) for r in got] == [(1, 3000, 2)]
+    assert got[0]["chat"] == "".join(f"<|{r}|>\n{t}<|end|>\n" for _, _, r, t in long)

@@ -46,3 +46,17 @@ def test_odd_rows(spark, odd, none):
             df = stage(spark, df, SF)
             assert df.columns == odd.columns
         assert corpus_pipeline.encoded(spark, df, SF).count() == df.count()
+
+
+def test_what_a_step_writes_for_itself_goes(spark):
+    from factorloom.llm import scratch
+
+    before = list(scratch._MADE)
+    with scratch.cleared(spark) as kept:
+        scratch.written(spark.range(3), "own")
+        gone = scratch.last_written()
+        table = scratch.written(spark.range(5), "result")
+        kept.add(scratch.last_written())
+    assert table.count() == 5 and len(scratch._MADE) == len(before) + 1
+    path = spark._jvm.org.apache.hadoop.fs.Path(gone)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
