@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import exact_dedup, language_id, mixing, piece_tokens, simhash
-from factorloom.llm.scratch import documents, written
+from factorloom.llm.scratch import cleared, documents, last_written, written
 
 #: Shares of the tokens to read. The tokens of the good domain set the total, so that it is read whole.
 TARGETS = {"high": 0.95, "low": 0.05, "toxic": 0.0}
@@ -47,9 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage has written for itself goes once its result is a table."""
     docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with cleared(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+            kept.add(last_written())
+    return STAGES[-1][1](spark, docs, sf_dir)
