@@ -48,11 +48,21 @@ def cleared(spark: SparkSession) -> Iterator[set[str]]:
     finally:
         for base in _MADE[first:]:
             if base not in kept:
-                path = spark._jvm.org.apache.hadoop.fs.Path(base)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(spark, base)
         _MADE[first:] = [base for base in _MADE[first:] if base in kept]
 
 
+def _delete(spark: SparkSession, base: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(spark: SparkSession, base: str) -> None:
+    """Removes one folder that written() has made, once nothing reads it any more."""
+    _MADE.remove(base)
+    _delete(spark, base)
+
+
 def last_written() -> str:
     """The folder of the table that was written last."""
     return _MADE[-1]
