@@ -7,6 +7,10 @@ A run of rows too long for a task leaves it in blocks, and the pairs of its bloc
 
 Two kinds of keys: 64 bits in six blocks, of which any two within 3 bits share three, so the keys of every three blocks
 lose no link; and, for similarities too low for that, bands of minima of the shingles' hashes with a fingerprint of 256 bits.
+
+With bands the fingerprints only choose what the texts confirm. First the nearest links that would join all candidates of
+a key are confirmed, which makes one of a group of copies however large; then all candidates whose ends are still apart,
+a bounded number for each row and round, until none is left that has not been confirmed or refused.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ SEED, BITS, WIDTH, RADIUS, BLOCKS, TILE = 42, 64, 3, 3, 6, 64
 #: Rows of a key that are compared in one task; longer runs are dealt out by pairs of blocks of so many rows.
 LONGEST = 1 << 14
 #: Near copies on shingles of five words: words of a fingerprint, bits that may differ, bands and minima in a band.
-#: A Jaccard similarity of 0.8 is a cosine of 8/9 and 39 of 256 bits on average, with a deviation of 6.
-NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS, BANDS, MINIMA, SIMILAR = 5, 4, 48, 20, 4, 0.8
+#: Distinct shingles with a Jaccard similarity of 0.8 or more have a cosine of 8/9 or more: 39 of 256 bits on average with a
+#: deviation of 6, and 48 if there are few shingles. Links within the first radius go first; none beyond the second, five
+#: deviations or more off, is looked at.
+NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS, FAR_RADIUS, BANDS, MINIMA, SIMILAR = 5, 4, 48, 80, 20, 4, 0.8
+#: Candidates of a row that are confirmed in the first round; each round has so many times more.
+NEAREST = 16
 
 
 def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -70,8 +78,8 @@ _FACTORS = _mixed(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64)) | np.uint64
 
 
 def wide_fingerprint(text: bytes | None, width: int = NEAR_WIDTH) -> list[int]:
-    """NEAR_WORDS words of 64 bits, from as many hashes of each shingle."""
-    return _wide(shingle_hashes(text, width))
+    """NEAR_WORDS words of 64 bits, from as many hashes of each distinct shingle."""
+    return _wide(np.unique(shingle_hashes(text, width)))
 
 
 def _wide(h: np.ndarray) -> list[int]:
@@ -97,14 +105,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 1):
-        words, keys = np.empty((NEAR_WORDS, batch.num_rows), np.uint64), []
+        words, keys, n = np.empty((NEAR_WORDS, batch.num_rows), np.uint64), [], np.empty(batch.num_rows, np.int64)
         for i, text in enumerate(batch.column(1).to_pylist()):
-            h = shingle_hashes(text, NEAR_WIDTH)
-            words[:, i] = _wide(h)
+            h = np.unique(shingle_hashes(text, NEAR_WIDTH))
+            words[:, i], n[i] = _wide(h), len(h)
             keys.append(_bands(h))
         ends = pa.array(np.arange(0, len(keys) * BANDS + 1, BANDS, dtype=np.int32))
         bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in words], bands], ["id", *_words(NEAR_WORDS), "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in words], bands, pa.array(n)], ["id", *_words(NEAR_WORDS), "bands", "n"])
 
 
 def _words(n: int) -> list[str]:
@@ -244,26 +252,29 @@ def _compare(words: int, radius: int, tile: int, longest: int):
     return task
 
 
-def _compare_pairs(words: int, radius: int, tile: int):
-    """For mapInArrow over rows in order of (c, m, t1, t2): links of each pair of blocks."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            edges = bounds(held)
-            yield from drain(held, edges[:-1])
-            held = held.slice(edges[-2])
-        if held is not None:
-            yield from drain(held, bounds(held))
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of names, by which they are sorted."""
+    held: pa.RecordBatch | None = None
 
     def bounds(rows: pa.RecordBatch) -> np.ndarray:
-        key = np.stack([rows.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("c", "m", "t1", "t2")])
+        key = np.stack([rows.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names])
         return np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])
 
-    def drain(rows: pa.RecordBatch, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s, e in zip(edges, edges[1:]):
-            part = rows.slice(s, e - s)
+    for batch in batches:
+        held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        edges = bounds(held)
+        for a, b in zip(edges[:-2], edges[1:-1]):
+            yield held.slice(a, b - a)
+        held = held.slice(edges[-2])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _compare_pairs(words: int, radius: int, tile: int):
+    """For mapInArrow over rows in order of (c, m, t1, t2): links of each pair of blocks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, ["c", "m", "t1", "t2"]):
             order = np.argsort(part.column("pop").to_numpy(zero_copy_only=False), kind="stable")
             pop, first, node, *fp = (part.column(x).to_numpy(zero_copy_only=False)[order] for x in ("pop", "first", "a", *_words(words)))
             same = part.column("t1")[0].as_py() == part.column("t2")[0].as_py()
@@ -339,22 +350,153 @@ def similar_links(links: DataFrame, slim: DataFrame, width: int = NEAR_WIDTH, le
     return pairs.select("a", "b", "x", "y").mapInArrow(_similar(width, least), "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS, least: float = SIMILAR, **options) -> DataFrame:
+def apart_pairs(label: np.ndarray, pop: np.ndarray, n: np.ndarray, words: np.ndarray, radius: int, least: float, tile: int, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits that differ) of rows with different labels, and different sides if given, within the radius, whose sets of n elements may have a similarity of least.
+
+    Pairs of tiles are skipped if their population counts or sizes are too far apart or all their rows have one label."""
+    order = np.lexsort((pop, label)) if len(np.unique(label)) < len(label) else np.argsort(pop, kind="stable")
+    m = -(-len(order) // tile)
+    padded = np.concatenate([order, np.full(m * tile - len(order), order[-1])]).reshape(m, tile)
+    real = (np.arange(m * tile) < len(order)).reshape(m, tile)
+    bits, labels, sizes = [w[padded] for w in words], label[padded], n[padded]
+    sides = None if side is None else side[padded]
+    low, high = ({k: f(x[padded], axis=1) for k, x in (("label", label), ("pop", pop), ("n", n))} for f in (np.min, np.max))
+    upper = np.triu(np.ones((tile, tile), bool), 1)
+    for lag in range(m):
+        s = np.arange(m - lag)
+        t = s + lag
+        one = (low["label"][s] == high["label"][t]) & (high["label"][s] == low["label"][t])
+        far_off = (low["pop"][t] - high["pop"][s] > radius) | (low["pop"][s] - high["pop"][t] > radius)
+        sized = (high["n"][s] >= least * low["n"][t]) & (high["n"][t] >= least * low["n"][s])
+        s = s[~one & ~far_off & sized]
+        for k in range(0, len(s), 64):
+            x, y = s[k : k + 64], s[k : k + 64] + lag
+            far = np.zeros((len(x), tile, tile), np.uint16)
+            for b in bits:
+                far += np.bitwise_count(b[x][:, :, None] ^ b[y][:, None, :])
+            near = (far <= radius) & (labels[x][:, :, None] != labels[y][:, None, :]) & real[x][:, :, None] & real[y][:, None, :]
+            near &= (sizes[x][:, :, None] >= least * sizes[y][:, None, :]) & (sizes[y][:, None, :] >= least * sizes[x][:, :, None])
+            if sides is not None:
+                near &= sides[x][:, :, None] != sides[y][:, None, :]
+            if not lag:
+                near &= upper
+            p, i, j = np.nonzero(near)
+            yield padded[x[p], i], padded[y[p], j], far[p, i, j]
+
+
+def _first_of(k: int, owner: np.ndarray, other: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest others of each owner, and the place of each among them."""
+    order = np.lexsort((other, far, owner))
+    owner, other, far = owner[order], other[order], far[order]
+    new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+    place = np.arange(len(owner)) - np.repeat(new, np.diff(np.r_[new, len(owner)]))
+    kept = place < k
+    return owner[kept], other[kept], far[kept], place[kept]
+
+
+_CANDIDATES = "a long, b long, more boolean"
+
+
+def _candidates(words: int, radius: int, least: float, tile: int, k: int | None):
+    """For mapInArrow over rows in order of (c, m, t1, t2): candidates (a, b) with different labels.
+
+    Without k, those of a forest that joins all of them. Else of each row the k nearest, counted at the row whose
+    component is the smaller one; more says that a has others."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["c", "m", "t1", "t2"]):
+            node, label, weight, pop, n, first, *fp = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("node", "label", "weight", "pop", "n", "first", *_words(words)))
+            same = rows.column("t1")[0].as_py() == rows.column("t2")[0].as_py()
+            none = np.empty(0, np.int64)
+            found, held = [(none, none, np.empty(0, np.uint16))], 0
+
+            def fewer() -> tuple[np.ndarray, ...]:
+                i, j, far = (np.concatenate(x) for x in zip(*found))
+                return _forest(len(node), i, j, far) if k is None else _first_of(k + 1, i, j, far)[:3]
+
+            for i, j, far in apart_pairs(label, pop, n, np.array(fp).view(np.uint64), radius, least, tile, None if same else first):
+                if k is not None:
+                    swap = (weight[j] < weight[i]) | ((weight[j] == weight[i]) & (label[j] < label[i]))
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found.append((i, j, far))
+                held += len(i)
+                if held > max(4 * len(node), 1 << 18):
+                    found = [fewer()]
+                    held = len(found[0][0]) // 2
+            a, b, far = fewer()
+            more = np.zeros(len(a), bool)
+            if k is not None:
+                full = np.unique(_first_of(k + 1, a, b, far)[0][_first_of(k + 1, a, b, far)[3] == k])
+                a, b, far, _ = _first_of(k, a, b, far)
+                more = np.isin(a, full)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(more)], ["a", "b", "more"])
+
+    return task
+
+
+def candidates(placed: DataFrame, labels: DataFrame, words: int, radius: int, least: float, k: int | None, tile: int = TILE, longest: int = LONGEST) -> DataFrame:
+    """placed: c and m (the key, that several rows share), node, n, pop and words. labels: node, label and weight (the rows of a component); nodes without are their own.
+
+    (a, b, more) with different labels. A key with over longest rows is salted before it is dealt out: its rows go to
+    blocks by a hash, and each pair of blocks is a task of its own."""
+    rows = placed.join(labels, "node", "left").withColumns({"label": F.coalesce("label", "node"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+    mixed = rows.groupBy("c", "m").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / F.lit(longest)).cast("int").alias("blocks")).where("x < y")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.join(mixed.select("c", "m", "blocks"), ["c", "m"]).withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("c", "m", F.least("own", "to").alias("t1"), F.greatest("own", "to").alias("t2"), (F.col("own") <= F.col("to")).alias("first"), "node", "label", "weight", "pop", "n", *_words(words))
+    dealt = dealt.repartition("c", "m", "t1", "t2").sortWithinPartitions("c", "m", "t1", "t2")
+    return dealt.mapInArrow(_candidates(words, radius, least, tile, k), _CANDIDATES)
+
+
+def _labelled(links: DataFrame) -> DataFrame:
+    """(node, label, weight) of the components of links."""
+    labels = written(components(links), "labels")
+    return written(labels.join(labels.groupBy("label").agg(F.count("*").alias("weight")), "label").select("node", "label", "weight"), "weighed")
+
+
+def joined_by_texts(placed: DataFrame, slim: DataFrame, words: int, radii: tuple[int, int] = (NEAR_RADIUS, FAR_RADIUS), least: float = SIMILAR, nearest: int = NEAREST, **options) -> DataFrame:
+    """(node, label, weight): the components of all links between nodes that share a key and lie within the second radius, and whose texts have a similarity of least or more.
+
+    Links of a forest within the first radius go first. Then come rounds over the candidates whose ends are apart: of
+    each row the nearest that were neither confirmed nor refused before, times more each round, until no row has others."""
+    spark = placed.sparkSession
+    none = spark.createDataFrame([], "node long, label long, weight long")
+    links = written(similar_links(candidates(placed, none, words, radii[0], least, None, **options).select("a", "b"), slim, least=least), "similar")
+    refused, k, live = spark.createDataFrame([], "a long, b long"), nearest, placed
+    while True:
+        labels = _labelled(links)
+        found = written(candidates(live, labels, words, radii[1], least, k, **options), "apart")
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs.join(refused, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            good = written(similar_links(pairs, slim, least=least), "similar")
+            refused = written(refused.union(pairs.join(good, ["a", "b"], "left_anti")), "refused")
+            links = written(links.union(good), "links")
+        full = found.where("more").select(F.col("a").alias("node")).distinct()
+        if full.isEmpty():
+            return labels if pairs.isEmpty() else _labelled(links)
+        live = written(placed.join(placed.join(full, "node", "left_semi").select("c", "m").distinct(), ["c", "m"], "left_semi"), "live")
+        k *= max(2, nearest)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, **options) -> DataFrame:
     """(id, component_id): the smallest id of each group of near copies (five-word shingles, Jaccard similarity of least or more) for each other id in it.
 
-    Texts that share the minima of a band (of 20 they miss all at a similarity of 0.8 once in 30,000 times) are compared
-    by their fingerprints of 256 bits, and what links the nearest of them is confirmed by the texts' similarity. Null
-    ids are in no group; rows of an id are one; texts without words are one group; an empty table has no groups."""
+    Texts that share the minima of a band (of 20 they miss all at a similarity of 0.8 once in 30,000 times) are joined if
+    their similarity is confirmed; see ``joined_by_texts``. Null ids are in no group; rows of an id are one; texts
+    without words are one group; an empty table has no groups."""
     names = _words(NEAR_WORDS)
-    schema = f"id long, {', '.join(f'{w} long' for w in names)}, bands array<long>"
+    schema = f"id long, {', '.join(f'{w} long' for w in names)}, bands array<long>, n long"
     slim = _slim(docs, id_col, text_col).where("id is not null")
     each = written(slim.mapInArrow(_wide_fingerprints, schema), "wide")
     # equal fingerprints are one node; they meet by a key of their own if their bands differ
-    nodes = written(each.groupBy(*names, "bands").agg(F.min("id").alias("node")), "nodes")
-    keys = F.posexplode(F.array_append("bands", F.xxhash64(*names)))
+    nodes = written(each.groupBy(*names, "bands").agg(F.min("id").alias("node"), F.min_by("n", "id").alias("n")), "nodes")
+    keys = nodes.select("node", F.posexplode(F.array_append("bands", F.xxhash64(*names))).alias("c", "m"))
+    shared = written(keys.groupBy("c", "m").agg(F.count("*").alias("k")).where("k > 1").select("c", "m"), "shared")
     pop = sum((F.bit_count(w) for w in names[1:]), F.bit_count(names[0])).cast("int")
-    links = dealt_links(nodes.select("node", *names, pop.alias("pop"), keys.alias("c", "m")), NEAR_WORDS, radius, **options)
-    labels = written(components(similar_links(links, slim, least=least)), "labels")
+    placed = written(keys.join(shared, ["c", "m"]).join(nodes.select("node", *names, pop.alias("pop"), "n"), "node"), "placed")
+    labels = joined_by_texts(placed, slim, NEAR_WORDS, least=least, **options).select("node", "label")
     members = each.join(nodes, [*names, "bands"]).select("id", "node")
     copies = members.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("component_id"))
     return copies.where("id <> component_id").groupBy("id").agg(F.min("component_id").alias("component_id"))

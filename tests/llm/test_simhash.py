@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -144,3 +146,27 @@ def test_odd_rows(odd, none):
     left, groups = {r["doc_id"] for r in kept.collect()}, slow_groups([(i, t) for i, t in texts.items() if i is not None])
     assert left - {8} == {None} | {i for i, g in groups.items() if i == g} - {8}
     assert near_dedup(none).count() == 0 and keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("seed,options", [(5, {}), (6, {"longest": 20, "tile": 4, "nearest": 1})])
+def test_no_link_of_near_copies_is_lost(spark, seed, options):
+    """60 groups of 8 texts of 150 words, up to 6 of which are other words: similarities on both sides of 0.8."""
+    r, rows = random.Random(seed), []
+    words = [f"w{i}" for i in range(5000)]
+    for _ in range(60):
+        base = [r.choice(words) for _ in range(150)]
+        for _ in range(8):
+            text = list(base)
+            for k in r.sample(range(150), r.randint(0, 6)):
+                text[k] = r.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    want = slow_groups(rows)
+    got = {x["id"]: x["component_id"] for x in near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **options).collect()}
+    assert got == {i: g for i, g in want.items() if i != g}
+
+
+def test_repeats_of_a_shingle_do_not_part_copies(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(0, base + " again and again and again" * 200), (1, base + " again and again and again" * 3), (2, base)]
+    got = {x["id"]: x["component_id"] for x in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: g for i, g in slow_groups(rows).items() if i != g} == {1: 0, 2: 0}
