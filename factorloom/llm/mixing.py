@@ -12,6 +12,7 @@ within their bounds. The driver sees a few sums a pass; nothing is written.
 
 from __future__ import annotations
 
+import logging
 import math
 from functools import reduce
 
@@ -27,6 +28,7 @@ MAX_LABELLED, BUCKETS = 20_000, 1 << 18
 PRIOR_DOCUMENTS = 1.0
 #: Weight of the ridge that decides between rates that meet the targets alike, and the gradient at which steps end.
 RIDGE, TOLERANCE = 1e-8, 1e-10
+_LOG = logging.getLogger(__name__)
 DOMAINS = ["high", "low", "toxic"]
 TARGETS = {"high": 0.85, "low": 0.14, "toxic": 0.01}
 
@@ -91,11 +93,13 @@ def _rate(drift: Column, max_rate: float | None) -> Column:
     return raised if max_rate is None else F.least(F.lit(float(max_rate)), raised)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, max_rate: float | None = None, ridge: float = RIDGE, tolerance: float = TOLERANCE) -> DataFrame:
+def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, max_rate: float | None = None, ridge: float = RIDGE, tolerance: float = TOLERANCE, missed: dict[str, float] | None = None) -> DataFrame:
     """members with ``rate``. targets: shares of the tokens to be read, scaled to sum 1; total: how many, as many as there are unless given.
 
     Minimises 1/2 sum_k (S_k / T - target_k)^2 + ridge/2 sum_d (t_d / T) (rate_d - 1)^2 over 0 <= rate_d (<= max_rate), where S_k = sum_d t_d p_dk rate_d.
-    Steps go on until no part of the gradient exceeds the tolerance, or the objective can't be told to fall any more.
+    Steps go on until no part of the gradient exceeds the tolerance, or the objective can't be told to fall any more: it is
+    convex and falls with every step, so steps end. What each domain gets beyond its target, as a share of the tokens to be
+    read, goes to missed; where the targets are out of reach (by more than a thousandth) a warning says so.
     Documents without tokens have rate 1; where there are no tokens at all, all have."""
     domains = list(targets)
     p, weight = [F.col(f"p_{k}") for k in domains], F.col("n_tokens").cast("double")
@@ -141,6 +145,11 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
             shorter += 8
         else:
             break
+    left = {k: float(x) for k, x in zip(domains, (slope - ridge * said) / max(goal.sum(), 1e-300))}
+    if missed is not None:
+        missed.update(left)
+    if max(map(abs, left.values())) > 1e-3:
+        _LOG.warning("targets out of reach; beyond them, as shares of the tokens to be read: %s", {k: round(x, 4) for k, x in left.items()})
     return members.withColumn("rate", F.when(F.col("n_tokens") > 0, _rate(drift(said), max_rate)).otherwise(1.0))
 
 

@@ -42,8 +42,10 @@ def test_targets_out_of_reach_come_as_near_as_they_can(spark):
     rows, t, p, df = members(spark)
     goal = np.array([1.0, 0.0, 0.0])
     for top in (None, 1.0):
-        got = np.array([r["rate"] for r in M.fit_rates(df, dict(zip(M.DOMAINS, goal)), max_rate=top).orderBy("doc_id").collect()])
+        missed = {}
+        got = np.array([r["rate"] for r in M.fit_rates(df, dict(zip(M.DOMAINS, goal)), max_rate=top, missed=missed).orderBy("doc_id").collect()])
         miss = (t * got) @ p / t.sum() - goal
+        assert np.allclose([missed[k] for k in M.DOMAINS], miss, atol=1e-6) and max(map(abs, missed.values())) > 1e-3
         slope = p @ miss  # of each rate: none can move to lower the squares
         free = (got > 1e-9) & (got < (top or np.inf) - 1e-9) & (t > 0)
         assert np.abs(slope[free]).max(initial=0) < 1e-5 and slope[(got <= 1e-9) & (t > 0)].min(initial=0) > -1e-5
@@ -51,9 +53,9 @@ def test_targets_out_of_reach_come_as_near_as_they_can(spark):
             assert slope[(got >= top - 1e-9) & (t > 0)].max(initial=0) < 1e-5
 
 
-def slow_posteriors(spark, sf):
+def slow_posteriors(spark, sf, docs=None):
     """Words, weights and sums in plain loops; buckets are only there to keep the table small."""
-    rows = [(r["doc_id"], re.sub("[ \t\n\v\f\r]+", " ", r["text"] or "").strip(" ")) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows = [(r["doc_id"], re.sub("[ \t\n\v\f\r]+", " ", r["text"] or "").strip(" ")) for r in (docs or spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "text").collect()]
     known = {}
     for r in M.table_labels(spark, sf).where("domain is not null and doc_id is not null").collect():
         known[r["doc_id"]] = min(r["domain"], known.get(r["doc_id"], r["domain"]))

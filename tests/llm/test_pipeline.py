@@ -1,10 +1,17 @@
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import sentencepiece
+
 import corpus_pipeline
 from factorloom.llm import language_id, mixing, piece_tokens
-from factorloom.llm.exact_dedup import exact_dedup
 from factorloom.llm.scratch import documents
-from factorloom.llm.simhash import near_copies
+
+from .test_mixing import slow_posteriors
+from .test_simhash import slow_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,17 +34,36 @@ def test_stages_and_run(spark):
                 last[rows[d]["text"]] = d
             assert now == set(last.values()) and len(set(texts)) == len(texts)
         if i == 2:
-            before = docs.where(docs["doc_id"].isin(sorted(was)))
-            groups = {r["id"]: r["component_id"] for r in near_copies(before).collect()}
-            assert now == was - groups.keys() and set(groups.values()) <= now
-    mixed = corpus_pipeline.mixed(spark, kept, SF).cache()
-    assert mixed.columns == columns and {r["doc_id"] for r in mixed.collect()} <= now
-    labels = {r["doc_id"]: r["domain"] for r in mixing.table_labels(spark, SF).collect()}
-    left = {r["doc_id"] for r in mixed.collect()}
-    share = lambda kind: sum(d in left for d in now if labels.get(d) == kind) / max(1, sum(labels.get(d) == kind for d in now))
-    assert share("high") > 0.95 and share("toxic") < 0.5
-    want = {tuple(r) for r in piece_tokens.round_trip(mixed, piece_tokens.public_model()).collect()}
-    assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == want and len(corpus_pipeline.STAGES) == 5
+            groups = slow_groups([(d, rows[d]["text"]) for d in was])
+            assert now == {d for d in was if groups[d] == d} and now < was
+    left = {r["doc_id"] for r in corpus_pipeline.mixed(spark, kept, SF).collect()}
+    rates, drawn = slow_rates(spark, kept)
+    sure = {d for d in now if abs((rates[d] + drawn[d]) % 1 - 0.5) < 0.5 - 1e-5}
+    assert left & sure == {d for d in sure if math.floor(rates[d] + drawn[d])} and len(now - sure) < 3
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_tokens.public_model())
+    want = set()
+    for d in left:
+        ids = library.encode(rows[d]["text"])
+        want.add((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len(corpus_pipeline.STAGES) == 5
+
+
+def slow_rates(spark, kept):
+    """({doc_id: rate}, {doc_id: what decides on the rest of a rate}): posteriors of plain loops, and projected gradient steps over all documents."""
+    told, targets = slow_posteriors(spark, SF, kept), corpus_pipeline.TARGETS
+    ids = sorted(told)
+    t = np.array([told[d][0] for d in ids], float)
+    p = np.array([told[d][1] for d in ids])
+    total = t @ p[:, 0] / targets["high"]
+    goal, rate = np.array([targets[k] for k in mixing.DOMAINS]) * total / t.sum(), np.ones(len(ids))
+    share = t / t.sum()
+    pull = 1 / max(np.linalg.eigvalsh((p * share[:, None]).T @ p).max(), 1e-9)
+    for _ in range(60000):  # steps are scaled by each one's tokens, which changes the path, not the minimum
+        slope = p @ ((share * rate) @ p - goal) + 1e-3 * (rate - 1)
+        rate = np.clip(rate - 0.9 * pull * slope, 0, 1)
+    drawn = kept.selectExpr("doc_id", "pmod(xxhash64(doc_id, text), 4294967296) / 4294967296D AS x").collect()
+    return {d: x if n else 1.0 for d, x, n in zip(ids, rate, t)}, {r["doc_id"]: r["x"] for r in drawn}
 
 
 def test_odd_rows(spark, odd, none):
