@@ -135,8 +135,11 @@ def allocate(selected: DataFrame, budgets: DataFrame, pf: list[str], alpha: floa
     return r.withColumn("row_flags", F.array_compact(F.array(*flags))).drop("_s", "_share", "_z", "_raw", "_l2", "_pull", "_near")
 
 
-def diagnostics(weighted: DataFrame, budgets: DataFrame, pf: list[str]) -> DataFrame:
-    """For each portfolio and date: n_holdings, invested, cash and the sorted distinct reasons, joined by |."""
+def diagnostics(weighted: DataFrame, budgets: DataFrame, pf: list[str], chain: DataFrame | None = None) -> DataFrame:
+    """For each portfolio and date: n_holdings, invested, cash and the sorted distinct reasons, joined by |. With the chain its constructed weights are what is held, and TURNOVER_CAP_BIND is among the reasons."""
+    if chain is not None:
+        own = chain.where("constructed > 0").select(*pf, "security_id", F.col("constructed").alias("weight"), F.when(F.col("binds"), F.array(F.lit("TURNOVER_CAP_BIND"))).otherwise(F.array().cast("array<string>")).alias("row_flags"))
+        weighted = own.unionByName(weighted.select(*pf, "security_id", F.lit(0.0).alias("weight"), "row_flags"))
     held = weighted.groupBy(*pf).agg(F.count_if(F.col("weight") > 0).alias("n_holdings"), F.sum("weight").alias("invested"), F.array_distinct(F.flatten(F.collect_set("row_flags"))).alias("_r"))
     flags = budgets.groupBy(*pf).agg(F.array_distinct(F.flatten(F.collect_set("flags"))).alias("_f"))
     d = flags.join(held, pf, "left").withColumns({"n_holdings": F.coalesce("n_holdings", F.lit(0)), "invested": F.coalesce("invested", F.lit(0.0))})
@@ -145,6 +148,14 @@ def diagnostics(weighted: DataFrame, budgets: DataFrame, pf: list[str]) -> DataF
     return d.select(*pf, "n_holdings", "invested", F.when(cash < EPS, 0.0).otherwise(cash).alias("cash"), F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce("_r", none), "_f"))), "|").alias("reasons"))
 
 
+def country_diagnostics(weighted: DataFrame, budgets: DataFrame, available: DataFrame, pf: list[str]) -> DataFrame:
+    """For each portfolio, date and target country: requested, n_available (of the table available: pf, country, n_available), n_selected, n_holdings, weight and the budget it was given."""
+    on = [*pf, "country"]
+    held = weighted.groupBy(*on).agg(F.count_if(F.col("weight") > 0).alias("n_holdings"), F.sum("weight").alias("weight"))
+    d = budgets.select(*on, "requested", "n_selected", "budget").join(available.select(*on, "n_available"), on, "left").join(held, on, "left")
+    return d.select(*on, "requested", F.coalesce("n_available", F.lit(0)).alias("n_available"), "n_selected", F.coalesce("n_holdings", F.lit(0)).alias("n_holdings"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "budget")
+
+
 def turnover_step(target: DataFrame, previous: DataFrame, pf: list[str], limit: float) -> DataFrame:
     """(pf, security_id, target, previous, blended): towards the target as far as the limit on half the sum of changes lets it."""
     both = target.select(*pf, "security_id", F.col("weight").alias("target")).join(previous.select(*pf, "security_id", F.col("weight").alias("previous")), [*pf, "security_id"], "full_outer")
@@ -192,29 +203,52 @@ def _capped(base: pd.Series, cap: pd.Series, total: float) -> pd.Series:
     return out
 
 
-def turnover_chain(weighted: DataFrame, portfolio: list[str], limit: float) -> DataFrame:
-    """(portfolio, as_of_date, security_id, weight) where each date starts from the weights of the one before.
+def turnover_chain(weighted: DataFrame, portfolio: list[str], limit: float, k: int = 1, dates: DataFrame | None = None) -> DataFrame:
+    """(portfolio, as_of_date, security_id, country, constructed, weight, binds): a fold along the dates of each portfolio.
+
+    weighted: the output of allocate. A date's constructed weights start from what was held, the date before's blended
+    weights, and go towards their target as far as the limit on half the turnover lets them; what that leaves is shared
+    below the caps within each country's budget, and binds tells that the limit counted. The blended weights are the mean
+    of the last k dates' constructed ones, scaled to the current sum (k = 1: the constructed ones themselves). A date of
+    ``dates`` without rows holds nothing, counts as one of the k, and the next one starts afresh.
 
-    weighted: the output of allocate. The chain runs within a portfolio, whose rows are its selected names, some tens
-    for each date; portfolios run side by side."""
+    The state is one vector of blended and k of constructed weights of a portfolio, some hundreds of names; portfolios run
+    side by side."""
     limit = max(0.0, min(limit, 2.0))
     types = {f.name: f.dataType.simpleString() for f in weighted.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in portfolio), "as_of_date date", "security_id string", "weight double"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in portfolio), "as_of_date date, security_id string, country string, constructed double, weight double, binds boolean"])
+    rows = weighted.select(*portfolio, "as_of_date", "security_id", "country", "weight", "cap", "budget")
+    if dates is not None:
+        rows = dates.select(*portfolio, "as_of_date").distinct().join(rows, [*portfolio, "as_of_date"], "left")
+
+    def constructed(day: pd.DataFrame, held: pd.Series) -> tuple[pd.Series, bool]:
+        target = day["weight"].astype(float)
+        if not len(held) or not len(target):
+            return target, False
+        a, b = target.align(held, fill_value=0.0)
+        turnover = 0.5 * (a - b).abs().sum()
+        blended = a if turnover <= limit + EPS or turnover <= EPS else b + limit / turnover * (a - b)
+        if not ((blended[target.index] - target).abs() > EPS).any():
+            return target, False
+        return pd.concat([_capped(blended[g.index].clip(lower=0), g["cap"].astype(float), float(g["budget"].iloc[0])) for _, g in day.groupby("country")]), True
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        previous, out = pd.Series(dtype=float), []
+        held, ring, out, country = pd.Series(dtype=float), [], [], {}
         for date, day in rows.sort_values(["as_of_date", "security_id"]).groupby("as_of_date", sort=True):
-            day = day.set_index("security_id")
-            target = day["weight"].astype(float)
-            if len(previous):
-                a, b = target.align(previous, fill_value=0.0)
-                turnover = 0.5 * (a - b).abs().sum()
-                blended = a if turnover <= max(limit, 0) + EPS or turnover <= EPS else b + limit / turnover * (a - b)
-                if ((blended[target.index] - target).abs() > EPS).any():
-                    target = pd.concat([_capped(blended[g.index].clip(lower=0), g["cap"].astype(float), float(g["budget"].iloc[0])) for _, g in day.groupby("country")])
-            target = target[target > 0]
-            out.append(pd.DataFrame({**{c: day[c].iloc[0] for c in portfolio}, "as_of_date": date, "security_id": target.index, "weight": target.to_numpy()}))
-            previous = target
-        return pd.concat(out)
-
-    return weighted.groupBy(*portfolio).applyInPandas(chain, schema)
+            day = day.dropna(subset=["security_id"]).set_index("security_id")
+            country.update(day["country"])
+            current, binds = constructed(day, held)
+            current = current[current > 0]
+            ring = [*ring, current][-k:]
+            blended = current
+            if k > 1 and len(current):
+                mean = pd.concat(ring).groupby(level=0).sum() / len(ring)
+                blended = mean * (current.sum() / mean.sum())
+            both = pd.DataFrame({"constructed": current, "weight": blended}).fillna(0.0)
+            if len(both):
+                out.append(both.rename_axis("security_id").reset_index().assign(**{c: rows[c].iloc[0] for c in portfolio}, as_of_date=date, country=[country[s] for s in both.index], binds=binds))
+            held = blended
+        names = [*portfolio, "as_of_date", "security_id", "country", "constructed", "weight", "binds"]
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    return rows.groupBy(*portfolio).applyInPandas(chain, schema)

@@ -54,7 +54,7 @@ WEIGHTS = {
     "days_of": "SELECT DISTINCT portfolio_id, as_of_date FROM ranked JOIN (SELECT DISTINCT portfolio_id, model FROM grid) USING (model)",
     "budget0": f"SELECT d.portfolio_id, d.as_of_date, g.country, g.target, g.requested, g.max_single, coalesce(n, 0) AS n_selected, coalesce(n, 0) * g.max_single AS capacity FROM days_of d JOIN grid g USING (portfolio_id) LEFT JOIN (SELECT {PC}, count(*) AS n FROM chosen GROUP BY ALL) c USING ({PC})",
     "budgets": f"""SELECT *, a + greatest(0, least(room, rest - coalesce(sum(room) OVER (PARTITION BY {P} ORDER BY country {AHEAD}), 0))) AS budget FROM (SELECT *, greatest(0, capacity - a) AS room, greatest(0, 1 - sum(a) OVER (PARTITION BY {P})) AS rest FROM (SELECT *, least(target, capacity) AS a FROM budget0))""",
-    "tilted": f"""SELECT *, greatest(0, share * (1 + 0.2::DOUBLE * z)) AS raw, budget * share AS bench, greatest(0, least(max_single, 0.1::DOUBLE * liq / 1e10)) AS cap FROM (SELECT c.*, budget, liq / sum(liq) OVER w AS share, CASE WHEN stddev_pop(factor_value) OVER w > 1e-12 THEN (factor_value - avg(factor_value) OVER w) / stddev_pop(factor_value) OVER w ELSE 0 END AS z
+    "tilted": f"""SELECT *, greatest(0, share * (1 + 0.2::DOUBLE * z)) AS raw, budget * share AS bench, greatest(0, least(max_single, 0.1::DOUBLE * liq / 6e8)) AS cap FROM (SELECT c.*, budget, liq / sum(liq) OVER w AS share, CASE WHEN stddev_pop(factor_value) OVER w > 1e-12 THEN (factor_value - avg(factor_value) OVER w) / stddev_pop(factor_value) OVER w ELSE 0 END AS z
         FROM chosen c JOIN budgets USING ({PC}) WINDOW w AS (PARTITION BY {', '.join('c.' + x for x in PC.split(', '))}))""",
     "first_weights": capped("tilted", PC, "raw", "cap", "budget", "weight1"),
     "pulled": f"SELECT *, greatest(0, bench + (weight1 - bench) * 0.05::DOUBLE / nullif(l2, 0)) AS pull FROM (SELECT *, sqrt(sum((weight1 - bench) ** 2) OVER (PARTITION BY {P})) AS l2 FROM first_weights)",
@@ -73,3 +73,31 @@ H8 = "SELECT period_end, country, round(sum(weight), 6) AS total, round(max(weig
 H14 = f"SELECT portfolio_id, as_of_date, security_id, country, round(weight, 6) AS weight FROM weighted WHERE weight > 0"
 H11 = f"""SELECT portfolio_id, as_of_date, coalesce(h, 0) AS n_holdings, round(coalesce(i, 0), 6) AS invested, round(CASE WHEN 1 - coalesce(i, 0) < 1e-12 THEN 0 ELSE 1 - coalesce(i, 0) END, 6) AS cash, coalesce(r, '') AS reasons
     FROM (SELECT DISTINCT {P} FROM budgets) LEFT JOIN (SELECT {P}, count(*) FILTER (WHERE weight > 0) AS h, sum(weight) AS i FROM weighted GROUP BY ALL) USING ({P}) LEFT JOIN (SELECT {P}, string_agg(flag, '|' ORDER BY flag) AS r FROM flags GROUP BY ALL) USING ({P})"""
+H11_COUNTRY = f"""SELECT {PC}, requested, coalesce(n_available, 0) AS n_available, n_selected, coalesce(h, 0) AS n_holdings, round(coalesce(w, 0), 6) AS weight, round(budget, 6) AS budget FROM budgets
+    LEFT JOIN (SELECT portfolio_id, as_of_date, country, count(*) AS n_available FROM ranked JOIN grid USING (model, country) GROUP BY ALL) USING ({PC}) LEFT JOIN (SELECT {PC}, count(*) FILTER (WHERE weight > 0) AS h, sum(weight) AS w FROM weighted GROUP BY ALL) USING ({PC})"""
+
+#: Half the turnover from one date to the next, and the dates whose constructed weights are blended.
+TURNOVER, SLEEVES = 0.5, 4
+#: The chain as a recursion over the dates. held: the blended weights by security; ring: the last constructed ones.
+CHAIN = {
+    "chain_steps": f"""SELECT portfolio_id, as_of_date AS d, row_number() OVER (PARTITION BY portfolio_id ORDER BY as_of_date) AS i, rs FROM days_of
+        LEFT JOIN (SELECT {P}, list(struct_pack(s := security_id, c := country, w := weight, cap := cap, b := budget) ORDER BY security_id) AS rs FROM weighted GROUP BY ALL) USING ({P})""",
+}
+_ALLOCATED = capped("bound", "portfolio_id, c", "bl", "cap", "b", "alloc", "s")
+CHAIN_RUN = f""", run AS (
+    SELECT portfolio_id, 0::BIGINT AS i, NULL::DATE AS d, MAP([]::VARCHAR[], []::DOUBLE[]) AS held, []::MAP(VARCHAR, DOUBLE)[] AS ring, false AS binds FROM (SELECT DISTINCT portfolio_id FROM days_of)
+    UNION ALL
+    SELECT * FROM (
+        WITH now AS (SELECT s.*, r.held, r.ring, 0.5::DOUBLE * coalesce(list_sum(list_transform(list_distinct(list_concat(map_keys(r.held), list_transform(coalesce(rs, []), lambda x: x.s))),
+                lambda k: abs(coalesce(list_sum(list_transform(list_filter(rs, lambda x: x.s = k), lambda x: x.w)), 0) - coalesce(r.held[k], 0)))), 0) AS turnover FROM run r JOIN chain_steps s ON s.portfolio_id = r.portfolio_id AND s.i = r.i + 1),
+        each AS (SELECT portfolio_id, held, turnover, x.s AS s, x.c AS c, x.w AS w, x.cap AS cap, x.b AS b FROM (SELECT portfolio_id, held, turnover, unnest(rs) AS x FROM now)),
+        blends AS (SELECT *, CASE WHEN cardinality(held) = 0 OR turnover <= {TURNOVER}::DOUBLE + 1e-12 THEN w ELSE coalesce(held[s], 0) + {TURNOVER}::DOUBLE / turnover * (w - coalesce(held[s], 0)) END AS bl FROM each),
+        bound AS (SELECT *, bool_or(abs(bl - w) > 1e-12) OVER (PARTITION BY portfolio_id) AS moved FROM blends),
+        made AS (SELECT portfolio_id, any_value(moved) AS binds, map_from_entries(list(struct_pack(k := s, v := x) ORDER BY s) FILTER (WHERE x > 0)) AS cur FROM (SELECT portfolio_id, moved, s, CASE WHEN moved THEN alloc ELSE w END AS x FROM ({_ALLOCATED})) GROUP BY portfolio_id),
+        kept AS (SELECT n.portfolio_id, i, d, coalesce(m.binds, false) AS binds, coalesce(cur, MAP([]::VARCHAR[], []::DOUBLE[])) AS cur, list_concat(ring, [coalesce(cur, MAP([]::VARCHAR[], []::DOUBLE[]))])[-{SLEEVES}:] AS ring FROM now n LEFT JOIN made m ON m.portfolio_id = n.portfolio_id),
+        means AS (SELECT *, list_transform(list_distinct(flatten(list_transform(ring, lambda m: map_keys(m)))), lambda k: struct_pack(k := k, v := list_sum(list_transform(ring, lambda m: coalesce(m[k], 0))) / len(ring))) AS mean FROM kept)
+        SELECT portfolio_id, i, d, CASE WHEN cardinality(cur) = 0 THEN cur ELSE map_from_entries(list_transform(mean, lambda x: struct_pack(k := x.k, v := x.v * list_sum(map_values(cur)) / list_sum(list_transform(mean, lambda y: y.v))))) END AS held, ring, binds FROM means))
+"""
+H14_CHAIN = CHAIN_RUN + """SELECT portfolio_id, d AS as_of_date, e.key AS security_id, round(coalesce(ring[-1][e.key], 0), 6) AS constructed, round(e.value, 6) AS weight, binds FROM (SELECT *, unnest(map_entries(held)) AS e FROM run WHERE i > 0)"""
+H12_CHAIN = CHAIN_RUN + """SELECT portfolio_id, d AS as_of_date, cardinality(ring[-1]) AS n_holdings, round(coalesce(list_sum(map_values(ring[-1])), 0), 6) AS invested, concat_ws('|', nullif(before, ''), CASE WHEN binds THEN 'TURNOVER_CAP_BIND' END, nullif(after, '')) AS reasons
+    FROM run LEFT JOIN (SELECT portfolio_id, as_of_date AS d, string_agg(flag, '|' ORDER BY flag) FILTER (WHERE flag < 'TURNOVER_CAP_BIND') AS before, string_agg(flag, '|' ORDER BY flag) FILTER (WHERE flag > 'TURNOVER_CAP_BIND') AS after FROM flags GROUP BY ALL) USING (portfolio_id, d) WHERE i > 0"""

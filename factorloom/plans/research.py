@@ -14,6 +14,8 @@ from .market import AMOUNTS, BENCH, MEMBERS, SCHEDULE_RATES, _last_prices, bench
 oracle = V.oracle
 #: Securities asked for in all, and their shares by country.
 TOTAL, TARGETS = 20, {"JP": 0.3, "KR": 0.3, "US": 0.4}
+#: Under which the volume cap, the name cap, the pull to the benchmark and the turnover limit each count for some rows.
+PORTFOLIO_VALUE = 6e8
 REQUESTED = quota.requested_counts(TOTAL, TARGETS)
 
 
@@ -192,7 +194,7 @@ def ranked_grid(spark: SparkSession, sf: str) -> DataFrame:
     plans = grid(spark).select("portfolio_id", "model").distinct()
     keep = ["as_of_date", "model", "country", "security_id", "factor_value", "rank_in_country", "is_eligible", "median_traded_value_krw"]
     order = Window.partitionBy("as_of_date", "model", "country").orderBy(F.coalesce("rank_in_country", F.lit(10**9)), F.col("factor_value").desc(), "security_id")
-    first = _flagged(spark, sf).select(*keep).where("is_eligible and factor_value is not null").withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= TOTAL).drop("_place")
+    first = _flagged(spark, sf).select(*keep).where("is_eligible and factor_value is not null").withColumns({"_place": F.row_number().over(order), "n_available": F.count("*").over(Window.partitionBy("as_of_date", "model", "country"))}).where(F.col("_place") <= TOTAL).drop("_place")
     return saved(first, "ranked").join(temporal.dates_side(plans), "model")
 
 
@@ -202,7 +204,7 @@ def weighted_grid(spark: SparkSession, sf: str, te_cap: float = 0.05) -> tuple[D
     chosen = saved(weights.select_names(ranked, targets, PF), "chosen")
     dates = ranked.select(*PF).distinct()
     budgets = weights.country_budgets(chosen, targets, dates, PF)
-    return saved(weights.allocate(chosen, budgets, PF, te_cap=te_cap), "weights"), budgets
+    return saved(weights.allocate(chosen, budgets, PF, portfolio_value=PORTFOLIO_VALUE, te_cap=te_cap), "weights"), budgets
 
 
 def h1_h2_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,6 +230,13 @@ def h11_h12_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return weights.diagnostics(w, b, PF).select(*PF, "n_holdings", F.round("invested", 6).alias("invested"), F.round("cash", 6).alias("cash"), "reasons")
 
 
+def h11_country_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """For each portfolio, date and target country the names asked for, available, selected and held, and their weight."""
+    w, b = weighted_grid(spark, sf)
+    available = ranked_grid(spark, sf).groupBy(*PF, "country").agg(F.max("n_available").alias("n_available"))
+    return weights.country_diagnostics(w, b, available, PF).withColumns({"weight": F.round("weight", 6), "budget": F.round("budget", 6)})
+
+
 def h10_turnover_step(spark: SparkSession, sf: str) -> DataFrame:
     """From each quarter's sales weights to the next quarter's, with half the turnover at most 5 percent."""
     f = V.fundamentals(spark, sf)
@@ -285,10 +294,21 @@ def a16_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("portfolio_id", "periods", F.round("end_nav", 2).alias("end_nav"), F.round("cumulative_net", 6).alias("cumulative_net"), F.round("cumulative_gross", 6).alias("cumulative_gross"), F.round("total_sum", 2).alias("total_cost"))
 
 
+def _chained(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    w, b = weighted_grid(spark, sf)
+    return saved(weights.turnover_chain(w, ["portfolio_id"], Q.TURNOVER, Q.SLEEVES, b.select(*PF).distinct()), "chain"), w, b
+
+
 def h14_turnover_portfolios(spark: SparkSession, sf: str) -> DataFrame:
-    """The portfolios with half the turnover at most 30 percent from one date to the next."""
-    w, _ = weighted_grid(spark, sf)
-    return weights.turnover_chain(w, ["portfolio_id"], 0.3).select("portfolio_id", "as_of_date", "security_id", F.round("weight", 6).alias("weight"))
+    """The portfolios in four staggered sleeves, with half the turnover limited from what was held on the date before."""
+    chain, _, _ = _chained(spark, sf)
+    return chain.select(*PF, "security_id", F.round("constructed", 6).alias("constructed"), F.round("weight", 6).alias("weight"), "binds")
+
+
+def h12_turnover_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """What is constructed in the chain, and every reason that counted, the turnover limit among them."""
+    chain, w, b = _chained(spark, sf)
+    return weights.diagnostics(w, b, PF, chain).select(*PF, "n_holdings", F.round("invested", 6).alias("invested"), "reasons")
 
 
 #: The ledger as a recursion over dates. What is held is a map of quantity and average cost by security.
@@ -355,15 +375,15 @@ L1_VIEWS = {
     "nav": "SELECT country, d, sum(value) AS nav FROM marked GROUP BY ALL",
 }
 
-def _recursive(body: str) -> str:
-    views = {**PIT, **SCORES, **Q.RANKING, **Q.WEIGHTS, "bench": BENCH, "schedule_rates": SCHEDULE_RATES, **LEDGER}
+def _recursive(body: str, more: dict[str, str] = {"bench": BENCH, "schedule_rates": SCHEDULE_RATES, **LEDGER}) -> str:
+    views = {**PIT, **SCORES, **Q.RANKING, **Q.WEIGHTS, **more}
     return oracle(body, views).replace("WITH ", "WITH RECURSIVE ", 1).replace("\n, run AS", ",\nrun AS", 1)
 
 
 _ALL = [
     p1_assemble_universe, p3_pit_violations, p6_rejection_counts, a1_median_traded_value, w1_pit_select, rank_by_country, g1_factor_eligibility, w3_winsorize, g2_raw_metrics, w4_w7_scores,
     a5_sector_weights, g3_seed_rows, g5_proportional_quotas, g6_quota_bounds, g9_qepm_rank, h1_h2_selection, h8_capped_allocation, h14_portfolios, h11_h12_diagnostics, h10_turnover_step, w10_sleeve_blend,
-    h14_turnover_portfolios, l8_ledger_periods, a16_run_metrics, l1_l6_ledger_step,
+    h14_turnover_portfolios, h12_turnover_diagnostics, h11_country_diagnostics, l8_ledger_periods, a16_run_metrics, l1_l6_ledger_step,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {
@@ -389,6 +409,9 @@ SQL = {
     "h10_turnover_step": oracle(H10, {"w": "SELECT country, period_end AS d, security_id, sales_ttm / sum(sales_ttm) OVER (PARTITION BY country, period_end) AS w FROM fundamentals"}),
     "w10_sleeve_blend": oracle(W10, L1_VIEWS),
     "l1_l6_ledger_step": oracle(L1, L1_VIEWS),
+    "h11_country_diagnostics": oracle(Q.H11_COUNTRY, {**PIT, **SCORES, **Q.RANKING, **Q.WEIGHTS}),
+    "h14_turnover_portfolios": _recursive(Q.H14_CHAIN, Q.CHAIN),
+    "h12_turnover_diagnostics": _recursive(Q.H12_CHAIN, Q.CHAIN),
     "l8_ledger_periods": _recursive(L8),
     "a16_run_metrics": _recursive(A16),
 }

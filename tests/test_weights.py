@@ -125,3 +125,46 @@ def test_parameters_out_of_range_are_refused(wrong):
     W.check_parameters(**usual)
     with pytest.raises(ValueError):
         W.check_parameters(**{**usual, **wrong})
+
+
+def test_chain_starts_from_blended_weights(spark):
+    """A limit, three sleeves, two countries and a date that holds nothing, against a loop over plain dicts."""
+    r, rows = random.Random(7), []
+    days = [dt.date(2020, m, 28) for m in range(1, 10)]
+    for d in days:
+        if d.month == 5:
+            continue
+        for country, budget in (("US", 0.6), ("KR", 0.4)):
+            names = r.sample(range(9), 4)
+            raw = [r.random() for _ in names]
+            rows += [("p", d, f"{country}{i}", country, budget * x / sum(raw), 0.25, budget) for i, x in zip(names, raw)]
+    df = spark.createDataFrame(rows, "portfolio_id string, as_of_date date, security_id string, country string, weight double, cap double, budget double")
+    dates = spark.createDataFrame([("p", d) for d in days], "portfolio_id string, as_of_date date")
+    got = {}
+    for x in W.turnover_chain(df, ["portfolio_id"], 0.25, 3, dates).collect():
+        got.setdefault(x["as_of_date"], {})[x["security_id"]] = (x["constructed"], x["weight"], x["country"], x["binds"])
+    held, ring, bound = {}, [], 0
+    for d in days:
+        day = [x for x in rows if x[1] == d]
+        current, binds = {x[2]: x[4] for x in day}, False
+        if held and current:
+            names = held.keys() | current.keys()
+            turnover = 0.5 * sum(abs(current.get(s, 0) - held.get(s, 0)) for s in names)
+            if turnover > 0.25 + 1e-12:
+                step = {s: held.get(s, 0) + 0.25 / turnover * (current.get(s, 0) - held.get(s, 0)) for s in names}
+                if any(abs(step[s] - current[s]) > 1e-12 for s in current):
+                    binds, target = True, current
+                    current = {}
+                    for country, budget in (("US", 0.6), ("KR", 0.4)):
+                        own = {s: max(0.0, step[s]) for s in target if s.startswith(country)}
+                        current |= loop_allocation(own, dict.fromkeys(own, 0.25), budget)
+        current = {s: w for s, w in current.items() if w > 0}
+        ring = [*ring, current][-3:]
+        mean = {s: sum(m.get(s, 0) for m in ring) / len(ring) for m in ring for s in m}
+        held = {s: x * sum(current.values()) / sum(mean.values()) for s, x in mean.items()} if current else {}
+        bound += binds
+        assert got.get(d, {}).keys() == held.keys()
+        for s, x in held.items():
+            a, b, country, flag = got[d][s]
+            assert abs(a - current.get(s, 0)) < 1e-9 and abs(b - x) < 1e-9 and country == s[:2] and flag == binds
+    assert 2 <= bound < 8 and days[4] not in got
