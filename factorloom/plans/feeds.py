@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import casts as X
 from ..operators import canonical, filings
 from ..sources import store
 from ..sources import tables as V
+from ..sources.commits import CommitTable
 from ..streaming import jobs
 
 oracle = V.oracle
@@ -346,14 +349,55 @@ def st1_filing_stream(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run_available(jobs.filing_stream(docs), "filings").select("docID")
 
 
+def _batches(spark: SparkSession, e: DataFrame, n: int, path: str) -> None:
+    """e as n files, written one after the other so that a stream takes them in order of event_id."""
+    step = -(-(int(e.agg(F.max("event_id")).first()[0]) + 1) // n)
+    for i in range(n):
+        e.where(F.floor(F.col("event_id") / step) == i).coalesce(1).write.mode("append").parquet(path)
+
+
+def st1_matched_filings(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings in four batches with repeats in the last, matched with a list of stock codes that grows from one batch to the next."""
+    e = V.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("submitDateTime"))
+    n = int(e.agg(F.max("event_id")).first()[0]) + 1
+    source = store.work_dir(spark, "matched_listings")
+    _batches(spark, e, 4, source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    doc = F.pmod(F.col("event_id"), F.lit(n * 9 // 10))
+    docs = stream.select(F.concat(F.lit("D"), doc.cast("string")).alias("docID"), F.pmod(doc * 37, F.lit(5000)).cast("string").alias("secCode"), "submitDateTime")
+    codes = lambda epoch: spark.range(5000).where(F.pmod("id", F.lit(8)) <= 2 * epoch).select(F.col("id").cast("string").alias("stock_code"))
+    return jobs.matched_filings(docs, codes, "matched").select("docID", "code", F.col("epoch").cast("long").alias("epoch"))
+
+
+ST1_MATCHED = """SELECT 'D' || d AS docID, lpad(((d * 37) % 5000)::VARCHAR, 4, '0') AS code, epoch FROM (SELECT event_id % (n * 9 // 10) AS d, min(event_id // ((n + 3) // 4)) AS epoch
+    FROM events, (SELECT max(event_id) + 1 AS n FROM events) GROUP BY ALL) WHERE ((d * 37) % 5000) % 8 <= 2 * epoch"""
+
+
 def st2_price_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as corrections of a user's value of the day: the last one counts, over several batches."""
+    """Events as corrections of a user's value of the day: the last one counts, over several batches into a table with commits."""
     e = V.table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value")
     source = store.work_dir(spark, "updates")
     e.repartition(4, F.col("event_id") % 4).write.parquet(source)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    path = jobs.upsert_prices(stream, ["user_id", "day"], "event_id", "upserts")
-    return jobs.current(spark, path, e.schema).select("user_id", "day", "event_id", "value")
+    table = CommitTable(spark, store.work_dir(spark, "upserts"), e.schema, ["user_id", "day"], "event_id")
+    jobs.upsert_stream(stream, table, "updates", store.work_dir(spark, "upserts_state"))
+    return table.snapshot().select("user_id", "day", "event_id", "value")
+
+
+def k1_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """For each commit the rows, the sum of the arrivals and the latest one: three batches, the second one once more, a compaction; buckets split on the way."""
+    e = V.table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value")
+    third = (int(e.agg(F.max("event_id")).first()[0]) + 3) // 3
+    table = CommitTable(spark, store.work_dir(spark, "commits"), e.schema, ["user_id", "day"], "event_id", bucket_rows=max(500, third // 3))
+    for i in (0, 1, 1, 2):
+        table.upsert(e.where(F.floor(F.col("event_id") / third) == i), ("events", i))
+    table.compact()
+    parts = [table.snapshot(v).agg(F.count("*").alias("n"), F.sum("event_id").alias("arrivals"), F.max("event_id").alias("latest")).withColumn("version", F.lit(v).cast("long")) for v in table.versions()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+K1_COMMITS = """SELECT v.version, count(*) AS n, sum(x)::BIGINT AS arrivals, max(x) AS latest FROM (VALUES (1::BIGINT, 1), (2, 2), (3, 3), (4, 3)) v(version, upto), LATERAL (
+    SELECT user_id, ts::DATE AS day, max(event_id) AS x FROM events WHERE event_id // (((SELECT max(event_id) FROM events) + 3) // 3) < upto GROUP BY ALL) GROUP BY v.version"""
 
 
 def k4_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,7 +409,7 @@ def k4_manifest(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = [
     c13_transform_jp, c14_quarantine, c8_c12_casts, c1_c5_canonical, c18_c19_transform_kr, c20_unmapped_report, c23_missing_payloads, c24_normalize_fx, c26_price_tickers, s8_filing_index, j10_match_documents, c27_document_filter,
     a6_latest_facts, j11_metric_intersection, a7_a8_statement_values, a9_tag_scored_rd, a11_filled_rd, a12_filing_dates, a13_key_metrics, x1_text_blocks, x2_keyword_in_context, x3_plan_targets, s12_unwrap_payload, s3_s6_price_store,
-    s7_layout_migration, s10_unpivot_wide, st1_filing_stream, st2_price_upsert, k4_manifest,
+    s7_layout_migration, s10_unpivot_wide, st1_filing_stream, st1_matched_filings, st2_price_upsert, k1_commits, k4_manifest,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 _N = {"numbered": NUMBERED}
@@ -397,6 +441,8 @@ SQL = {
     "s7_layout_migration": oracle("SELECT CASE WHEN security_id LIKE '%3' THEN 'v1' ELSE 'v2' END AS origin, count(*) AS n, count(DISTINCT security_id) AS tickers FROM prices GROUP BY ALL"),
     "s10_unpivot_wide": oracle(S10),
     "st1_filing_stream": "SELECT DISTINCT 'D' || (event_id % ((SELECT max(event_id) + 1 FROM events) * 9 // 10)) AS docID FROM events",
+    "st1_matched_filings": ST1_MATCHED,
+    "k1_commits": K1_COMMITS,
     "st2_price_upsert": "SELECT user_id, ts::DATE AS day, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL",
     "k4_manifest": oracle("SELECT 'fundamentals' AS output, count(*) AS rows, true AS has_digest FROM fundamentals UNION ALL SELECT 'constituents', count(*), true FROM constituents UNION ALL SELECT 'fx', count(*), true FROM fx"),
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+
+from ..operators.filings import match_documents
+from ..sources.commits import CommitTable
 from ..sources.store import work_dir
 
 
@@ -24,32 +26,27 @@ def run_available(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def upsert_prices(updates: DataFrame, keys: list[str], arrival: str, name: str, buckets: int = 16) -> str:
-    """Streams updates into a table that keeps the latest arrival of each key; returns its path.
+def matched_filings(listings: DataFrame, codes: Callable[[int], DataFrame], name: str, delay: str | None = None) -> DataFrame:
+    """Listings (docID, secCode, submitDateTime) whose stock code is wanted when they come, each docID once, as (docID, submitDateTime, code, epoch).
 
-    Only the buckets of a batch are read and replaced. A bucket is written beside the old ones and the newest version
-    of each counts, so that a batch that is run again changes nothing."""
-    spark = updates.sparkSession
-    base, state = work_dir(spark, name), work_dir(spark, f"{name}_state")
-    schema = updates.schema
+    codes: gives the list of stock codes that holds for a batch; it is read anew for each, so it may change while the
+    stream runs. Repeats are dropped before the match: an id counts as seen even if its code was not wanted then. A batch
+    that is run again replaces the folder it has written, so nothing is appended twice."""
+    spark = listings.sparkSession
+    out, state = work_dir(spark, name), work_dir(spark, f"{name}_state")
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most so many as there are buckets
-        if epoch and touched:
-            new = new.unionByName(current(batch.sparkSession, base, schema, epoch).where(F.col("bucket").isin(touched)).drop("version"))
-        rows = F.struct(*[F.col(c) for c in schema.names if c not in keys])
-        last = new.groupBy("bucket", *keys).agg(F.max_by(rows, arrival).alias("r")).select("bucket", *keys, "r.*")
-        last.withColumn("version", F.lit(epoch)).write.partitionBy("version", "bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(base)
+    def append(batch: DataFrame, epoch: int) -> None:
+        match_documents(batch, codes(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    updates.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return base
+    filing_stream(listings, delay).writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
-def current(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The newest version of each bucket, of versions below before."""
-    table = spark.read.parquet(path)
-    if before is not None:
-        table = table.where(F.col("version") < before)
-    newest = table.groupBy("bucket").agg(F.max("version").alias("version"))
-    return table.join(newest, ["bucket", "version"], "left_semi")
+def upsert_stream(updates: DataFrame, table: CommitTable, source: str, state: str) -> int:
+    """Streams updates into a table that keeps the latest arrival of each key; returns its version. Batches that are run again change nothing."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        table.upsert(batch, (source, epoch))
+
+    updates.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return table.commit_of()["version"]
