@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import saved
+
 BILLION = 1_000_000_000.0
 # Models with their weights of the sector score and the size score.
 MODELS = {"rnd_sales_ttm": (0.7, 0.3), "rnd_sales_size_proxy": (0.4, 0.6), "rnd_mktcap_proxy": (0.3, 0.7), "rnd_ev_proxy": (0.6, 0.4), "rnd_robust_composite": (0.5, 0.5)}
@@ -18,11 +20,50 @@ def rnd_sales_factor(rows: DataFrame) -> DataFrame:
     return known.withColumn("factor_value", F.when(F.col("is_eligible"), F.col("rd_expense") / F.col("sales_ttm")))
 
 
-def winsorize(rows: DataFrame, groups: list[str], value: str = "factor_value", low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """value clamped to its exact quantiles in each group. They come from an aggregate that is joined back, so no group is sorted as a window."""
+#: Ranges that a pass of exact_quantiles counts.
+RANGES = 1024
+
+
+def exact_quantiles(rows: DataFrame, groups: list[str], value: str, at: list[float], ranges: int = RANGES) -> DataFrame:
+    """(groups, q): for each group the array of its linear-interpolated quantiles, at position (n - 1) * p.
+
+    Selection by repeated counts: the values between a rank's bounds are counted in ranges of equal width, and the least and
+    largest value of the range that holds the rank are its next bounds, until they are one value. A pass is an
+    aggregate with as many rows as there are groups, ranks and ranges; no buffer holds a group. Values are finite."""
+    known = rows.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    whole = known.groupBy(*groups).agg(F.count("*").alias("_n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in at])))
+    live = saved(whole.select(*groups, "_n", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), "lo", "hi"), "ranks")
+    done = live.where("lo = hi")
+    key = [*groups, "_n", "rank"]
+    while not (live := live.where("lo < hi")).isEmpty():
+        within = known.join(live, groups).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        # halves first, as a width may be beyond the largest double
+        slot = F.least(F.lit(ranges - 1), F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * ranges))
+        counted = within.groupBy(*key, "below", slot.alias("slot")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = F.col("below") + F.sum("n").over(Window.partitionBy(*key).orderBy("slot"))
+        chosen = counted.withColumn("_upto", upto).where((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("n") <= F.col("rank")))
+        live = saved(chosen.select(*key, (F.col("_upto") - F.col("n")).alias("below"), "lo", "hi"), "ranks")
+        done = done.unionByName(live.where("lo = hi"))
+    found = done.groupBy(*groups, "_n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("_of"))
+
+    def between(p: float) -> Column:
+        low, high = F.floor(place(p)), F.ceil(place(p))
+        a, b = F.element_at("_of", low), F.element_at("_of", high)
+        return F.when(low == high, a).otherwise((high - place(p)) * a + (place(p) - low) * b)
+
+    return found.select(*groups, F.array(*[between(p) for p in at]).alias("q"))
+
+
+def winsorize(rows: DataFrame, groups: list[str], value: str = "factor_value", low: float = 0.01, high: float = 0.99, by_ranges: bool = False) -> DataFrame:
+    """value clamped to its exact quantiles in each group. They come from an aggregate that is joined back, so no group is sorted as a window; for groups whose distinct values don't fit a task, by_ranges counts ranges instead (see exact_quantiles)."""
     if not 0 <= low < high <= 1:
         raise ValueError("quantiles must be in order between 0 and 1")
-    bounds = rows.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    if by_ranges:
+        bounds = exact_quantiles(rows, groups, value, [low, high]).withColumnRenamed("q", "_q")
+    else:
+        bounds = rows.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
     clamped = F.least(F.greatest(F.col(value), F.col("_q")[0]), F.col("_q")[1])
     return rows.join(bounds, groups, "left").withColumn(value, F.when(F.col(value).isNotNull(), clamped)).drop("_q")
 

@@ -18,9 +18,10 @@ def costs(**given: float) -> dict[str, float]:
     return rates
 
 
-def mark(positions: DataFrame, cash: DataFrame, prices: DataFrame, portfolio: list[str]) -> DataFrame:
-    """positions with price_krw, value and nav, the portfolio's cash and values; missing_price marks rows without a price."""
-    p = positions.join(prices.select("security_id", "price_krw"), "security_id", "left").withColumn("missing_price", F.col("price_krw").isNull())
+def mark(positions: DataFrame, cash: DataFrame, prices: DataFrame, portfolio: list[str], dates: list[str] | None = None) -> DataFrame:
+    """positions with price_krw, value and nav, the portfolio's cash and values; missing_price marks rows without a price. dates: columns of positions and prices on which they meet besides the security, where prices are of several dates."""
+    on = ["security_id", *(dates or [])]
+    p = positions.join(prices.select(*on, "price_krw"), on, "left").withColumn("missing_price", F.col("price_krw").isNull())
     p = p.withColumn("value", F.col("quantity") * F.coalesce("price_krw", F.lit(0.0)))
     nav = p.groupBy(*portfolio).agg(F.sum("value").alias("held"))
     totals = cash.join(nav, portfolio, "left").select(*portfolio, (F.col("cash") + F.coalesce("held", F.lit(0.0))).alias("nav"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,18 +29,34 @@ def annualised(cumulative: Column, periods: Column, per_year: int = 4) -> Column
     return F.when((periods > 0) & (base > 0), F.pow(base, per_year / periods) - 1)
 
 
-def run_summary(periods: DataFrame, keys: list[str]) -> DataFrame:
-    """periods: net_return, gross_return, benchmark_return. Cumulative and annualised returns, alpha, the largest drawdown, the share of positive periods."""
+#: What a period costs, as far as its rows have it.
+COSTS = ("total", "slippage", "sell_tax", "realised_gains_tax")
+
+
+def run_summary(periods: DataFrame, keys: list[str], spreads: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
+    """One row for each run. periods: net_return, gross_return, benchmark_return and any of COSTS.
+
+    Cumulative and annualised returns, alpha, the largest drawdown; the quarters whose active net return is above 0, how
+    many there are and their share; the costs' sums. spreads (keys, spread): the factor's spread on each date that has one,
+    of which the positive ones, all and the mean are told. checks (keys, fallback_count, rejected_candidates,
+    quality_status) are joined as they are."""
     g = growth_and_drawdown(periods, keys)
+    active = F.col("net_return") - F.col("benchmark_return")
     s = g.groupBy(*keys).agg(
         F.count("*").alias("periods"),
         compound(F.col("net_return")).alias("net"),
+        compound(F.col("gross_return")).alias("gross"),
         F.when(F.count("benchmark_return") == F.count("*"), compound(F.col("benchmark_return"))).alias("benchmark"),
         F.min("drawdown").alias("max_drawdown"),
-        F.avg((F.col("net_return") > 0).cast("double")).alias("positive_ratio"),
+        F.count_if(active > 0).alias("active_positive_quarters"),
+        *[F.sum(c).alias(f"{c}_sum") for c in COSTS if c in periods.columns],
     )
     s = s.withColumns({"net_annualised": annualised(F.col("net"), F.col("periods")), "benchmark_annualised": annualised(F.col("benchmark"), F.col("periods"))})
-    return s.withColumn("alpha", F.col("net_annualised") - F.col("benchmark_annualised"))
+    s = s.withColumns({"years": F.col("periods") / 4, "active": F.col("net") - F.col("benchmark"), "alpha": F.col("net_annualised") - F.col("benchmark_annualised"), "active_positive_ratio": F.col("active_positive_quarters") / F.col("periods")})
+    if spreads is not None:
+        known = spreads.where(F.col("spread").isNotNull()).groupBy(*keys).agg(F.count_if(F.col("spread") > 0).alias("positive_spreads"), F.count("*").alias("spreads"), F.avg("spread").alias("mean_spread"))
+        s = s.join(known, keys, "left").fillna(0, ["positive_spreads", "spreads"])
+    return s if checks is None else s.join(checks, keys, "left")
 
 
 def attribution(periods: DataFrame, fx: DataFrame, tolerance: float = 1e-10) -> DataFrame:
@@ -68,6 +86,22 @@ def fold_metrics(folds: DataFrame, periods: DataFrame, keys: list[str]) -> DataF
     return out.withColumn("active", F.col("portfolio") - F.col("benchmark"))
 
 
+def over_folds(folds: DataFrame, rows: DataFrame, date: str, metric: Callable[[DataFrame], DataFrame], schema: str, part: str = "test") -> DataFrame:
+    """What a user's function makes of the rows of each fold, all folds in one plan.
+
+    metric gets rows with fold_index, each once for every fold whose part (train or test) holds its date, and groups by
+    fold_index. schema: the result's columns besides fold_index as DDL, checked before anything runs. A fold of which
+    metric has no row has one of nulls."""
+    if part not in ("train", "test"):
+        raise ValueError("a fold has a train and a test part")
+    bounds = folds.select("fold_index", F.col(f"{part}_start").alias("_a"), F.col(f"{part}_end").alias("_b"))
+    out = metric(rows.join(dates_side(bounds), F.col(date).between(F.col("_a"), F.col("_b"))).drop("_a", "_b"))
+    wanted = {f.name: f.dataType.simpleString() for f in T._parse_datatype_string(schema).fields} | {"fold_index": dict(folds.dtypes)["fold_index"]}
+    if dict(out.dtypes) != wanted:
+        raise ValueError(f"the metric gives {dict(out.dtypes)}, not {wanted}")
+    return folds.select("fold_index").join(out, "fold_index", "left")
+
+
 def latest_holdings(holdings: DataFrame, keys: list[str]) -> DataFrame:
     """By country: how many names, weight and value on the last date."""
     last = holdings.groupBy(*keys).agg(F.max("as_of_date").alias("as_of_date"))
@@ -206,12 +240,32 @@ def timed(df: DataFrame, stage: str, path: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(stage, int(seen.get["rows"]), time.perf_counter() - began)], "stage string, rows long, seconds double")
 
 
-def policy_alignment(config: DataFrame) -> DataFrame:
-    """config: one row for each portfolio with max_single, te_cap, max_turnover, adv_participation. A row for each check: pass, warning where a limit is off, fail where it is out of range."""
-    limit = lambda c, high: F.when(F.col(c).isNull() | (F.col(c) <= 0), "warning").when(F.col(c) > high, "fail").otherwise("pass")
-    checks = {"max_single": 0.25, "te_cap": 0.2, "max_turnover": 1.0, "adv_participation": 0.3}
-    each = F.array(*[F.struct(F.lit(c).alias("rule"), limit(c, high).alias("status")) for c, high in checks.items()])
-    return config.select("portfolio_id", F.inline(each))
+#: Models of the R&D family with their denominators.
+DENOMINATORS = {"rnd_sales_ttm": "sales_ttm", "rnd_sales_size_proxy": "sales_size_proxy", "rnd_mktcap_proxy": "mktcap_proxy", "rnd_ev_proxy": "ev_proxy", "rnd_robust_composite": "robust_composite"}
+
+
+def policy_alignment(config: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, denominator, rule, status): a row for each check of a run's settings.
+
+    config: factor_model, sector_active_band, size_stratification, te_active_l2_cap, max_adv_participation, max_turnover,
+    staggered_sleeves, sleeve_count, anchor_requested, anchor_effective and phase_lock_quarter_end. A control that is off or
+    unknown fails; a phase lock that has moved the anchor from the start date to quarter ends is a warning."""
+    on = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    holds = {
+        "model_in_rd_family": F.coalesce(F.col("factor_model").isin(list(DENOMINATORS)), F.lit(False)),
+        "benchmark_relative_sector_band_enabled": on("sector_active_band"),
+        "size_stratification_enabled": yes("size_stratification"),
+        "te_constraint_enabled": on("te_active_l2_cap"),
+        "adv_participation_constraint_enabled": on("max_adv_participation"),
+        "turnover_constraint_enabled": on("max_turnover"),
+        "staggered_sleeves_enabled": yes("staggered_sleeves") & F.coalesce(F.col("sleeve_count") >= 2, F.lit(False)),
+    }
+    locked = F.coalesce((F.col("anchor_requested") == "start_date") & (F.col("anchor_effective") == "quarter_end") & F.col("phase_lock_quarter_end"), F.lit(False))
+    rows = [F.struct(F.lit(rule).alias("rule"), F.when(ok, "pass").otherwise("fail").alias("status")) for rule, ok in holds.items()]
+    rows.append(F.struct(F.lit("phase_lock_workaround_used").alias("rule"), F.when(locked, "warning").otherwise("pass").alias("status")))
+    denominator = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in DENOMINATORS.items() for x in pair]), F.col("factor_model")), F.lit("unknown"))
+    return config.select(*keys, denominator.alias("denominator"), F.inline(F.array(*rows)))
 
 
 def frame_diff(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], rel: float = 1e-9, abs_: float = 1e-6) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import saved
+
 #: A date side up to this many rows is broadcast; a larger one is left to the planner. Rows are one date each.
 MAX_DATES = 100_000
 OPEN_END = "9999-12-31"
@@ -47,11 +49,16 @@ def month_end_targets(span: DataFrame, schedule: DataFrame) -> DataFrame:
     return span.select(F.explode(month_ends(F.col("a"), F.col("b"))).alias("as_of_date")).union(schedule.select("as_of_date")).distinct()
 
 
-def overlaps(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Windows that begin before the one ahead of them has ended. Neighbours are enough: if any two overlap, two neighbours do."""
-    order = Window.partitionBy(*keys).orderBy("effective_from", F.coalesce("effective_to", F.lit(OPEN_END).cast("date")))
-    before = F.lag(F.coalesce("effective_to", F.lit(OPEN_END).cast("date"))).over(order)
-    return windows.withColumn("previous_end", before).where("effective_from <= previous_end")
+def overlaps(windows: DataFrame, keys: list[str], start: str = "effective_from", end: str = "effective_to") -> DataFrame:
+    """Every window that begins before one of those ahead of it has ended, with the window that reaches furthest of them: previous_start and previous_end.
+
+    One sweep in order of start and end with the running maximum of the ends and whose it is, so a long window also
+    meets those that lie wholly in it and are not its neighbours. Both ends belong to a window; a null end is open."""
+    last = F.coalesce(end, F.lit(OPEN_END).cast("date"))
+    ahead = Window.partitionBy(*keys).orderBy(start, last).rowsBetween(Window.unboundedPreceding, -1)
+    furthest = F.max(F.struct(last.alias("e"), F.col(start).alias("s"))).over(ahead)
+    met = windows.withColumn("_furthest", furthest).where(F.col(start) <= F.col("_furthest.e"))
+    return met.withColumns({"previous_start": F.col("_furthest.s"), "previous_end": F.col("_furthest.e")}).drop("_furthest")
 
 
 def window_errors(windows: DataFrame) -> DataFrame:
@@ -78,17 +85,30 @@ def resolve_security(requests: DataFrame, master: DataFrame) -> DataFrame:
     return requests.select(*keys, "on_date").distinct().join(found, [*keys, "on_date"], "left")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, values: list[str]) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, values: list[str], ranges: int | None = None) -> DataFrame:
     """left with the values of the last right row of its keys on or before its date, and that row's date as ``asof_date``; null if there is none.
 
-    One shuffle on the keys, whatever the sizes. Of right rows with one date the one that sorts last counts."""
+    One shuffle on the keys, whatever the sizes. Of right rows with one date the one that sorts last counts. For few or
+    hot keys: with ranges, rows are dealt into so many ranges of key and date instead, a row for each key and range tells
+    what it leaves to the next, and no task has more than a range."""
     own = [c for c in left.columns if c not in keys]
     row = F.struct(F.col(right_date).alias("asof_date"), *[F.col(v) for v in values])
     a = left.select(*keys, F.col(left_date).alias("_d"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("_row"), F.struct(*own).alias("_own"))
     b = right.groupBy(*keys, right_date).agg(F.max(row).alias("_row")).select(*keys, F.col(right_date).alias("_d"), F.lit(0).alias("_side"), "_row")
-    order = Window.partitionBy(*keys).orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b, allowMissingColumns=True).withColumn("_row", F.last("_row", ignorenulls=True).over(order)).where("_side = 1")
-    return carried.select(*keys, "_own.*", "_row.*")
+    both = a.unionByName(b, allowMissingColumns=True)
+    if ranges is None:
+        order = Window.partitionBy(*keys).orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        carried = both.withColumn("_row", F.last("_row", ignorenulls=True).over(order)).where("_side = 1")
+        return carried.select(*keys, "_own.*", "_row.*")
+    # equal dates of a key may be cut between left rows, which a hash puts in order; the right row comes before them all
+    dealt = both.withColumn("_salt", F.when(F.col("_side") == 1, F.xxhash64("_own"))).repartitionByRange(ranges, *keys, "_d", "_side", "_salt")
+    dealt = saved(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy(*keys, "_part").orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    leaves = dealt.groupBy(*keys, "_part").agg(F.max_by("_row", F.when(F.col("_side") == 0, F.col("_d"))).alias("_last"))
+    gets = leaves.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).select(*keys, "_part", "_before")
+    met = dealt.withColumn("_row", F.last("_row", ignorenulls=True).over(within)).where("_side = 1").join(gets, [*keys, "_part"], "left")
+    return met.withColumn("_row", F.coalesce("_row", "_before")).select(*keys, "_own.*", "_row.*")
 
 
 def asof_exact(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, values: list[str]) -> DataFrame:

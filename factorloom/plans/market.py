@@ -62,12 +62,48 @@ J4 = """SELECT market, key_type, raw_key, on_date, arg_min(security_id, valid_fr
     FROM (SELECT country AS market, 'ticker' AS key_type, 'T' || k AS raw_key, as_of_date AS on_date FROM securities, schedule) LEFT JOIN master USING (market, key_type, raw_key) GROUP BY ALL"""
 
 
+def _stretched(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of ids that end in 0 reach into later ones, and every window of ids that end in 5 has short ones inside."""
+    w = V.constituents(spark, sf).select("universe", "security_id", "effective_from", "effective_to")
+    long = w.withColumn("effective_to", F.when(F.col("security_id").endswith("0") & F.col("effective_to").isNotNull(), F.lit("2000-08-01").cast("date")).otherwise(F.col("effective_to")))
+    day = lambda n: F.date_add("effective_from", n)
+    inner = w.where("security_id like '%5'").select("universe", "security_id", F.explode(F.array(*[F.struct(day(a).alias("a"), day(b).alias("b")) for a, b in ((10, 12), (20, 30), (25, 27))])).alias("x"))
+    return long.unionByName(inner.select("universe", "security_id", F.col("x.a").alias("effective_from"), F.col("x.b").alias("effective_to")))
+
+
 def j5_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    """With windows of ids that end in 0 stretched into the next ones."""
-    w = V.constituents(spark, sf)
-    day = F.lit("2000-08-01").cast("date")
-    stretched = w.withColumn("effective_to", F.when(F.col("security_id").endswith("0") & F.col("effective_to").isNotNull(), day).otherwise(F.col("effective_to")))
-    return temporal.overlaps(stretched, ["universe", "security_id"]).select("universe", "security_id", "effective_from", "previous_end")
+    """Every window that overlaps one ahead of it, neighbours or not."""
+    return temporal.overlaps(_stretched(spark, sf), ["universe", "security_id"]).select("universe", "security_id", "effective_from", F.col("effective_to"), "previous_start", "previous_end")
+
+
+def j5_key_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the keys of the security master, where every fourteenth ticker passes on before its window has ended."""
+    m = temporal.security_master(_map_rows(spark, sf)).withColumn("valid_to", F.when(F.col("raw_key").endswith("4") & F.col("valid_to").isNotNull(), F.lit("1998-12-31").cast("date")).otherwise(F.col("valid_to")))
+    return temporal.overlaps(m, ["market", "key_type", "raw_key"], "valid_from", "valid_to").select("market", "key_type", "raw_key", "security_id", "valid_from", "previous_start", "previous_end")
+
+
+def _pairs(src: str, keys: str, start: str, end: str, shown: str) -> str:
+    """All pairs of windows of a key: the furthest of those ahead of each, where it reaches it."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    ahead = f"(b.{start}, coalesce(b.{end}, DATE '9999-12-31')) < (a.{start}, coalesce(a.{end}, DATE '9999-12-31'))"
+    cols = ", ".join(f"a.{c}" for c in shown.split(", "))
+    return f"SELECT {cols}, max((coalesce(b.{end}, DATE '9999-12-31'), b.{start}))[2] AS previous_start, max((coalesce(b.{end}, DATE '9999-12-31'), b.{start}))[1] AS previous_end FROM {src} a JOIN {src} b ON {on} AND {ahead} GROUP BY ALL HAVING a.{start} <= max(coalesce(b.{end}, DATE '9999-12-31'))"
+
+
+STRETCHED = """SELECT universe, security_id, effective_from, CASE WHEN security_id LIKE '%0' AND effective_to IS NOT NULL THEN DATE '2000-08-01' ELSE effective_to END AS effective_to FROM constituents
+    UNION ALL SELECT universe, security_id, effective_from + x[1], effective_from + x[2] FROM (SELECT *, unnest([[10, 12], [20, 30], [25, 27]]) AS x FROM constituents WHERE security_id LIKE '%5')"""
+MASTER_LONG = "SELECT * REPLACE (CASE WHEN raw_key LIKE '%4' AND valid_to IS NOT NULL THEN DATE '1998-12-31' ELSE valid_to END AS valid_to) FROM master"
+
+
+def j6_asof_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The exchange rate of every line item's day: one key for all rows, dealt into ranges."""
+    days = V.table(spark, sf, "lineitem").select(F.lit("USD/KRW").alias("pair"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").cast("date").alias("d"))
+    fx = V.fx(spark, sf).where("dayofmonth(fx_date) % 5 = 0")
+    got = temporal.asof_backward(days, fx, ["pair"], "d", "fx_date", ["rate"], ranges=16)
+    return got.groupBy("d", "asof_date").agg(F.count("*").alias("n"), F.sum("k").alias("orders"), F.round(F.max("rate"), 6).alias("rate"))
+
+
+J6_RANGES = "SELECT d, fx_date AS asof_date, count(*) AS n, sum(k)::BIGINT AS orders, round(max(rate), 6) AS rate FROM (SELECT l_orderkey AS k, l_shipdate::DATE AS d FROM lineitem) ASOF LEFT JOIN (SELECT * FROM fx WHERE pair = 'USD/KRW' AND day(fx_date) % 5 = 0) f ON f.fx_date <= d GROUP BY ALL"
 
 
 def c7_window_errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,7 +334,7 @@ def f12_fx_grid(spark: SparkSession, sf: str) -> DataFrame:
 F12 = """SELECT required_date, round(k.rate, 6) AS usd_krw, round(j.rate, 6) AS usd_jpy FROM required ASOF LEFT JOIN (SELECT * FROM fx WHERE pair = 'USD/KRW') k ON k.fx_date <= required_date ASOF LEFT JOIN (SELECT * FROM fx WHERE pair = 'USD/JPY') j ON j.fx_date <= required_date"""
 
 _ALL = [
-    j1_membership_asof, j2_month_end_membership, j3_security_master, j4_resolve_security, j5_overlaps, c7_window_errors, j6_asof_backward, j7_asof_exact, j8_trading_day_adjust,
+    j1_membership_asof, j2_month_end_membership, j3_security_master, j4_resolve_security, j5_overlaps, j5_key_overlaps, c7_window_errors, j6_asof_backward, j6_asof_ranges, j7_asof_exact, j8_trading_day_adjust,
     v1_rebalance_schedule, v3_required_dates, w11_period_pairs, v4_walkforward_folds, v5_leaking_folds, a21_duplicate_rates, f1_rate_previous, f2_f4_return_parts, f5_amount_to_krw,
     f6_price_to_krw, f7_benchmark_select, f8_proxy_quality, f9_benchmark_return, f10_source_priority, f11_price_grid, f12_fx_grid,
 ]
@@ -308,7 +344,9 @@ SQL = {
     "j2_month_end_membership": oracle(J2),
     "j3_security_master": oracle(MASTER, {"map_rows": MAP_ROWS}),
     "j4_resolve_security": oracle(J4, {"map_rows": MAP_ROWS, "master": MASTER}),
-    "j5_overlaps": oracle("SELECT a.universe, a.security_id, a.effective_from, DATE '2000-08-01' AS previous_end FROM constituents a JOIN constituents b ON a.universe = b.universe AND a.security_id = b.security_id AND b.effective_from < a.effective_from WHERE suffix(a.security_id, '0')"),
+    "j5_overlaps": oracle(_pairs("stretched", "universe, security_id", "effective_from", "effective_to", "universe, security_id, effective_from, effective_to"), {"stretched": STRETCHED}),
+    "j5_key_overlaps": oracle(_pairs("long", "market, key_type, raw_key", "valid_from", "valid_to", "market, key_type, raw_key, security_id, valid_from"), {"map_rows": MAP_ROWS, "master": MASTER, "long": MASTER_LONG}),
+    "j6_asof_ranges": oracle(J6_RANGES),
     "c7_window_errors": oracle(C7),
     "j6_asof_backward": oracle(J6),
     "j7_asof_exact": oracle(J7),

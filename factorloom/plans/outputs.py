@@ -177,15 +177,16 @@ F12 = "SELECT required_date, benchmark_date, close, CASE WHEN close IS NOT NULL
 
 
 def l1_marked_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Holdings of the quarter before at this quarter's prices, for each country; some have none."""
+    """Each country's holdings of the quarter before at this quarter's prices; some have none."""
     before, now = research.step_positions(spark, sf)
     cash = before.select("country", "as_of_date").distinct().withColumn("cash", F.lit(1000.0))
-    got = ledger.mark(before.withColumn("portfolio", F.concat_ws("/", "country", F.col("as_of_date").cast("string"))), cash.withColumn("portfolio", F.concat_ws("/", "country", F.col("as_of_date").cast("string"))).drop("country", "as_of_date"), now.where("as_of_date = last_day(add_months(date'2000-01-01', 2))").drop("as_of_date"), ["portfolio"])
-    return got.select("portfolio", "security_id", F.round("value", 2).alias("value"), F.round("nav", 2).alias("nav"), "missing_price")
+    prices = now.where("security_id not like '%7'")
+    got = ledger.mark(before, cash, prices, ["country", "as_of_date"], dates=["as_of_date"])
+    return got.select("country", "as_of_date", "security_id", F.round("value", 2).alias("value"), F.round("nav", 2).alias("nav"), "missing_price")
 
 
-L1 = """SELECT country || '/' || d AS portfolio, security_id, round(quantity * coalesce(n.price, 0), 2) AS value, round(1000 + sum(quantity * coalesce(n.price, 0)) OVER (PARTITION BY country, d), 2) AS nav, n.price IS NULL AS missing_price
-    FROM (SELECT country, last_day(d + INTERVAL 3 MONTH) AS d, wp.security_id, 1e6 * w / price AS quantity FROM wp JOIN closes c ON c.security_id = wp.security_id AND c.q = d) b LEFT JOIN (SELECT * FROM closes WHERE q = DATE '2000-03-31') n USING (security_id)"""
+L1 = """SELECT country, d AS as_of_date, security_id, round(quantity * coalesce(n.price, 0), 2) AS value, round(1000 + sum(quantity * coalesce(n.price, 0)) OVER (PARTITION BY country, d), 2) AS nav, n.price IS NULL AS missing_price
+    FROM (SELECT country, last_day(d + INTERVAL 3 MONTH) AS d, wp.security_id, 1e6 * w / price AS quantity FROM wp JOIN closes c ON c.security_id = wp.security_id AND c.q = d) b LEFT JOIN (SELECT security_id, q AS d, price FROM closes WHERE security_id NOT LIKE '%7') n USING (security_id, d)"""
 
 
 def l5_l6_rolled_holdings(spark: SparkSession, sf: str) -> DataFrame:

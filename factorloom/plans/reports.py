@@ -18,11 +18,11 @@ def periods(spark: SparkSession, sf: str) -> DataFrame:
     own = p.groupBy(F.col("country").alias("market"), "q").agg(F.avg("close").alias("m"))
     whole = p.groupBy("q").agg(F.avg("close").alias("b"))
     w = Window.partitionBy("market").orderBy("q")
-    r = own.join(whole, "q").select("market", F.lag("q").over(w).alias("start_date"), F.col("q").alias("end_date"), (F.col("m") / F.lag("m").over(w) - 1).alias("net_return"), (F.col("b") / F.lag("b").over(w) - 1).alias("benchmark_return"))
+    r = own.join(whole, "q").select("market", F.col("m").alias("level"), F.lag("q").over(w).alias("start_date"), F.col("q").alias("end_date"), (F.col("m") / F.lag("m").over(w) - 1).alias("net_return"), (F.col("b") / F.lag("b").over(w) - 1).alias("benchmark_return"))
     return r.where("start_date is not null").withColumn("gross_return", F.col("net_return") + 0.001)
 
 
-PERIODS = """SELECT market, start_date, end_date, net_return, net_return + 0.001::DOUBLE AS gross_return, benchmark_return FROM (SELECT market, lag(q) OVER w AS start_date, q AS end_date, m / lag(m) OVER w - 1 AS net_return, b / lag(b) OVER w - 1 AS benchmark_return
+PERIODS = """SELECT market, level, start_date, end_date, net_return, net_return + 0.001::DOUBLE AS gross_return, benchmark_return FROM (SELECT market, m AS level, lag(q) OVER w AS start_date, q AS end_date, m / lag(m) OVER w - 1 AS net_return, b / lag(b) OVER w - 1 AS benchmark_return
     FROM (SELECT country AS market, last_day(date_trunc('quarter', price_date)::DATE + INTERVAL 2 MONTH) AS q, avg(close) AS m FROM prices GROUP BY ALL) JOIN (SELECT last_day(date_trunc('quarter', price_date)::DATE + INTERVAL 2 MONTH) AS q, avg(close) AS b FROM prices GROUP BY ALL) USING (q) WINDOW w AS (PARTITION BY market ORDER BY q)) WHERE start_date IS NOT NULL"""
 
 
@@ -38,12 +38,26 @@ GROWTH = """SELECT *, growth / peak - 1 AS drawdown FROM (SELECT *, greatest(1,
 
 
 def r3_a20_run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    s = report.run_summary(periods(spark, sf), ["market"])
-    return s.select("market", "periods", *[F.round(c, 6).alias(c) for c in ("net", "benchmark", "max_drawdown", "positive_ratio", "net_annualised", "benchmark_annualised", "alpha")])
-
-
-R3 = """SELECT market, periods, round(net, 6) AS net, round(benchmark, 6) AS benchmark, round(max_drawdown, 6) AS max_drawdown, round(positive_ratio, 6) AS positive_ratio, round(pow(1 + net, 4 / periods) - 1, 6) AS net_annualised, round(pow(1 + benchmark, 4 / periods) - 1, 6) AS benchmark_annualised, round(pow(1 + net, 4 / periods) - pow(1 + benchmark, 4 / periods), 6) AS alpha
-    FROM (SELECT market, count(*) AS periods, product(1 + net_return) - 1 AS net, product(1 + benchmark_return) - 1 AS benchmark, min(drawdown) AS max_drawdown, avg((net_return > 0)::INT) AS positive_ratio FROM growth GROUP BY market)"""
+    """Of each market, with costs in parts of its level, the spread of its three best names over the others, and what its universe rejects."""
+    p = periods(spark, sf).withColumns({"total": F.col("level") * 0.001, "slippage": F.col("level") * 0.0006, "sell_tax": F.col("level") * 0.0004})
+    top = F.col("rank_in_country") <= 3
+    rows = research.factor_rows(spark, sf).where("rank_in_country is not null")
+    spread = F.avg(F.when(top, F.col("factor_value"))) - F.avg(F.when(~top, F.col("factor_value")))
+    spreads = rows.groupBy(F.col("country").alias("market"), "as_of_date").agg(spread.alias("spread"))
+    universe = research.assembled(spark, sf).groupBy(F.substring("security_id", 1, 2).alias("market"), "as_of_date").agg(F.count_if(F.size("reasons") > 0).alias("out"), F.count_if(F.size("reasons") == 0).alias("n"))
+    checks = universe.groupBy("market").agg(F.count_if(F.col("n") < 3).alias("fallback_count"), F.sum("out").alias("rejected_candidates"))
+    s = report.run_summary(p, ["market"], spreads, checks)
+    shown = ["years", "net", "gross", "benchmark", "active", "max_drawdown", "active_positive_ratio", "net_annualised", "benchmark_annualised", "alpha", "total_sum", "slippage_sum", "sell_tax_sum", "mean_spread"]
+    return s.select("market", "periods", "active_positive_quarters", "positive_spreads", "spreads", "fallback_count", "rejected_candidates", *[F.round(c, 6).alias(c) for c in shown])
+
+
+R3 = """SELECT market, periods, active_positive_quarters, coalesce(positive_spreads, 0) AS positive_spreads, coalesce(spreads, 0) AS spreads, fallback_count, rejected_candidates::BIGINT AS rejected_candidates, round(periods / 4, 6) AS years, round(net, 6) AS net, round(gross, 6) AS gross, round(benchmark, 6) AS benchmark, round(net - benchmark, 6) AS active, round(max_drawdown, 6) AS max_drawdown,
+    round(active_positive_quarters / periods, 6) AS active_positive_ratio, round(pow(1 + net, 4 / periods) - 1, 6) AS net_annualised, round(pow(1 + benchmark, 4 / periods) - 1, 6) AS benchmark_annualised, round(pow(1 + net, 4 / periods) - pow(1 + benchmark, 4 / periods), 6) AS alpha,
+    round(levels * 0.001::DOUBLE, 6) AS total_sum, round(levels * 0.0006::DOUBLE, 6) AS slippage_sum, round(levels * 0.0004::DOUBLE, 6) AS sell_tax_sum, round(mean_spread, 6) AS mean_spread
+    FROM (SELECT market, count(*) AS periods, product(1 + net_return) - 1 AS net, product(1 + gross_return) - 1 AS gross, product(1 + benchmark_return) - 1 AS benchmark, min(drawdown) AS max_drawdown, count(*) FILTER (WHERE net_return > benchmark_return) AS active_positive_quarters, sum(level) AS levels FROM growth GROUP BY market)
+    LEFT JOIN (SELECT country AS market, count(*) FILTER (WHERE spread > 0) AS positive_spreads, count(spread) AS spreads, avg(spread) AS mean_spread FROM (
+        SELECT country, as_of_date, avg(factor_value) FILTER (WHERE rank_in_country <= 3) - avg(factor_value) FILTER (WHERE rank_in_country > 3) AS spread FROM (SELECT *, row_number() OVER (PARTITION BY as_of_date, country ORDER BY factor_value DESC, security_id) AS rank_in_country FROM factors) GROUP BY ALL) GROUP BY ALL) USING (market)
+    LEFT JOIN (SELECT market, count(*) FILTER (WHERE n < 3) AS fallback_count, sum(o) AS rejected_candidates FROM (SELECT security_id[1:2] AS market, as_of_date, count(*) FILTER (WHERE reasons = '') AS n, count(*) FILTER (WHERE reasons <> '') AS o FROM pit GROUP BY ALL) GROUP BY ALL) USING (market)"""
 
 
 def r1_attribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,6 +81,23 @@ V6 = """SELECT fold_index, market, n, round(p, 6) AS portfolio, round(b, 6) AS b
     FROM (SELECT *, start_date >= a AND end_date <= b AS hit FROM periods, (SELECT i AS f, (DATE '1997-06-30' + to_years(i::INT))::DATE AS a, ((DATE '1997-06-30' + to_years(i::INT + 1))::DATE - 1) AS b FROM range(0, 4) r(i))) GROUP BY ALL)"""
 
 
+def v6_fold_callback(spark: SparkSession, sf: str) -> DataFrame:
+    """A function of the user's over all folds: the information ratio and hit rate of each market's active returns in the test years."""
+    dates = V.days(spark, sf).select(F.col("d").alias("as_of_date"))
+    folds = temporal.walkforward_folds(dates, "1995-06-30", "2001-10-31", train=2, test=1)
+
+    def ratio(inside: DataFrame) -> DataFrame:
+        active = F.col("net_return") - F.col("benchmark_return")
+        each = inside.groupBy("fold_index", "market").agg(F.count("*").alias("n"), F.avg(active).alias("mean"), F.stddev_samp(active).alias("spread"), F.avg((active > 0).cast("double")).alias("hits"))
+        return each.select("fold_index", "market", "n", F.round(2 * F.col("mean") / F.nullif("spread", F.lit(0.0)), 5).alias("information_ratio"), F.round("hits", 6).alias("hits"))
+
+    return report.over_folds(folds, periods(spark, sf), "end_date", ratio, "market string, n long, information_ratio double, hits double")
+
+
+V6_CALLBACK = """SELECT f::INT AS fold_index, market, count(*) AS n, round(2 * avg(x) / nullif(stddev_samp(x), 0), 5) AS information_ratio, round(avg((x > 0)::INT), 6) AS hits FROM (SELECT *, net_return - benchmark_return AS x FROM periods)
+    JOIN (SELECT i AS f, (DATE '1997-06-30' + to_years(i::INT))::DATE AS a, ((DATE '1997-06-30' + to_years(i::INT + 1))::DATE - 1) AS b FROM range(0, 4) r(i)) ON end_date BETWEEN a AND b GROUP BY ALL"""
+
+
 def a14_rd_coverage(spark: SparkSession, sf: str) -> DataFrame:
     expected = V.securities(spark, sf).select("country", "security_id")
     observed = V.fundamentals(spark, sf).where("rd_expense > 150000 and year(period_end) = 1998 and quarter(period_end) = 2")
@@ -150,12 +181,21 @@ def q2_data_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q4_policy_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers' balances as limits of portfolios."""
-    s = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("portfolio_id"), (F.col("s_acctbal") / 20000).alias("max_single"), F.lit(0.05).alias("te_cap"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") / 5000).alias("max_turnover"), F.lit(0.1).alias("adv_participation"))
-    return report.policy_alignment(s)
+    """Suppliers as runs: their keys choose models and options, their balances limits, some of which are off."""
+    k = F.col("s_suppkey")
+    models = F.array(*[F.lit(m) for m in [*report.DENOMINATORS, "book_to_price"]])
+    config = V.table(spark, sf, "supplier").select(
+        k.alias("portfolio_id"), F.element_at(models, (k % 6 + 1).cast("int")).alias("factor_model"), (F.col("s_acctbal") / 20000).alias("sector_active_band"), (k % 4 != 0).alias("size_stratification"), F.when(k % 9 != 0, 0.05).alias("te_active_l2_cap"),
+        (F.lit(0.1) * (k % 10)).alias("max_adv_participation"), (F.col("s_acctbal") / 5000).alias("max_turnover"), (k % 7 != 0).alias("staggered_sleeves"), (k % 5).alias("sleeve_count"),
+        F.when(k % 3 == 0, "start_date").otherwise("quarter_end").alias("anchor_requested"), F.lit("quarter_end").alias("anchor_effective"), F.when(k % 11 != 0, k % 2 == 0).alias("phase_lock_quarter_end"),
+    )
+    return report.policy_alignment(config, ["portfolio_id"])
 
 
-Q4 = """SELECT k AS portfolio_id, unnest(['max_single', 'te_cap', 'max_turnover', 'adv_participation']) AS rule, unnest([CASE WHEN b <= 0 THEN 'warning' WHEN b / 20000 > 0.25::DOUBLE THEN 'fail' ELSE 'pass' END, 'pass', CASE WHEN k % 2 <> 0 OR b <= 0 THEN 'warning' WHEN b / 5000 > 1 THEN 'fail' ELSE 'pass' END, 'pass']) AS status FROM (SELECT s_suppkey AS k, s_acctbal AS b FROM supplier)"""
+Q4 = """SELECT k AS portfolio_id, ['sales_ttm', 'sales_size_proxy', 'mktcap_proxy', 'ev_proxy', 'robust_composite', 'unknown'][k % 6 + 1] AS denominator,
+    unnest(['model_in_rd_family', 'benchmark_relative_sector_band_enabled', 'size_stratification_enabled', 'te_constraint_enabled', 'adv_participation_constraint_enabled', 'turnover_constraint_enabled', 'staggered_sleeves_enabled', 'phase_lock_workaround_used']) AS rule,
+    unnest([CASE WHEN k % 6 = 5 THEN 'fail' ELSE 'pass' END, CASE WHEN b > 0 THEN 'pass' ELSE 'fail' END, CASE WHEN k % 4 = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN k % 9 = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN k % 10 = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN b > 0 THEN 'pass' ELSE 'fail' END,
+        CASE WHEN k % 7 = 0 OR k % 5 < 2 THEN 'fail' ELSE 'pass' END, CASE WHEN k % 3 = 0 AND k % 2 = 0 AND k % 11 <> 0 THEN 'warning' ELSE 'pass' END]) AS status FROM (SELECT s_suppkey AS k, s_acctbal AS b FROM supplier)"""
 
 
 def q5_status_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,15 +206,16 @@ def p6_accepted_by_country(spark: SparkSession, sf: str) -> DataFrame:
     return pit.accepted(research.assembled(spark, sf)).groupBy("as_of_date", "country").agg(F.count("*").alias("n"), F.round(F.sum("rd_expense"), 2).alias("rd"))
 
 
-_ALL = [a15_compound_returns, w9_growth_and_drawdown, r3_a20_run_summary, r1_attribution, v6_fold_metrics, a14_rd_coverage, a17_latest_holdings, a18_factor_integrity, a19_integrity_summary, j15_market_alignment, j16_frame_diff, j17_baseline_deltas, q1_non_finite, q2_data_quality, q4_policy_alignment, q5_status_rollup, p6_accepted_by_country]
+_ALL = [a15_compound_returns, w9_growth_and_drawdown, r3_a20_run_summary, r1_attribution, v6_fold_metrics, v6_fold_callback, a14_rd_coverage, a17_latest_holdings, a18_factor_integrity, a19_integrity_summary, j15_market_alignment, j16_frame_diff, j17_baseline_deltas, q1_non_finite, q2_data_quality, q4_policy_alignment, q5_status_rollup, p6_accepted_by_country]
 QUERIES = {f.__name__: f for f in _ALL}
 _P, _F = {"periods": PERIODS, "growth": GROWTH}, {**research.PIT, "factors": research.FACTOR, "flagged": A18_CTE}
 SQL = {
     "a15_compound_returns": oracle("SELECT market, year(end_date)::INT AS y, round(product(1 + net_return) - 1, 6) AS net, round(product(1 + benchmark_return) - 1, 6) AS benchmark FROM periods GROUP BY ALL", _P),
     "w9_growth_and_drawdown": oracle("SELECT market, end_date, round(growth, 6) AS growth, round(peak, 6) AS peak, round(drawdown, 6) AS drawdown FROM growth", _P),
-    "r3_a20_run_summary": oracle(R3, _P),
+    "r3_a20_run_summary": oracle(R3, {**_P, **_F}),
     "r1_attribution": oracle(R1, {**_P, "usd": "SELECT * FROM fx WHERE pair = 'USD/KRW' AND (month(fx_date) <> 6 OR year(fx_date) <> 1999)"}),
     "v6_fold_metrics": oracle(V6, _P),
+    "v6_fold_callback": oracle(V6_CALLBACK, _P),
     "a14_rd_coverage": oracle(A14),
     "a17_latest_holdings": oracle(A17),
     "a18_factor_integrity": oracle(A18, _F),

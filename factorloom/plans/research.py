@@ -93,6 +93,12 @@ def w3_winsorize(spark: SparkSession, sf: str) -> DataFrame:
     return f.where("factor_value is not null").select("period_end", "security_id", F.round("factor_value", 8).alias("factor_value"))
 
 
+def w3_winsorize_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same bounds by counts of ranges, without a buffer that grows with a group."""
+    f = factor.winsorize(factor.rnd_sales_factor(V.fundamentals(spark, sf)), ["period_end"], low=0.1, high=0.9, by_ranges=True)
+    return f.where("factor_value is not null").select("period_end", "security_id", F.round("factor_value", 8).alias("factor_value"))
+
+
 W3 = """SELECT period_end, security_id, round(least(greatest(f, quantile_cont(f, 0.1) OVER w), quantile_cont(f, 0.9) OVER w), 8) AS factor_value FROM (SELECT *, rd_expense / sales_ttm AS f FROM fundamentals WHERE rd_expense IS NOT NULL AND sales_ttm > 0) WINDOW w AS (PARTITION BY period_end)"""
 
 
@@ -381,7 +387,7 @@ def _recursive(body: str, more: dict[str, str] = {"bench": BENCH, "schedule_rate
 
 
 _ALL = [
-    p1_assemble_universe, p3_pit_violations, p6_rejection_counts, a1_median_traded_value, w1_pit_select, rank_by_country, g1_factor_eligibility, w3_winsorize, g2_raw_metrics, w4_w7_scores,
+    p1_assemble_universe, p3_pit_violations, p6_rejection_counts, a1_median_traded_value, w1_pit_select, rank_by_country, g1_factor_eligibility, w3_winsorize, w3_winsorize_ranges, g2_raw_metrics, w4_w7_scores,
     a5_sector_weights, g3_seed_rows, g5_proportional_quotas, g6_quota_bounds, g9_qepm_rank, h1_h2_selection, h8_capped_allocation, h14_portfolios, h11_h12_diagnostics, h10_turnover_step, w10_sleeve_blend,
     h14_turnover_portfolios, h12_turnover_diagnostics, h11_country_diagnostics, l8_ledger_periods, a16_run_metrics, l1_l6_ledger_step,
 ]
@@ -395,6 +401,7 @@ SQL = {
     "rank_by_country": oracle(RANKED, {**PIT, "factors": FACTOR}),
     "g1_factor_eligibility": oracle("SELECT country, CASE WHEN rd_expense IS NULL THEN 'MISSING_RD_EXPENSE' WHEN sales_ttm <= 0 THEN 'NON_POSITIVE_SALES_TTM' ELSE 'ELIGIBLE' END AS eligibility_reason, count(*) AS n, round(sum(CASE WHEN rd_expense IS NOT NULL AND sales_ttm > 0 THEN rd_expense / sales_ttm END), 4) AS sum_factor FROM fundamentals GROUP BY ALL"),
     "w3_winsorize": oracle(W3),
+    "w3_winsorize_ranges": oracle(W3),
     "g2_raw_metrics": oracle("SELECT as_of_date, model, country, count(*) AS n, round(ln(sum(raw)), 6) AS log_sum FROM raws GROUP BY ALL", {**PIT, **SCORES}),
     "w4_w7_scores": oracle("SELECT as_of_date, model, security_id, size_bucket, round(sector_z, 5) AS sector_z, round(size_z, 5) AS size_z, round(score, 5) AS score FROM scores", {**PIT, **SCORES}),
     "a5_sector_weights": oracle("SELECT as_of_date, country, sector, round(l / sum(l) OVER (PARTITION BY as_of_date, country), 6) AS weight FROM (SELECT as_of_date, country, sector, sum(liq) AS l FROM base WHERE reasons = '' GROUP BY ALL)", {**PIT, **SCORES}),
