@@ -3,7 +3,7 @@
 Lines are cut further where a sentence ends, as shared passages are often pasted inside a line, and long sentences at
 places that the words around them choose, so that a passage is cut the same way whatever stands before and after it in
 its sentence. Units are normalised and digested; Spark groups the digests of all documents. The document with the
-smallest id keeps a unit, at its first place; everywhere else it goes. Adjacent units that go make a span. Spans keep
+smallest id, or of several rows with it the first, keeps a unit, at its first place; everywhere else it goes. Adjacent units that go make a span. Spans keep
 their places in the original text, and the texts come back without them.
 """
 
@@ -139,9 +139,11 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, span_words: int, how:
     cut = written(numbered.select(F.col(rid).alias("rid"), _rank(id_col).alias("rank"), text.alias("text")).mapInArrow(_cut, _SCHEMA), "units")
     # a digest that fills a third of all units is summed before it is dealt out; owners are a table, so that both sides
     # of the join are dealt for it alone and adaptive execution may split such a digest's rows
-    owners = cut.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("rank").alias("owner")).where("n_docs > 1")
-    owners = written(owners.select("h1", "h2", "owner"), "owners")
-    gone = cut.join(owners, ["h1", "h2"], "left").where("again or rank > owner").select("rid", F.struct("unit", F.coalesce("owner", "rank").alias("owner")).alias("gone"))
+    owners = cut.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("n_rows"), F.min(F.struct("rank", "rid")).alias("owner")).where("n_rows > 1")
+    owners = written(owners.select("h1", "h2", F.col("owner.rank").alias("owner"), F.col("owner.rid").alias("owner_rid")), "owners")
+    shared = cut.join(owners, ["h1", "h2"]).where("again or rank > owner or rank = owner and rid > owner_rid").select("rid", "unit", "owner")
+    alone = cut.where("again").join(owners, ["h1", "h2"], "left_anti").select("rid", "unit", F.col("rank").alias("owner"))
+    gone = shared.union(alone).select("rid", F.struct("unit", "owner").alias("gone"))
     units_gone, told = spare_name(numbered, "gone"), spare_name(numbered, "told")
     by_row = gone.groupBy("rid").agg(F.collect_list("gone").alias(units_gone)).withColumnRenamed("rid", rid)
     # called non-deterministic so that a filter on its result doesn't make Spark run it twice
@@ -157,9 +159,9 @@ def _spans(told: str, id_col: str) -> Column:
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 1, rid: str | None = None) -> DataFrame:
     """A row for each document that loses a span: its id, text without its repeated spans, and spans, with start and stop in code points of the original text, n_words, n_units and keep_id, the least id that keeps a unit of it.
 
-    Null and empty texts have no units. Long texts are read whole. A null id ranks last. Ids are whole numbers. Rows that
-    share an id don't take units from each other, but repeats within a row go. Other columns may have any names; an
-    empty table gives an empty one. rid: a column of whole numbers that tells rows apart and is the same whenever docs
+    Null and empty texts have no units. Long texts are read whole. Ids are whole numbers; a null id ranks last, and of rows
+    that share an id, or have none, the first in the table keeps a unit. Repeats within a row go. Other columns may have
+    any names; an empty table gives an empty one. rid: a column of whole numbers that tells rows apart and is the same whenever docs
     is read; without it docs is written with numbers."""
     found, told = _cleaned(docs.select(*[F.col(f"`{c}`") for c in (id_col, text_col, rid) if c]), id_col, text_col, span_words, "inner", rid)
     return found.where(F.size(f"{told}.spans") > 0).select(F.col(f"`{id_col}`"), F.col(f"{told}.text").alias(text_col), _spans(told, id_col).alias("spans"))

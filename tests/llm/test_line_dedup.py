@@ -45,7 +45,7 @@ def slow_units(text):
 
 def brute(rows, span_words):
     """Owners by a dictionary over all units; rows: (id, text)."""
-    each = [(i, (i is None, i or 0), [(a, b, len(w), " ".join(w)) for a, b, w in slow_units(t)]) for i, t in rows]
+    each = [(i, (i is None, i or 0, n), [(a, b, len(w), " ".join(w)) for a, b, w in slow_units(t)]) for n, (i, t) in enumerate(rows)]
     owner, docs = {}, {}
     for n, (i, rank, us) in enumerate(each):
         for *_, d in us:
@@ -90,6 +90,14 @@ def test_spans_are_those_of_brute_force(spark):
         assert spans(df, span_words=least) == brute(rows, least)
 
 
+def test_rows_of_one_id_or_without_take_units_from_each_other(spark):
+    line = "The same line of more than a few words is here again and again"
+    rows = [(1, line), (1, line + "\nbut this is not"), (None, "No id has this line of its own"), (None, "No id has this line of its own"), (2, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert spans(df) == brute(rows, 1)
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in L.cleaned(df).collect()) == [("1", "\nbut this is not"), ("2", ""), ("None", "")]
+
+
 def test_a_passage_inside_lines_is_found_and_cut(spark):
     passage = " ".join(f"Sentence number {i} says its own word w{i} here and now." for i in range(8))
     rows = [(1, "first text " + passage + " tail one"), (2, "clean text. It has its own words only."), (3, "other words\nbefore " + passage + "\nand behind")]
