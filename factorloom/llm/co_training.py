@@ -25,6 +25,8 @@ from .sums import summed_arrays
 
 #: Buckets of a view's features, of which the first are for measures; rounds, and how sure a view must be to teach the other.
 BUCKETS, MEASURES, ROUNDS, SURE = 1 << 16, 1 << 12, 3, 0.95
+#: Labelled rows that the views learn from, about, chosen by a hash of their ids.
+MAX_LABELLED = 50_000
 VIEWS = ("text", "page")
 #: Documents that a feature is taken to be in besides those seen, in the classes' usual shares.
 PRIOR_DOCUMENTS = 1.0
@@ -84,13 +86,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), text, page], ["doc_id", "text", "page"])
 
 
-def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, packed features of both views, label (null if unknown) and whether the row calibrates. labels: doc_id, quality; of several for an id the least counts."""
+def features(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, packed features of both views, label (null if unknown) and whether the row calibrates. labels: doc_id, quality; of several for an id the least counts.
+
+    Beyond max_labelled labelled ids a hash chooses about so many, and the others are rows without a label: so labels are
+    broadcast, and the features, which are many times as large, are not shuffled to meet them."""
     slim = docs.select("doc_id", F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
     made = slim.mapInArrow(_featured, slim.select("doc_id").schema.add("text", "binary").add("page", "binary"))
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    known = written(known, "labelled")
+    if (n := known.count()) > max_labelled:
+        known = known.where(F.pmod(F.xxhash64(F.lit("labelled"), "doc_id"), F.lit(1 << 32)) < int((1 << 32) * max_labelled / n))
     checks = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(5)) == 0
-    return made.join(known, "doc_id", "left").withColumn("checks", F.col("label").isNotNull() & checks)
+    return made.join(F.broadcast(known), "doc_id", "left").withColumn("checks", F.col("label").isNotNull() & checks)
 
 
 class View:

@@ -137,3 +137,11 @@ def test_the_query_over_a_table(spark):
     held = [(r["score"], quality[r["doc_id"]]) for r in got if r["doc_id"] in checks]
     good, bad = [s for s, q in held if q], [s for s, q in held if not q]
     assert good and bad and sum((g > b) + (g == b) / 2 for g in good for b in bad) > 0.97 * len(good) * len(bad)
+
+
+def test_a_hash_chooses_about_so_many_labelled_rows(spark):
+    docs = spark.createDataFrame([(i, f"w{i} same words", "s", "en", 9) for i in range(2000)], "doc_id long, text string, source string, lang string, n_chars int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    few = C.features(docs, labels, max_labelled=500)
+    assert few.count() == 2000 and 400 < few.where("label is not null").count() < 600
+    assert C.features(docs, labels).where("label is not null").count() == 2000
