@@ -166,6 +166,30 @@ def non_finite_counts(df: DataFrame) -> DataFrame:
     return one.unpivot([], numeric, "column_name", "n")
 
 
+def _not_finite(kind: T.DataType) -> list[tuple[str, Callable[[Column], Column]]]:
+    """For each number with a fraction that a type holds: its path, and how many of a value's are not finite. [] stands for elements, {} for a map's values, {key} for its keys."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return [("", lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))]
+    each = lambda of: lambda values: F.coalesce(F.aggregate(values, F.lit(0).cast("long"), lambda n, x: n + of(x)), F.lit(0).cast("long"))
+    if isinstance(kind, T.StructType):
+        return [(f".{f.name}{path}", lambda c, name=f.name, of=of: of(c.getField(name))) for f in kind.fields for path, of in _not_finite(f.dataType)]
+    if isinstance(kind, T.ArrayType):
+        return [(f"[]{path}", each(of)) for path, of in _not_finite(kind.elementType)]
+    if isinstance(kind, T.MapType):
+        keys = [(f"{{key}}{path}", lambda c, of=of: each(of)(F.map_keys(c))) for path, of in _not_finite(kind.keyType)]
+        return keys + [(f"{{}}{path}", lambda c, of=of: each(of)(F.map_values(c))) for path, of in _not_finite(kind.valueType)]
+    return []
+
+
+def nested_non_finite(df: DataFrame) -> DataFrame:
+    """(path, n): NaN and infinite values of every number with a fraction, in structs, arrays and maps of any depth. Expressions made from the schema, summed in one pass."""
+    leaves = [(f"{f.name}{path}", of(F.col(f"`{f.name}`"))) for f in df.schema.fields for path, of in _not_finite(f.dataType)]
+    if not leaves:
+        return df.sparkSession.createDataFrame([], "path string, n long")
+    one = df.agg(F.array(*[F.struct(F.lit(path).alias("path"), F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("n")) for path, n in leaves]).alias("each"))
+    return one.select(F.inline("each"))
+
+
 def data_quality(counts: dict[str, DataFrame]) -> DataFrame:
     """For each named output its rows and status: an empty output fails."""
     parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("output"), "rows") for name, df in counts.items()]

@@ -321,6 +321,29 @@ S3 = """SELECT replace(security_id, ':', '.') AS ticker, replace(security_id, ':
     WHERE NOT (month(price_date) = 7 AND day(price_date) = 1) AND price_date BETWEEN DATE '1996-03-01' AND DATE '1998-10-31' AND security_id IN (SELECT security_id FROM prices WHERE year(price_date) BETWEEN 1996 AND 1998 AND NOT (month(price_date) = 7 AND day(price_date) = 1) GROUP BY ALL HAVING count(DISTINCT year(price_date)) = 3) GROUP BY ALL"""
 
 
+def s3_checked_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """The store's partitions of three years by what their headers lack: every kind of damage in some of them."""
+    path, beside = _store(spark, sf), store.work_dir(spark, "headers")
+    rows = spark.read.parquet(path).where("year between 1996 and 1998")
+    h = store.partition_headers(rows.select("ticker", "price_date"), "1996-01-01", "1998-12-31").withColumns({"part_norm": F.col("ticker_norm"), "part_year": F.col("year").cast("int")})
+    k = F.pmod(F.regexp_extract("part_norm", "([0-9]+)$", 1).cast("int") + F.col("part_year"), F.lit(13))
+    damaged = h.where(k != 1).withColumns({
+        "version": F.when(k == 2, "v1").otherwise(F.col("version")), "provider": F.when(k == 3, "").otherwise(F.col("provider")), "ticker": F.when(k == 4, F.lower("ticker")).otherwise(F.col("ticker")),
+        "ticker_norm": F.when(k == 5, F.lit(None)).otherwise(F.col("ticker_norm")), "year": F.when(k == 6, "1995").otherwise(F.col("year")), "start": F.when(k == 7, "1996-13-01").otherwise(F.col("start")), "end": F.when(k == 8, F.lit(None)).otherwise(F.col("end")),
+    })
+    store.write_headers(damaged.unionByName(h.where(k == 9)), beside)
+    errors = store.checked_partitions(rows, spark.read.parquet(beside)).groupBy("year", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("partitions"))
+    served = store.read_checked(spark, path, beside, 1996, 1998).groupBy("year").agg(F.count("*").alias("rows"))
+    return errors.join(served, "year")
+
+
+S3_CHECKED = "SELECT year, coalesce(e, '') AS error, count(*) AS partitions, any_value(r) AS rows FROM told JOIN (SELECT year, sum(n)::BIGINT AS r FROM told WHERE coalesce(e, '') = '' GROUP BY ALL) USING (year) GROUP BY ALL"
+S3_VIEWS = {
+    "parts": "SELECT security_id, year(price_date)::INT AS year, count(*) AS n FROM prices WHERE year(price_date) BETWEEN 1996 AND 1998 AND NOT (month(price_date) = 7 AND day(price_date) = 1) GROUP BY ALL",
+    "told": "SELECT *, ['', 'no header', 'version', 'provider', 'ticker', 'ticker name', 'year', 'window', 'window', 'several headers'][k + 1] AS e FROM (SELECT *, (regexp_extract(security_id, '([0-9]+)$', 1)::INT + year) % 13 AS k FROM parts)",
+}
+
+
 def s7_layout_migration(spark: SparkSession, sf: str) -> DataFrame:
     p = V.prices(spark, sf).select(F.col("security_id").alias("ticker"), "price_date", "close")
     return store.migrate(p.where("ticker not like '%3'"), p.where("ticker like '%3' or ticker like '%4'")).groupBy("origin").agg(F.count("*").alias("n"), F.count_distinct("ticker").alias("tickers"))
@@ -409,7 +432,7 @@ def k4_manifest(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = [
     c13_transform_jp, c14_quarantine, c8_c12_casts, c1_c5_canonical, c18_c19_transform_kr, c20_unmapped_report, c23_missing_payloads, c24_normalize_fx, c26_price_tickers, s8_filing_index, j10_match_documents, c27_document_filter,
     a6_latest_facts, j11_metric_intersection, a7_a8_statement_values, a9_tag_scored_rd, a11_filled_rd, a12_filing_dates, a13_key_metrics, x1_text_blocks, x2_keyword_in_context, x3_plan_targets, s12_unwrap_payload, s3_s6_price_store,
-    s7_layout_migration, s10_unpivot_wide, st1_filing_stream, st1_matched_filings, st2_price_upsert, k1_commits, k4_manifest,
+    s3_checked_headers, s7_layout_migration, s10_unpivot_wide, st1_filing_stream, st1_matched_filings, st2_price_upsert, k1_commits, k4_manifest,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 _N = {"numbered": NUMBERED}
@@ -441,6 +464,7 @@ SQL = {
     "s7_layout_migration": oracle("SELECT CASE WHEN security_id LIKE '%3' THEN 'v1' ELSE 'v2' END AS origin, count(*) AS n, count(DISTINCT security_id) AS tickers FROM prices GROUP BY ALL"),
     "s10_unpivot_wide": oracle(S10),
     "st1_filing_stream": "SELECT DISTINCT 'D' || (event_id % ((SELECT max(event_id) + 1 FROM events) * 9 // 10)) AS docID FROM events",
+    "s3_checked_headers": oracle(S3_CHECKED, S3_VIEWS),
     "st1_matched_filings": ST1_MATCHED,
     "k1_commits": K1_COMMITS,
     "st2_price_upsert": "SELECT user_id, ts::DATE AS day, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL",

@@ -231,6 +231,22 @@ def k3_written_report(spark: SparkSession, sf: str) -> DataFrame:
 K3 = "SELECT 'fundamentals' AS part, count(*) AS n, count(*) AS n_iso, count(*) FILTER (WHERE rd_expense IS NULL) AS n_null FROM fundamentals UNION ALL SELECT 'periods', count(*), count(*), 0 FROM run_periods"
 
 
+def k3_document(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's document with config, nested metrics and the quarters of each market, read again."""
+    path = store.work_dir(spark, "document")
+    p = reports.periods(spark, sf)
+    by = p.groupBy("market").agg(F.count("*").alias("n"), F.round(F.sum("net_return"), 6).alias("net"))
+    metrics = by.agg(F.sum("n").alias("periods"), F.map_from_entries(F.collect_list(F.struct("market", "net"))).alias("net"))
+    store.write_document({"model": "rnd_sales_ttm", "limits": {"turnover": 0.5}}, metrics, {"quarters": p.select("market", "end_date", F.round("net_return", 6).alias("net"))}, path)
+    fields = "config struct<model: string, limits: struct<turnover: double>>, metrics struct<periods: bigint, net: map<string, double>>, tables struct<quarters: array<struct<market: string, end_date: date, net: double>>>"
+    d = spark.read.schema(fields).option("wholetext", True).json(path)
+    each = d.select("config", "metrics", F.explode("tables.quarters").alias("q"))
+    return each.groupBy("config.model", F.col("config.limits.turnover").alias("turnover"), "metrics.periods", F.col("q.market").alias("market"), F.element_at("metrics.net", F.col("q.market")).alias("net")).agg(F.count("*").alias("n"), F.max("q.end_date").alias("last"))
+
+
+K3_DOCUMENT = "SELECT 'rnd_sales_ttm' AS model, 0.5::DOUBLE AS turnover, (sum(count(*)) OVER ())::BIGINT AS periods, market, round(sum(net_return), 6) AS net, count(*) AS n, max(end_date) AS last FROM run_periods GROUP BY market"
+
+
 def k4_file_checksums(spark: SparkSession, sf: str) -> DataFrame:
     """Length and digest of files of names, one for each region."""
     n = V.table(spark, sf, "nation")
@@ -307,7 +323,7 @@ H13 = """SELECT portfolio_id, concat_ws('|', CASE WHEN portfolio_id % 11 = 0 THE
 
 _ALL = [
     s2_index_symbols, s4_price_windows, s5_fresh_files, s7_served_prices, s7_migration_counters, s9_filing_window, s11_fact_files, a10_report_scan, j12_filers, c4_canonical_benchmark, c25_price_provenance, c28_market_scope,
-    f12_benchmark_grid, l1_marked_positions, l5_l6_rolled_holdings, k2_ledger_tables, k3_written_report, k4_file_checksums, r4_analysis_tables, q6_quality_gate, q7_stage_telemetry, h13_invalid_targets,
+    f12_benchmark_grid, l1_marked_positions, l5_l6_rolled_holdings, k2_ledger_tables, k3_written_report, k3_document, k4_file_checksums, r4_analysis_tables, q6_quality_gate, q7_stage_telemetry, h13_invalid_targets,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {
@@ -328,6 +344,7 @@ SQL = {
     "l5_l6_rolled_holdings": oracle(L5, {**research.L1_VIEWS, "deltas": DELTAS}),
     "k2_ledger_tables": oracle(K2, research.L1_VIEWS),
     "k3_written_report": oracle(K3, {"run_periods": reports.PERIODS}),
+    "k3_document": oracle(K3_DOCUMENT, {"run_periods": reports.PERIODS}),
     "k4_file_checksums": K4,
     "r4_analysis_tables": oracle(R4, {"run_periods": reports.PERIODS}),
     "q6_quality_gate": oracle(Q6),

@@ -175,6 +175,19 @@ def q1_non_finite(spark: SparkSession, sf: str) -> DataFrame:
     return report.non_finite_counts(f)
 
 
+def q1_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with their lines, each with a map of measures, some of which are no numbers or infinite."""
+    line = V.table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_linenumber", F.col("l_extendedprice").cast("double").alias("p"))
+    whole = F.when(F.col("l_quantity") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("p"))
+    unit = F.when(F.col("l_quantity") % 7 == 0, F.lit(float("-inf"))).otherwise(F.col("p"))
+    row = F.struct("l_linenumber", F.create_map(F.lit("whole"), whole, F.lit("none"), F.lit(None).cast("double")).alias("values"), F.struct(F.array(unit, F.col("p")).alias("parts")).alias("detail"))
+    orders = line.groupBy("l_orderkey").agg(F.collect_list(row).alias("lines"), F.max(F.when(F.col("l_linenumber") == 7, F.lit(float("inf"))).otherwise(F.lit(1.0))).alias("top"))
+    return report.nested_non_finite(orders)
+
+
+Q1_NESTED = """SELECT unnest(['lines[].values{}', 'lines[].detail.parts[]', 'top']) AS path, unnest([count(*) FILTER (WHERE l_quantity % 5 = 0), count(*) FILTER (WHERE l_quantity % 7 = 0), count(DISTINCT l_orderkey) FILTER (WHERE l_linenumber = 7)]) AS n FROM lineitem"""
+
+
 def q2_data_quality(spark: SparkSession, sf: str) -> DataFrame:
     f = V.fundamentals(spark, sf)
     return report.data_quality({"fundamentals": f, "prices": V.prices(spark, sf), "constituents": V.constituents(spark, sf), "negative_sales": f.where("sales_ttm < 0")})
@@ -206,7 +219,7 @@ def p6_accepted_by_country(spark: SparkSession, sf: str) -> DataFrame:
     return pit.accepted(research.assembled(spark, sf)).groupBy("as_of_date", "country").agg(F.count("*").alias("n"), F.round(F.sum("rd_expense"), 2).alias("rd"))
 
 
-_ALL = [a15_compound_returns, w9_growth_and_drawdown, r3_a20_run_summary, r1_attribution, v6_fold_metrics, v6_fold_callback, a14_rd_coverage, a17_latest_holdings, a18_factor_integrity, a19_integrity_summary, j15_market_alignment, j16_frame_diff, j17_baseline_deltas, q1_non_finite, q2_data_quality, q4_policy_alignment, q5_status_rollup, p6_accepted_by_country]
+_ALL = [a15_compound_returns, w9_growth_and_drawdown, r3_a20_run_summary, r1_attribution, v6_fold_metrics, v6_fold_callback, a14_rd_coverage, a17_latest_holdings, a18_factor_integrity, a19_integrity_summary, j15_market_alignment, j16_frame_diff, j17_baseline_deltas, q1_non_finite, q1_nested, q2_data_quality, q4_policy_alignment, q5_status_rollup, p6_accepted_by_country]
 QUERIES = {f.__name__: f for f in _ALL}
 _P, _F = {"periods": PERIODS, "growth": GROWTH}, {**research.PIT, "factors": research.FACTOR, "flagged": A18_CTE}
 SQL = {
@@ -224,6 +237,7 @@ SQL = {
     "j16_frame_diff": oracle(J16),
     "j17_baseline_deltas": oracle(J17, {"runs": "SELECT country, year(period_end) AS y, count(*)::DOUBLE AS n FROM fundamentals GROUP BY ALL"}),
     "q1_non_finite": oracle("SELECT unnest(['rd_expense', 'sales_ttm', 'ratio']) AS column_name, unnest([0, 0, count(*) FILTER (WHERE sales_ttm = 0)]) AS n FROM fundamentals"),
+    "q1_nested": Q1_NESTED,
     "q2_data_quality": oracle("SELECT o AS output, n AS rows, CASE WHEN n > 0 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT 'fundamentals' AS o, count(*) AS n FROM fundamentals UNION ALL SELECT 'prices', count(*) FROM prices UNION ALL SELECT 'constituents', count(*) FROM constituents UNION ALL SELECT 'negative_sales', count(*) FROM fundamentals WHERE sales_ttm < 0)"),
     "q4_policy_alignment": Q4,
     "q5_status_rollup": f"SELECT portfolio_id, count(*) AS signals, CASE max(CASE status WHEN 'pass' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) WHEN 0 THEN 'pass' WHEN 1 THEN 'warning' ELSE 'fail' END AS status FROM ({Q4}) GROUP BY portfolio_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -61,6 +62,52 @@ def read_price_partitions(spark: SparkSession, path: str, first_year: int, last_
     return kept.select("ticker", "ticker_norm", "year", "price_date", "close", F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(0.0)).alias("volume"))
 
 
+#: What the header of a price partition says.
+HEADER_VERSION, PROVIDER = "v2", "yfinance"
+_HEADER = "version string, provider string, ticker string, ticker_norm string, year string, start string, end string"
+
+
+def partition_headers(prices: DataFrame, start: str, end: str) -> DataFrame:
+    """A header for each ticker and year of prices (ticker, price_date): version, provider, ticker, its name in the store, year, and the window that was asked for."""
+    each = prices.select("ticker", ticker_norm(F.col("ticker")).alias("ticker_norm"), F.year("price_date").alias("year")).distinct()
+    return each.select(F.lit(HEADER_VERSION).alias("version"), F.lit(PROVIDER).alias("provider"), "ticker", "ticker_norm", F.col("year").cast("string").alias("year"), F.lit(start).alias("start"), F.lit(end).alias("end"))
+
+
+def write_headers(headers: DataFrame, path: str, buckets: int = 64) -> None:
+    """Headers as JSON lines beside the store's partitions, by the bucket and year of the partition that each belongs to (part_norm and part_year where given)."""
+    norm = F.col("part_norm") if "part_norm" in headers.columns else F.col("ticker_norm")
+    year = F.col("part_year") if "part_year" in headers.columns else F.col("year")
+    lines = headers.select(F.to_json(F.struct(*[F.col(c.split()[0]) for c in _HEADER.split(", ")])).alias("header"), norm.alias("part_norm"), year.cast("int").alias("part_year"))
+    lines.withColumn("bucket", F.pmod(F.xxhash64("part_norm"), F.lit(buckets)).cast("int")).repartition("bucket", "part_year").write.mode("append").partitionBy("bucket", "part_year").parquet(path)
+
+
+def checked_partitions(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """(ticker_norm, year, error) of every partition of rows (ticker, ticker_norm, year, price_date, close): error says what its header lacks, and is null if nothing.
+
+    Rows are summed up by partition before they meet the headers, on partition and year, so no row is sent for the check. headers: what write_headers has written."""
+    h = headers.select("part_norm", "part_year", F.from_json("header", _HEADER).alias("h"))
+    one = h.groupBy("part_norm", "part_year").agg(F.count("*").alias("_n"), F.min("h").alias("h"))
+    parts = rows.groupBy("ticker_norm", "year").agg(F.min("ticker").alias("ticker"), F.count_distinct("ticker").alias("_tickers"), F.bool_and(F.year("price_date") == F.col("year")).alias("_own_year"), F.count("close").alias("_closes"))
+    j = parts.join(one, (F.col("ticker_norm") == F.col("part_norm")) & (F.col("year") == F.col("part_year")), "left")
+    differs = lambda c, want: ~F.coalesce(F.trim(F.col(c)) == want, F.lit(False))
+    error = (
+        F.when(F.col("_n").isNull(), "no header").when(F.col("_n") > 1, "several headers")
+        .when(differs("h.version", F.lit(HEADER_VERSION)), "version").when(differs("h.provider", F.lit(PROVIDER)), "provider")
+        .when((F.col("_tickers") > 1) | differs("h.ticker", F.col("ticker")), "ticker").when(differs("h.ticker_norm", F.col("ticker_norm")), "ticker name")
+        .when(~F.col("h.year").eqNullSafe(F.col("year").cast("string")), "year")
+        .when(F.try_to_date(F.trim("h.start"), "yyyy-MM-dd").isNull() | F.try_to_date(F.trim("h.end"), "yyyy-MM-dd").isNull(), "window")
+        .when(~F.col("_own_year"), "row of another year").when(F.col("_closes") == 0, "no close")
+    )
+    return j.select("ticker_norm", "year", error.alias("error"))
+
+
+def read_checked(spark: SparkSession, path: str, header_path: str, first_year: int, last_year: int) -> DataFrame:
+    """Rows of the window's years whose partition's header is in order; the others are left out partition by partition."""
+    rows = spark.read.parquet(path).where(F.col("year").between(first_year, last_year))
+    fine = checked_partitions(rows, spark.read.parquet(header_path).where(F.col("part_year").between(first_year, last_year))).where("error is null")
+    return rows.where("close is not null").join(fine.select("ticker_norm", "year"), ["ticker_norm", "year"], "left_semi")
+
+
 def stitch(series: DataFrame, start: str, end: str) -> DataFrame:
     """The series of all years between two dates; years outside are not read."""
     a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
@@ -182,3 +229,27 @@ def write_report(spark: SparkSession, tables: dict[str, DataFrame], path: str) -
         if bad:
             raise ValueError(f"{name}: not finite: " + ", ".join(r["column_name"] for r in bad))
         df.write.option("ignoreNullFields", "false").json(f"{path}/{name}")
+
+
+def write_document(config: dict, metrics: DataFrame, tables: dict[str, DataFrame], path: str, max_rows: int = 10_000) -> None:
+    """One JSON document of a run: its config, its metrics (one row, of any nesting) and its tables as arrays of objects in order of all their columns.
+
+    For reports, which are small: a table of more than max_rows rows is an error, as are metrics that aren't one row and
+    any value that isn't finite, however deep. Dates are ISO, null fields are kept."""
+    from ..operators.report import nested_non_finite
+
+    spark = metrics.sparkSession
+    for name, df in {"metrics": metrics, **tables}.items():
+        if bad := nested_non_finite(df).where("n > 0").collect():
+            raise ValueError(f"{name}: not finite: " + ", ".join(sorted(r["path"] for r in bad)))
+    if metrics.limit(2).count() != 1:
+        raise ValueError("metrics must be one row")
+    one = metrics.select(F.struct(*[F.col(f"`{c}`") for c in metrics.columns]).alias("metrics"))
+    for name, df in tables.items():
+        if df.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"{name}: more than {max_rows} rows are no report")
+        one = one.crossJoin(df.agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias(name)))  # one row by one row
+    body = F.struct(*[F.col(f"`{name}`") for name in tables])
+    said = spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string")
+    text = F.to_json(F.struct("metrics", body.alias("tables")), {"ignoreNullFields": "false"})
+    one.select(text.alias("rest")).crossJoin(said).select(F.concat(F.lit('{"config":'), "config", F.lit(","), F.substring("rest", 2, 2**31 - 1)).alias("value")).coalesce(1).write.text(path)
