@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts as X
-from ..operators import canonical, filings
+from ..operators import accounts, canonical, filings
 from ..sources import store
 from ..sources import tables as V
 from ..sources.commits import CommitTable
@@ -264,6 +264,24 @@ def a13_key_metrics(spark: SparkSession, sf: str) -> DataFrame:
 A13 = """SELECT security_id, period_end, e AS element, round(c * m, 0) AS current, round(p * m, 0) AS prior FROM (SELECT *, CASE k % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS m, unnest(['net_sales', 'assets']) AS e, unnest([sales_ttm, 7]) AS c, unnest([sales_ttm / 4, NULL]) AS p FROM numbered)"""
 
 
+def a13_catalogued_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Current and prior values of the accounts in the catalogue; each filing also has values of a wrong kind of period, and an element that no catalogue knows."""
+    f = _numbered(spark, sf)
+    row = lambda i, e, context, period, v: F.struct(F.lit(i).alias("pos"), F.lit(e).alias("element"), F.lit(context).alias("context"), F.lit(period).alias("period"), v.alias("value"))
+    s = F.col("sales_ttm")
+    rows = F.array(
+        row(0, "jppfs_cor:NetSales", "CurrentYearDuration", "", s), row(1, "jppfs_cor:NetSales", "CurrentYearInstant", "", s * 9), row(2, "jppfs_cor:NetSales", "Prior1YearDuration", "", s / 2),
+        row(3, "jppfs_cor:Assets", "CurrentYearInstant", "", s * 3), row(4, "jppfs_cor:Assets", "CurrentYearDuration", "", s * 8), row(5, "jppfs_cor:Assets", "Prior1Year_NonConsolidatedMember", "Instant", s * 2),
+        row(6, "jppfs_cor:Unheard", "CurrentYearDuration", "", s), row(7, "jpcrp_cor:FiscalYearCoverPage", "FilingDateInstant", "current", F.col("y").cast("double")), row(8, "jpcrp_cor:FiscalYearCoverPage", "CurrentYearDuration", "", s), row(9, "jppfs_cor:GrossProfit", "x", "", s),
+    )
+    facts = f.select("security_id", "period_end", F.lit("円").alias("unit_scale"), F.inline(rows))
+    got = filings.key_metrics(accounts.catalogued(facts, accounts.catalogue(spark)), ["security_id", "period_end"])
+    return got.select("security_id", "period_end", "element", F.round("current", 0).alias("current"), F.round("prior", 0).alias("prior"))
+
+
+A13_CATALOGUED = """SELECT security_id, period_end, unnest(['jppfs_cor:NetSales', 'jppfs_cor:Assets', 'jpcrp_cor:FiscalYearCoverPage']) AS element, unnest([round(sales_ttm, 0), round(3 * sales_ttm, 0), y::DOUBLE]) AS current, unnest([round(sales_ttm / 2, 0), round(2 * sales_ttm, 0), NULL]) AS prior FROM numbered"""
+
+
 def x1_text_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as narrative blocks of their sites."""
     p = V.table(spark, sf, "pages")
@@ -431,7 +449,7 @@ def k4_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = [
     c13_transform_jp, c14_quarantine, c8_c12_casts, c1_c5_canonical, c18_c19_transform_kr, c20_unmapped_report, c23_missing_payloads, c24_normalize_fx, c26_price_tickers, s8_filing_index, j10_match_documents, c27_document_filter,
-    a6_latest_facts, j11_metric_intersection, a7_a8_statement_values, a9_tag_scored_rd, a11_filled_rd, a12_filing_dates, a13_key_metrics, x1_text_blocks, x2_keyword_in_context, x3_plan_targets, s12_unwrap_payload, s3_s6_price_store,
+    a6_latest_facts, j11_metric_intersection, a7_a8_statement_values, a9_tag_scored_rd, a11_filled_rd, a12_filing_dates, a13_key_metrics, a13_catalogued_metrics, x1_text_blocks, x2_keyword_in_context, x3_plan_targets, s12_unwrap_payload, s3_s6_price_store,
     s3_checked_headers, s7_layout_migration, s10_unpivot_wide, st1_filing_stream, st1_matched_filings, st2_price_upsert, k1_commits, k4_manifest,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
@@ -456,6 +474,7 @@ SQL = {
     "a11_filled_rd": oracle(A11, _N),
     "a12_filing_dates": oracle(A12, _N),
     "a13_key_metrics": oracle(A13, _N),
+    "a13_catalogued_metrics": oracle(A13_CATALOGUED, _N),
     "x1_text_blocks": X1,
     "x2_keyword_in_context": X2,
     "x3_plan_targets": oracle(X3, _N),

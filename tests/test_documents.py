@@ -60,3 +60,14 @@ def test_a_document_has_config_metrics_and_tables(spark, tmp_path):
         store.write_document({}, table.select("k"), {}, f"{tmp_path}/f")
     with pytest.raises(ValueError, match="no report"):
         store.write_document({}, metrics, {"t": table}, f"{tmp_path}/g", max_rows=1)
+
+
+def test_only_catalogued_accounts_of_their_kind_count(spark):
+    from factorloom.operators import accounts
+
+    rows = [("a", "CurrentYearInstant", None, 1), ("a", "CurrentYearDuration", "instant", 2), ("a", "x", "Prior Instant", 3), ("a", None, None, 4), ("b", "FilingDateInstant", "", 5), ("a", "FilingDateInstant", "", 6), ("c", "CurrentYearInstant", "", 7), (None, "CurrentYearInstant", "", 8)]
+    facts = spark.createDataFrame(rows, "element string, context string, period string, n int")
+    kinds = spark.createDataFrame([("a", "instant"), ("a", "instant"), ("b", "filing")], "element string, kind string")
+    assert {r["n"] for r in accounts.catalogued(facts, kinds).collect()} == {1, 3, 5} and accounts.catalogued(facts, kinds).count() == 3
+    names = [e for x in accounts.ACCOUNTS.values() for e in x]
+    assert len(names) == len(set(names)) and accounts.catalogue(spark).count() == len(names)
