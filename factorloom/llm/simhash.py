@@ -463,19 +463,20 @@ def joined_by_texts(placed: DataFrame, slim: DataFrame, words: int, radii: tuple
     spark = placed.sparkSession
     none = spark.createDataFrame([], "node long, label long, weight long")
     links = written(similar_links(candidates(placed, none, words, radii[0], least, None, **options).select("a", "b"), slim, least=least), "similar")
-    refused, k, live = spark.createDataFrame([], "a long, b long"), nearest, placed
+    refused, k, live, labels = spark.createDataFrame([], "a long, b long"), nearest, placed, _labelled(links)
     while True:
-        labels = _labelled(links)
         found = written(candidates(live, labels, words, radii[1], least, k, **options), "apart")
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs.join(refused, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             good = written(similar_links(pairs, slim, least=least), "similar")
             refused = written(refused.union(pairs.join(good, ["a", "b"], "left_anti")), "refused")
-            links = written(links.union(good), "links")
+            if not good.isEmpty():
+                links = written(links.union(good), "links")
+                labels = _labelled(links)
         full = found.where("more").select(F.col("a").alias("node")).distinct()
         if full.isEmpty():
-            return labels if pairs.isEmpty() else _labelled(links)
+            return labels
         live = written(placed.join(placed.join(full, "node", "left_semi").select("c", "m").distinct(), ["c", "m"], "left_semi"), "live")
         k *= max(2, nearest)
 
