@@ -288,16 +288,16 @@ def _levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l8_ledger_periods(spark: SparkSession, sf: str) -> DataFrame:
-    """Periods of the ledgers of 100 portfolios, with the benchmark's return."""
+    """Periods of the ledgers of 100 portfolios, with the benchmark's return; values in tens of millions, as some grow beyond what a double holds in cents."""
     allocations, prices = _ledger_inputs(spark, sf)
     rows = ledger.with_benchmark(ledger.run_ledger(allocations, prices, ["portfolio_id"]).where("kind = 'period'"), _levels(spark, sf))
-    return rows.select("portfolio_id", "start_date", "end_date", F.round("start_nav", 2).alias("start_nav"), F.round("end_nav", 2).alias("end_nav"), F.round("net_return", 8).alias("net_return"), F.round("total", 2).alias("total_cost"), F.round("benchmark_return", 8).alias("benchmark_return"))
+    return rows.select("portfolio_id", "start_date", "end_date", *[F.round(F.col(c) / 1e7, 4).alias(n) for c, n in (("start_nav", "start_nav"), ("end_nav", "end_nav"), ("total", "total_cost"))], F.round("net_return", 8).alias("net_return"), F.round("benchmark_return", 8).alias("benchmark_return"))
 
 
 def a16_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     allocations, prices = _ledger_inputs(spark, sf)
     m = ledger.run_metrics(ledger.run_ledger(allocations, prices, ["portfolio_id"]).where("kind = 'period'"), ["portfolio_id"])
-    return m.select("portfolio_id", "periods", F.round("end_nav", 2).alias("end_nav"), F.round("cumulative_net", 6).alias("cumulative_net"), F.round("cumulative_gross", 6).alias("cumulative_gross"), F.round("total_sum", 2).alias("total_cost"))
+    return m.select("portfolio_id", "periods", F.round(F.col("end_nav") / 1e7, 4).alias("end_nav"), F.round("cumulative_net", 4).alias("cumulative_net"), F.round("cumulative_gross", 4).alias("cumulative_gross"), F.round(F.col("total_sum") / 1e7, 4).alias("total_cost"))
 
 
 def _chained(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -337,9 +337,9 @@ RUN = """, run AS (
                     SELECT * EXCLUDE (held), list_transform(list_distinct(list_concat(map_keys(held), map_keys(t))), lambda s: {'s': s, 'pr': p[s], 'q': coalesce(held[s].q, 0), 'c': coalesce(held[s].c, 0), 'delta': nav * coalesce(t[s], 0) - coalesce(held[s].q, 0) * p[s]}) AS tr FROM (
                         SELECT s.*, r.held, r.cash, r.cash + coalesce(list_sum(list_transform(map_entries(r.held), lambda x: x.value.q * s.p[x.key])), 0) AS nav FROM run r JOIN steps s ON s.portfolio_id = r.portfolio_id AND s.i = r.i + 1))))))
 """
-L8 = RUN + """SELECT portfolio_id, run.d AS start_date, run.e AS end_date, round(nav, 2) AS start_nav, round(end_nav, 2) AS end_nav, round(end_nav / nav - 1, 8) AS net_return, round(total, 2) AS total_cost, round((be.close * re.usd_krw) / (bs.close * rs.usd_krw) - 1, 8) AS benchmark_return
+L8 = RUN + """SELECT portfolio_id, run.d AS start_date, run.e AS end_date, round(nav / 1e7, 4) AS start_nav, round(end_nav / 1e7, 4) AS end_nav, round(end_nav / nav - 1, 8) AS net_return, round(total / 1e7, 4) AS total_cost, round((be.close * re.usd_krw) / (bs.close * rs.usd_krw) - 1, 8) AS benchmark_return
     FROM run LEFT JOIN (SELECT * FROM bench WHERE country = 'US') bs ON bs.benchmark_date = run.d LEFT JOIN (SELECT * FROM bench WHERE country = 'US') be ON be.benchmark_date = run.e LEFT JOIN schedule_rates rs ON rs.d = run.d LEFT JOIN schedule_rates re ON re.d = run.e WHERE i > 0"""
-A16 = RUN + """SELECT portfolio_id, count(*) AS periods, round(arg_max(end_nav, i), 2) AS end_nav, round(arg_max(end_nav, i) / 1e7 - 1, 6) AS cumulative_net, round((arg_max(end_nav, i) + sum(total)) / 1e7 - 1, 6) AS cumulative_gross, round(sum(total), 2) AS total_cost FROM run WHERE i > 0 GROUP BY ALL"""
+A16 = RUN + """SELECT portfolio_id, count(*) AS periods, round(arg_max(end_nav, i) / 1e7, 4) AS end_nav, round(arg_max(end_nav, i) / 1e7 - 1, 4) AS cumulative_net, round((arg_max(end_nav, i) + sum(total)) / 1e7 - 1, 4) AS cumulative_gross, round(sum(total) / 1e7, 4) AS total_cost FROM run WHERE i > 0 GROUP BY ALL"""
 
 
 def step_positions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
