@@ -9,8 +9,9 @@ Two kinds of keys: 64 bits in six blocks, of which any two within 3 bits share t
 lose no link; and, for similarities too low for that, bands of minima of the shingles' hashes with a fingerprint of 256 bits.
 
 With bands the fingerprints only choose what the texts confirm. First the nearest links that would join all candidates of
-a key are confirmed, which makes one of a group of copies however large; then all candidates whose ends are still apart,
-a bounded number for each row and round, until none is left that has not been confirmed or refused.
+a key are confirmed, which makes one of a group of copies however large. Then the rows of a key that still have candidates
+in other components are dealt once more with their shingles' hashes, and all these candidates are confirmed or refused
+where they meet: a task returns the links that join something, and no pair that is refused is ever a row.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ LONGEST = 1 << 14
 #: deviation of 6, and 48 if there are few shingles. Links within the first radius go first; none beyond the second is looked
 #: at, which is 5.8 deviations off (3.9 for few shingles, where it loses about as little as the bands do).
 NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS, FAR_RADIUS, BANDS, MINIMA, SIMILAR = 5, 4, 48, 72, 20, 4, 0.8
-#: Candidates of a row that are confirmed in the first round; each round has so many times more.
+#: Candidates of a row that a task compares in its first round; each round has so many times more.
 NEAREST = 16
+#: Hashes of shingles that a block of rows may hold where candidates are compared.
+HASHES = 1 << 21
 
 
 def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -135,20 +138,27 @@ def _masks(radius: int, blocks: int) -> list[int]:
     return [int(np.uint64(sum(x)).astype(np.int64)) for x in combinations(parts, blocks - radius)]
 
 
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Joins, in label (of each row the first row of its component), what the links (i, j) join. Returns the places of links that are enough for that."""
+    live, kept = np.arange(len(i)), [np.empty(0, np.int64)]
+    while len(live):
+        a, b = label[i[live]], label[j[live]]
+        apart = a != b
+        live, high, low = live[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        roots, pick = np.unique(high, return_index=True)
+        kept.append(live[pick])
+        label[roots] = low[pick]
+        while (label[label] != label).any():
+            label[:] = label[label]
+    return np.concatenate(kept)
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the links (i, j) among n rows, those of least distance that join what all of them join: fewer than n."""
     label, kept = np.arange(n), [np.empty(0, np.int64)]
     for level in np.unique(far):
         live = np.flatnonzero(far == level)
-        while len(live):
-            a, b = label[i[live]], label[j[live]]
-            apart = a != b
-            live, high, low = live[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
-            roots, pick = np.unique(high, return_index=True)
-            kept.append(live[pick])
-            label[roots] = low[pick]
-            while (label[label] != label).any():
-                label = label[label]
+        kept.append(live[_join(label, i[live], j[live])])
     kept = np.concatenate(kept)
     return i[kept], j[kept], far[kept]
 
@@ -384,69 +394,156 @@ def apart_pairs(label: np.ndarray, pop: np.ndarray, n: np.ndarray, words: np.nda
             yield padded[x[p], i], padded[y[p], j], far[p, i, j]
 
 
-def _first_of(k: int, owner: np.ndarray, other: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest others of each owner, and the place of each among them."""
-    order = np.lexsort((other, far, owner))
-    owner, other, far = owner[order], other[order], far[order]
-    new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
-    place = np.arange(len(owner)) - np.repeat(new, np.diff(np.r_[new, len(owner)]))
-    kept = place < k
-    return owner[kept], other[kept], far[kept], place[kept]
+def _nearest(k: int, owner: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which entries are among the k nearest of their owner."""
+    order = np.lexsort((far, owner))
+    new = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0])
+    near = np.empty(len(owner), bool)
+    near[order] = np.arange(len(owner)) - np.repeat(new, np.diff(np.r_[new, len(owner)])) < k
+    return near
+
+
+def _similarities(i: np.ndarray, j: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of the sets of rows i and j. items[starts[r]:ends[r]] are the members of r's set, numbers below len(marks); marks are False."""
+    found, order = np.empty(len(i)), np.argsort(i, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(i[order]) != 0, True])
+    for a, b in zip(edges[:-1], edges[1:]):
+        for at in np.split(order[a:b], range(1024, b - a, 1024)):
+            row, others = i[at[0]], j[at]
+            own, sizes = items[starts[row] : ends[row]], ends[others] - starts[others]
+            stops = np.cumsum(sizes)
+            marks[own] = True
+            hits = np.r_[0, np.cumsum(marks[items[np.repeat(starts[others] - stops + sizes, sizes) + np.arange(stops[-1])]])]
+            marks[own] = False
+            both = hits[stops] - hits[stops - sizes]
+            either = len(own) + sizes - both
+            found[at] = np.where(either > 0, both / np.maximum(either, 1), 1.0)
+    return found
+
+
+def joining_links(label: np.ndarray, weight: np.ndarray, pop: np.ndarray, n: np.ndarray, words: np.ndarray, sets: list[np.ndarray], radius: int, least: float, tile: int, side: np.ndarray | None, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) that join what all ``apart_pairs`` join of which the sets have a similarity of least or more.
+
+    Every such pair is compared, unless its ends are joined by then. The nearest of the rows of smaller components
+    go first, and bounded numbers of pairs are held at a time."""
+    ends = np.cumsum([len(x) for x in sets])
+    starts = ends - [len(x) for x in sets]
+    values, items = np.unique(np.concatenate(sets), return_inverse=True)
+    marks = np.zeros(len(values), bool)
+    _, firsts, place = np.unique(label, return_index=True, return_inverse=True)
+    own = firsts[place]
+    kept, held = [(np.empty(0, np.int64), np.empty(0, np.int64))], []
+
+    def compare() -> None:
+        i, j, far = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        k = nearest
+        while (live := own[i] != own[j]).any():
+            i, j, far = i[live], j[live], far[live]
+            now = _nearest(k, i, far)
+            a, b = i[now], j[now]
+            good = _similarities(a, b, starts, ends, items, marks) >= least
+            a, b = a[good], b[good]
+            link = _join(own, a, b)
+            kept.append((a[link], b[link]))
+            i, j, far = i[~now], j[~now], far[~now]
+            k *= max(2, nearest)
+
+    for i, j, far in apart_pairs(label, pop, n, words, radius, least, tile, side):
+        swap = (weight[j] < weight[i]) | ((weight[j] == weight[i]) & (label[j] < label[i]))
+        held.append((np.where(swap, j, i), np.where(swap, i, j), far))
+        if sum(len(x[0]) for x in held) > 1 << 18:
+            compare()
+    if held:
+        compare()
+    i, j = (np.concatenate(x) for x in zip(*kept))
+    return i, j
+
+
+def _over_blocks(of, words: int):
+    """For mapInArrow over rows in order of (c, m, t1, t2): of(rows, apart_pairs' columns label, pop, n and words, which of the rows are of the first block) for each pair of blocks."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["c", "m", "t1", "t2"]):
+            label, pop, n, first, *fp = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("label", "pop", "n", "first", *_words(words)))
+            same = rows.column("t1")[0].as_py() == rows.column("t2")[0].as_py()
+            found = of(rows, (label, pop, n, np.array(fp).view(np.uint64)), None if same else first)
+            if found is not None and found.num_rows:
+                yield found
 
-_CANDIDATES = "a long, b long, more boolean"
+    return task
 
 
-def _candidates(words: int, radius: int, least: float, tile: int, k: int | None):
-    """For mapInArrow over rows in order of (c, m, t1, t2): candidates (a, b) with different labels.
+def _link_rows(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(x)) for x in (i, j)], ["a", "b"])
 
-    Without k, those of a forest that joins all of them. Else of each row the k nearest, counted at the row whose
-    component is the smaller one; more says that a has others."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["c", "m", "t1", "t2"]):
-            node, label, weight, pop, n, first, *fp = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("node", "label", "weight", "pop", "n", "first", *_words(words)))
-            same = rows.column("t1")[0].as_py() == rows.column("t2")[0].as_py()
-            none = np.empty(0, np.int64)
-            found, held = [(none, none, np.empty(0, np.uint16))], 0
-
-            def fewer() -> tuple[np.ndarray, ...]:
-                i, j, far = (np.concatenate(x) for x in zip(*found))
-                return _forest(len(node), i, j, far) if k is None else _first_of(k + 1, i, j, far)[:3]
-
-            for i, j, far in apart_pairs(label, pop, n, np.array(fp).view(np.uint64), radius, least, tile, None if same else first):
-                if k is not None:
-                    swap = (weight[j] < weight[i]) | ((weight[j] == weight[i]) & (label[j] < label[i]))
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                found.append((i, j, far))
-                held += len(i)
-                if held > max(4 * len(node), 1 << 18):
-                    found = [fewer()]
-                    held = len(found[0][0]) // 2
-            a, b, far = fewer()
-            more = np.zeros(len(a), bool)
-            if k is not None:
-                full = np.unique(_first_of(k + 1, a, b, far)[0][_first_of(k + 1, a, b, far)[3] == k])
-                a, b, far, _ = _first_of(k, a, b, far)
-                more = np.isin(a, full)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(more)], ["a", "b", "more"])
+def _nearest_links(radius: int, least: float, tile: int):
+    """For ``_over_blocks``: candidates of least distance that join what all candidates join."""
 
-    return task
+    def of(rows: pa.RecordBatch, columns: tuple, side: np.ndarray | None) -> pa.RecordBatch:
+        found, held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16))], 0
+        fewer = lambda: _forest(rows.num_rows, *(np.concatenate(x) for x in zip(*found)))
+        for pairs in apart_pairs(*columns, radius, least, tile, side):
+            found.append(pairs)
+            held += len(pairs[0])
+            if held > max(4 * rows.num_rows, 1 << 18):
+                found = [fewer()]
+                held = len(found[0][0])
+        return _link_rows(rows, *fewer()[:2])
+
+    return of
+
+
+def _rows_apart(radius: int, least: float, tile: int):
+    """For ``_over_blocks``: the rows that have candidates with other labels."""
 
+    def of(rows: pa.RecordBatch, columns: tuple, side: np.ndarray | None) -> pa.RecordBatch:
+        live = np.zeros(rows.num_rows, bool)
+        for i, j, _ in apart_pairs(*columns, radius, least, tile, side):
+            live[i] = live[j] = True
+        return rows.drop_columns(["t1", "t2", "first"]).filter(pa.array(live))
 
-def candidates(placed: DataFrame, labels: DataFrame, words: int, radius: int, least: float, k: int | None, tile: int = TILE, longest: int = LONGEST) -> DataFrame:
-    """placed: c and m (the key, that several rows share), node, n, pop and words. labels: node, label and weight (the rows of a component); nodes without are their own.
+    return of
 
-    (a, b, more) with different labels. A key with over longest rows is salted before it is dealt out: its rows go to
-    blocks by a hash, and each pair of blocks is a task of its own."""
-    rows = placed.join(labels, "node", "left").withColumns({"label": F.coalesce("label", "node"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
-    mixed = rows.groupBy("c", "m").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / F.lit(longest)).cast("int").alias("blocks")).where("x < y")
+
+def _joining(radius: int, least: float, tile: int, nearest: int):
+    """For ``_over_blocks``: ``joining_links`` of rows with their sets."""
+
+    def of(rows: pa.RecordBatch, columns: tuple, side: np.ndarray | None) -> pa.RecordBatch:
+        label, *others = columns
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+        return _link_rows(rows, *joining_links(label, rows.column("weight").to_numpy(), *others, sets, radius, least, tile, side, nearest))
+
+    return of
+
+
+def _dealt(rows: DataFrame, longest: int, hashes: int | None = None) -> DataFrame:
+    """rows: c and m (the key), node, label and n. Those of keys with several labels, dealt out by key.
+
+    A key with over longest rows, or over so many hashes, is salted first: its rows go to blocks by a hash, and each
+    pair of blocks (t1, t2) is a task of its own."""
+    size = F.count("*") / F.lit(longest)
+    size = size if hashes is None else F.greatest(size, F.sum("n") / F.lit(hashes))
+    mixed = rows.groupBy("c", "m").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(size).cast("int").alias("blocks")).where("x < y").select("c", "m", "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.join(mixed.select("c", "m", "blocks"), ["c", "m"]).withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("c", "m", F.least("own", "to").alias("t1"), F.greatest("own", "to").alias("t2"), (F.col("own") <= F.col("to")).alias("first"), "node", "label", "weight", "pop", "n", *_words(words))
-    dealt = dealt.repartition("c", "m", "t1", "t2").sortWithinPartitions("c", "m", "t1", "t2")
-    return dealt.mapInArrow(_candidates(words, radius, least, tile, k), _CANDIDATES)
+    dealt = rows.join(mixed, ["c", "m"]).withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("c", "m", F.least("own", "to").alias("t1"), F.greatest("own", "to").alias("t2"), (F.col("own") <= F.col("to")).alias("first"), *[x for x in rows.columns if x not in ("c", "m")])
+
+
+def _by_blocks(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("c", "m", "t1", "t2").sortWithinPartitions("c", "m", "t1", "t2")
+
+
+def _hash_sets(width: int):
+    """For mapInArrow over (id, text): the distinct hashes of the text's shingles, as bytes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            sets = [np.unique(shingle_hashes(x, width)).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return task
 
 
 def _labelled(links: DataFrame) -> DataFrame:
@@ -455,30 +552,25 @@ def _labelled(links: DataFrame) -> DataFrame:
     return written(labels.join(labels.groupBy("label").agg(F.count("*").alias("weight")), "label").select("node", "label", "weight"), "weighed")
 
 
-def joined_by_texts(placed: DataFrame, slim: DataFrame, words: int, radii: tuple[int, int] = (NEAR_RADIUS, FAR_RADIUS), least: float = SIMILAR, nearest: int = NEAREST, **options) -> DataFrame:
+def joined_by_texts(placed: DataFrame, slim: DataFrame, words: int, radii: tuple[int, int] = (NEAR_RADIUS, FAR_RADIUS), least: float = SIMILAR, nearest: int = NEAREST, tile: int = TILE, longest: int = LONGEST, hashes: int = HASHES) -> DataFrame:
     """(node, label, weight): the components of all links between nodes that share a key and lie within the second radius, and whose texts have a similarity of least or more.
 
-    Links of a forest within the first radius go first. Then come rounds over the candidates whose ends are apart: of
-    each row the nearest that were neither confirmed nor refused before, times more each round, until no row has others."""
-    spark = placed.sparkSession
-    none = spark.createDataFrame([], "node long, label long, weight long")
-    links = written(similar_links(candidates(placed, none, words, radii[0], least, None, **options).select("a", "b"), slim, least=least), "similar")
-    refused, k, live, labels = spark.createDataFrame([], "a long, b long"), nearest, placed, _labelled(links)
-    while True:
-        found = written(candidates(live, labels, words, radii[1], least, k, **options), "apart")
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs.join(refused, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            good = written(similar_links(pairs, slim, least=least), "similar")
-            refused = written(refused.union(pairs.join(good, ["a", "b"], "left_anti")), "refused")
-            if not good.isEmpty():
-                links = written(links.union(good), "links")
-                labels = _labelled(links)
-        full = found.where("more").select(F.col("a").alias("node")).distinct()
-        if full.isEmpty():
-            return labels
-        live = written(placed.join(placed.join(full, "node", "left_semi").select("c", "m").distinct(), ["c", "m"], "left_semi"), "live")
-        k *= max(2, nearest)
+    placed: c and m (the key, that several rows share), node, n, pop and words. Links of a forest within the first
+    radius go first. Then the rows that have candidates apart are dealt with their shingles' hashes, and each such
+    candidate is confirmed, refused, or found joined by others."""
+    fp = _words(words)
+    each = placed.select("c", "m", "node", F.col("node").alias("label"), F.lit(1).cast("long").alias("weight"), "pop", "n", *fp)
+    found = _by_blocks(_dealt(each, longest)).mapInArrow(_over_blocks(_nearest_links(radii[0], least, tile), words), "a long, b long")
+    links = written(similar_links(found, slim, least=least), "similar")
+    labels = _labelled(links)
+    rows = placed.join(labels, "node", "left").select("c", "m", "node", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight"), "pop", "n", *fp)
+    apart = _by_blocks(_dealt(rows, longest)).mapInArrow(_over_blocks(_rows_apart(radii[1], least, tile), words), rows.schema)
+    apart = written(apart.distinct(), "apart")
+    texts = slim.join(apart.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sets = written(texts.mapInArrow(_hash_sets(NEAR_WIDTH), "node long, hashes binary"), "sets")
+    dealt = _by_blocks(_dealt(apart, longest, hashes).join(sets, "node"))
+    good = written(dealt.mapInArrow(_over_blocks(_joining(radii[1], least, tile, nearest), words), "a long, b long"), "joining")
+    return labels if good.isEmpty() else _labelled(written(links.union(good), "links"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, **options) -> DataFrame:

@@ -9,7 +9,8 @@ import pytest
 import xxhash
 
 from factorloom.llm.components import components
-from factorloom.llm.simhash import NEAR_WIDTH, SIMILAR, fingerprint, keep_one, near_copies, near_dedup, near_links, op5_simhash_near_dedup, shingle_hashes, similarity, tiled_links
+from factorloom.llm.scratch import written
+from factorloom.llm.simhash import NEAR_WIDTH, SIMILAR, fingerprint, joining_links, keep_one, near_copies, near_dedup, near_links, op5_simhash_near_dedup, shingle_hashes, similarity, tiled_links
 
 
 def slow_fingerprint(text):
@@ -170,3 +171,39 @@ def test_repeats_of_a_shingle_do_not_part_copies(spark):
     rows = [(0, base + " again and again and again" * 200), (1, base + " again and again and again" * 3), (2, base)]
     got = {x["id"]: x["component_id"] for x in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: g for i, g in slow_groups(rows).items() if i != g} == {1: 0, 2: 0}
+
+
+def test_refused_pairs_are_no_rows(spark, monkeypatch):
+    """150 texts share a passage, so that nearly all pairs are within the radius and below 0.8: no table holds more than some rows for each row and key."""
+    from factorloom.llm import simhash
+
+    r, words, rows = random.Random(9), [f"w{i}" for i in range(5000)], []
+    passage = [r.choice(words) for _ in range(130)]
+    for i in range(150):
+        own = [r.choice(words) for _ in range(40 if i % 10 else 3)]
+        rows.append((i, " ".join(passage + own)))
+    want, sizes = slow_groups(rows), {}
+
+    def counted(df, name):
+        made = written(df, name)
+        sizes[name] = max(sizes.get(name, 0), made.count())
+        return made
+
+    monkeypatch.setattr(simhash, "written", counted)
+    got = {x["id"]: x["component_id"] for x in near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: g for i, g in want.items() if i != g} and 0 < len(got) < 75
+    assert max(n for name, n in sizes.items()) <= sizes["placed"]
+
+
+@pytest.mark.parametrize("nearest", [1, 16])
+def test_sets_are_compared_as_pairs_are(nearest):
+    r = np.random.default_rng(11)
+    sets = [np.unique(r.integers(0, 30, r.integers(1, 40)).astype(np.uint64)) for _ in range(90)] + [np.empty(0, np.uint64)]
+    n = np.array([len(x) for x in sets])
+    rows, zero = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    for label, side in ((rows, None), (rows // 2, None), (rows, rows % 2 == 0)):
+        i, j = joining_links(label, zero, zero, n, np.zeros((1, len(sets)), np.uint64), sets, 0, 0.5, 8, side, nearest)
+        assert all(similarity(sets[a], sets[b]) >= 0.5 for a, b in zip(i.tolist(), j.tolist()))
+        every = [(a, b) for a in rows.tolist() for b in rows[:a].tolist() if similarity(sets[a], sets[b]) >= 0.5 and (side is None or side[a] != side[b])]
+        own = [(a, b) for a in rows.tolist() for b in rows[:a].tolist() if label[a] == label[b]]
+        assert joined(len(sets), own + list(zip(i.tolist(), j.tolist()))) == joined(len(sets), own + every)
