@@ -41,6 +41,8 @@ NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS, FAR_RADIUS, BANDS, MINIMA, SIMILAR = 5, 4,
 NEAREST = 16
 #: Hashes of shingles that a block of rows may hold where candidates are compared.
 HASHES = 1 << 21
+#: Words of 64 bits, for each id, of the marks that choose texts before they are shuffled, and words at most.
+MARKS, MOST_MARKS = 0.25, 1 << 20
 
 
 def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -351,11 +353,29 @@ def _similar(width: int, least: float):
     return task
 
 
+def marked(rows: DataFrame, ids: DataFrame, most: int = MOST_MARKS) -> DataFrame:
+    """Of rows, which have an id, those whose id is in ids and a few others (one in about a hundred; more if most words are too few for ids).
+
+    ids leave three bits each, in one word of a table that is broadcast: some bytes for four ids, so that rows
+    are chosen where they are read."""
+    words = max(1, min(most, int(MARKS * ids.count())))
+    h = F.xxhash64("id")
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, k).bitwiseAND(63).cast("int")) for k in (0, 6, 12)]
+    word, pattern = F.pmod(F.shiftright(h, 18), F.lit(words)), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+    marks = written(ids.select(word.alias("word"), pattern.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), "marks")
+    return rows.join(F.broadcast(marks), (word == F.col("word")) & (F.col("bits").bitwiseAND(pattern) == pattern), "left_semi")
+
+
+def texts_of(slim: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the distinct ids; slim: id and text. Of an id with several texts the least counts. Texts of other ids are not shuffled but for the few that ``marked`` lets through."""
+    return marked(slim, ids).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def similar_links(links: DataFrame, slim: DataFrame, width: int = NEAR_WIDTH, least: float = SIMILAR) -> DataFrame:
     """The links (a, b) whose texts have a Jaccard similarity of least or more. slim: id and text; of an id with several texts the least text counts."""
     links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    needed = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    texts = written(slim.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    needed = written(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct(), "needed")
+    texts = written(texts_of(slim, needed), "texts")
     pairs = links.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(_similar(width, least), "a long, b long")
 
@@ -566,7 +586,7 @@ def joined_by_texts(placed: DataFrame, slim: DataFrame, words: int, radii: tuple
     rows = placed.join(labels, "node", "left").select("c", "m", "node", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight"), "pop", "n", *fp)
     apart = _by_blocks(_dealt(rows, longest)).mapInArrow(_over_blocks(_rows_apart(radii[1], least, tile), words), rows.schema)
     apart = written(apart.distinct(), "apart")
-    texts = slim.join(apart.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = texts_of(slim, written(apart.select(F.col("node").alias("id")).distinct(), "needed"))
     sets = written(texts.mapInArrow(_hash_sets(NEAR_WIDTH), "node long, hashes binary"), "sets")
     dealt = _by_blocks(_dealt(apart, longest, hashes).join(sets, "node"))
     good = written(dealt.mapInArrow(_over_blocks(_joining(radii[1], least, tile, nearest), words), "a long, b long"), "joining")

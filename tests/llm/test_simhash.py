@@ -10,7 +10,7 @@ import xxhash
 
 from factorloom.llm.components import components
 from factorloom.llm.scratch import written
-from factorloom.llm.simhash import NEAR_WIDTH, SIMILAR, fingerprint, joining_links, keep_one, near_copies, near_dedup, near_links, op5_simhash_near_dedup, shingle_hashes, similarity, tiled_links
+from factorloom.llm.simhash import NEAR_WIDTH, SIMILAR, fingerprint, joining_links, keep_one, marked, near_copies, near_dedup, near_links, op5_simhash_near_dedup, shingle_hashes, similarity, tiled_links
 
 
 def slow_fingerprint(text):
@@ -195,6 +195,38 @@ def test_refused_pairs_are_no_rows(spark, monkeypatch):
     assert max(n for name, n in sizes.items()) <= sizes["placed"]
 
 
+def test_only_texts_that_candidates_need_are_shuffled(spark):
+    """1000 texts of which six have near copies, and ids that are not broadcast: what is shuffled is a fraction of the texts."""
+    r, words = random.Random(12), [f"{i:x}" for i in range(10**5, 2 * 10**5)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(1500))) for i in range(1000)]
+    rows += [(2000 + i, text + " more") for i, text in rows[::167]]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = {x["id"]: x["component_id"] for x in near_copies(docs).collect()}
+        assert got == {2000 + i: i for i in range(0, 1000, 167)}
+        assert shuffled_bytes(spark) - before < sum(len(x) for _, x in rows) / 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def shuffled_bytes(spark):
+    """What all tasks so far have written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sum(x.totalShuffleWrite() for x in (lambda seq: [seq.apply(k) for k in range(seq.size())])(sc.statusStore().executorList(False)))
+
+
+@pytest.mark.parametrize("n,most", [(0, 1 << 20), (1, 1 << 20), (500, 1 << 20), (500, 1), (500, 40)])
+def test_marks_lose_no_row(spark, n, most):
+    rows = spark.range(-5000, 5000).selectExpr("id", "cast(id AS string) AS text")
+    ids = spark.range(n).selectExpr("id * 7 - 1000 AS id")
+    got = {x["id"] for x in marked(rows, ids, most).collect()}
+    assert got >= {i * 7 - 1000 for i in range(n)} and (most < 1 << 20 or len(got) <= n + 300)
+
+
 @pytest.mark.parametrize("nearest", [1, 16])
 def test_sets_are_compared_as_pairs_are(nearest):
     r = np.random.default_rng(11)
