@@ -189,10 +189,10 @@ def filers(specs: DataFrame, mapping: DataFrame, name: str, key: str) -> DataFra
 
 
 def match_documents(docs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Documents of wanted stock codes, each docID once: the first by submission, then code."""
+    """Documents of wanted stock codes, each docID once: the first by submission, unknown times last, then code."""
     wanted = codes.select(X.stock_code(F.col("stock_code")).alias("code")).distinct()
     d = docs.withColumn("code", X.stock_code(F.col("secCode"))).join(wanted, "code", "left_semi")
-    first = d.groupBy("docID").agg(F.min(F.struct("submitDateTime", "code")).alias("x"))
+    first = d.groupBy("docID").agg(F.min(F.struct(F.col("submitDateTime").isNull().alias("unknown"), "submitDateTime", "code")).alias("x"))
     return first.select("docID", "x.submitDateTime", "x.code")
 
 
